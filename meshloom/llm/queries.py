@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, mixing
+from . import decontam, jaccard, mixing, tokens
 from .oracles import ORACLES
 
 
@@ -24,5 +24,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join)}
+def word_vocabulary() -> tuple[str, int]:
+    """Path and number of ids of the public word tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return path, Tokenizer.from_file(path).get_vocab_size()
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"), *word_vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join, op4_token_files)}
 __all__ = ["ORACLES", "QUERIES"]
