@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, mixing, tokens
+from . import decontam, jaccard, mixing, sharding, simhash, tokens, warc
 from .oracles import ORACLES
 
 
@@ -37,5 +37,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), *word_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join, op4_token_files)}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.with_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join, op4_token_files, op3_sharding, op7_warc, op8_simhash)}
 __all__ = ["ORACLES", "QUERIES"]
