@@ -83,26 +83,33 @@ def slices(batch: pa.RecordBatch, text: str = "text", size: int = 2 << 20) -> It
         start = end
 
 
-def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of every word, and the n + 1 word offsets of the n texts."""
-    values = _FOLDED if fold else _VALUE
+#: Letters: ASCII letters and every byte beyond ASCII.
+IS_LETTER = np.zeros(256, dtype=bool)
+IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
+
+
+def words(data: np.ndarray, at: np.ndarray, member: np.ndarray = IS_WORD, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word, and the n + 1 word offsets of the n texts.
+
+    A-Z count as a-z.  ``member`` tells which bytes make words.  With ``prefixes``
+    the hashes have a column for the word and one for each prefix of so many bytes."""
     edges = np.unique(at[:-1])
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     lo = 0
     while lo < len(data):
         hi = min(lo + SEGMENT, len(data))
         if hi < len(data):  # cut at the last gap, or else at the next one
-            gaps = np.flatnonzero(~IS_WORD[data[lo:hi]])
+            gaps = np.flatnonzero(~member[data[lo:hi]])
             if len(gaps):
                 hi = lo + int(gaps[-1]) + 1
             else:
                 step = hi
                 while step < len(data) and not len(gaps):
-                    gaps = np.flatnonzero(~IS_WORD[data[step : step + SEGMENT]])
+                    gaps = np.flatnonzero(~member[data[step : step + SEGMENT]])
                     hi = step + int(gaps[0]) + 1 if len(gaps) else min(step + SEGMENT, len(data))
                     step += SEGMENT
         part = data[lo:hi]
-        is_word = IS_WORD[part]
+        is_word = member[part]
         before = np.empty_like(is_word)
         before[0], before[1:] = False, is_word[:-1]
         inner = edges[np.searchsorted(edges, lo) : np.searchsorted(edges, hi)] - lo
@@ -112,10 +119,12 @@ def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarr
         end = np.flatnonzero(np.append(before & (~is_word | cut[:-1]), is_word[-1]))
         up, down = _POWERS(len(part) + 1)
         total = np.zeros(len(part) + 1, dtype=U)
-        np.cumsum(values[part] * up[: len(part)], out=total[1:])
-        found.append((start + lo, end + lo, mixed((total[end] - total[start]) * down[start])))
+        np.cumsum(_FOLDED[part] * up[: len(part)], out=total[1:])
+        stops = [end, *(np.minimum(end, start + k) for k in prefixes)]
+        h = np.stack([mixed((total[e] - total[start]) * down[start]) for e in stops], 1)
+        found.append((start + lo, end + lo, h if prefixes else h[:, 0]))
         lo = hi
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(len(at), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1 + len(prefixes)) if prefixes else 0, U), np.zeros(len(at), np.int64)
     start, end, h = (np.concatenate(x) for x in zip(*found, strict=True))
     return start, end, h, np.searchsorted(start, at)
