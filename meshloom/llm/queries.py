@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, mixing, sharding, simhash, tokens, toxicity, warc
+from . import brown, decontam, jaccard, mixing, sharding, simhash, tokens, toxicity, warc
 from .oracles import ORACLES
 
 
@@ -53,5 +53,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join, op4_token_files, op3_sharding, op7_warc, op8_simhash, op1_toxicity)}
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join, op4_token_files, op3_sharding, op7_warc, op8_simhash, op1_toxicity, op2_class_lm)}
 __all__ = ["ORACLES", "QUERIES"]
