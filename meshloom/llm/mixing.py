@@ -107,9 +107,16 @@ def source_targets(sized: DataFrame) -> DataFrame:
     )
 
 
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", F.coalesce("source", F.lit("\0")), "text")
+
+
 def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of ``docs``."""
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    """row, doc_id, source, size, source_size, target, taken for every row of ``docs``.
+
+    ``row`` is a hash of id, source and text that equal rows alone share."""
+    row = row_hash()
+    sized = materialize(docs.select(row.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = source_targets(sized).withColumn("seats", F.round(F.col("_total") / block_words).cast("long"))
     quotas = (
         sainte_lague(targets, "target", "seats", ["source"], [], "blocks")
@@ -124,7 +131,7 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_words: int = S
     quotas = materialize(quotas, "mix-quotas")  # a few rows: its file size lets Spark broadcast it
     q, d = quotas.alias("q"), sized.alias("d")
     dealt = d.join(q, F.col("d.source").eqNullSafe(F.col("q.source"))).select(
-        "d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.whole", "q.rest",
+        "d.row", "d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.whole", "q.rest",
         F.pmod(seeded("d.doc_id", seed), F.col("q.shards")).alias("shard"), seeded("d.doc_id", seed + 1).alias("place"),
     )
     shards = dealt.groupBy("source", "shard", "rest").agg(F.sum("size").alias("shard_size")).withColumn(
@@ -140,6 +147,6 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_words: int = S
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.shard") == F.col("b.shard"))).select("a.*", "b.quota")
     before = F.sum("size").over(W.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     return joined.withColumn("_before", before).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "row", "doc_id", "source", "size", "source_size", "target",
         (F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("_before")))).cast("long").alias("taken"),
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import brown, decontam, jaccard, mixing, sharding, simhash, tokens, toxicity, warc
+from . import brown, decontam, jaccard, mixing, quality, sharding, simhash, tokens, toxicity, warc
 from .oracles import ORACLES
 
 
@@ -13,11 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row", "source")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +58,10 @@ def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join, op4_token_files, op3_sharding, op7_warc, op8_simhash, op1_toxicity, op2_class_lm)}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the hosts, languages their paths."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join, op4_token_files, op3_sharding, op7_warc, op8_simhash, op1_toxicity, op2_class_lm, op5_quality)}
 __all__ = ["ORACLES", "QUERIES"]
