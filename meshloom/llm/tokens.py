@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import materialize, new_path
+from .textops import slices, text_buffer, words
 
 SCALE_BITS = 20
 LANES = 1024
@@ -37,45 +38,99 @@ CHECKPOINT_STEPS = 64
 BLOCK_IDS = 1 << 18
 MAGIC = b"RAN1"
 END_ID = 1
-CACHE_WORDS = 400_000
-_GAPS = str.maketrans("\t\n\x0b\x0c\r", "     ")
+CACHE_WORDS = 1 << 20
+MARK = "\x01"
 
 
 class WordTokenizer:
     """Encodes texts by their distinct words.
 
-    For a vocabulary that drops white space and never joins across it, a text's
-    ids are the ids of its runs between ASCII white space, one after the other.
-    Runs are encoded by the library in batches and kept in a cache of bounded size."""
+    For a vocabulary that folds case, drops white space and never joins across it, a
+    text's ids are the ids of its runs between ASCII white space, one after the
+    other.  Runs are named by the hash of their bytes, A-Z as a-z; new ones are
+    encoded by the library, many to a call, and kept in a cache of bounded size."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, runs: list[str]) -> None:
-        new = list(set(runs).difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-            new = list(set(runs))
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for run, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[run] = np.array(found.ids, "<u4").tobytes()
-        self.known[""] = b""
-
-    def encode(self, texts: list[str | None], end: int = END_ID) -> list[np.ndarray]:
-        tail = np.array([end], "<u4").tobytes()
-        out, known = [], self.known
-        runs = [(t or "").translate(_GAPS).split(" ") for t in texts]
-        if any(r not in known for rs in runs for r in rs):
-            self.learn([r for rs in runs for r in rs])
-            known = self.known
-        for rs in runs:
-            out.append(np.frombuffer(b"".join([*map(known.__getitem__, rs), tail]), "<u4"))
+        self.mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.reset()
+
+    def reset(self) -> None:
+        self.known: dict[int, int] = {}
+        self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def library_ids(self, runs: list[str]) -> list[np.ndarray]:
+        """Ids of each run.  Runs are joined around a mark that is a token of its own there."""
+        single = [i for i, r in enumerate(runs) if MARK in r or len(self.mark) != 1]
+        alone = set(single)
+        joined = [i for i in range(len(runs)) if i not in alone]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(runs)
+        for i, found in zip(single, self.library.encode_batch_fast([runs[i] for i in single], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, np.uint32)
+        packs = [joined[k : k + 256] for k in range(0, len(joined), 256)]
+        texts = [f" {MARK} ".join(runs[i] for i in pack) for pack in packs]
+        for pack, found in zip(packs, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            parts = np.split(ids, np.flatnonzero(ids == self.mark[0]))
+            if len(parts) != len(pack):  # a run held the mark's own id
+                for i in pack:
+                    out[i] = np.array(self.library.encode(runs[i], add_special_tokens=False).ids, np.uint32)
+                continue
+            for k, (i, part) in enumerate(zip(pack, parts, strict=True)):
+                out[i] = part[1:] if k else part
         return out
 
+    def rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cache row of each distinct word, and the word of each run."""
+        if len(self.known) > CACHE_WORDS:
+            self.reset()
+        names, first, word = np.unique(names, return_index=True, return_inverse=True)
+        listed = names.tolist()
+        row = np.fromiter((self.known.get(x, -1) for x in listed), np.int64, len(listed))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            raw = data.tobytes()
+            found = self.library_ids([raw[start[i] : end[i]].decode() for i in first[new].tolist()])
+            row[new] = np.arange(len(new)) + len(self.size)
+            self.known.update(zip(names[new].tolist(), row[new].tolist(), strict=True))
+            size = np.array([len(x) for x in found], np.int64)
+            self.size = np.concatenate((self.size, size))
+            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(size)))
+            self.flat = np.concatenate((self.flat, *found))
+        return row, word
+
+    def ids_of(self, row: np.ndarray) -> np.ndarray:
+        """The ids of the cached ``row`` entries, one after the other."""
+        size = self.size[row]
+        shift = np.repeat(self.start[row] - (np.cumsum(size) - size), size)
+        return self.flat[np.arange(len(shift)) + shift]
+
+    def encode(self, texts: pa.Array, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, each text followed by ``end``, and the n + 1 offsets of the texts."""
+        data, at = text_buffer(texts)
+        start, stop, names, offsets = words(data, at)
+        row, word = self.rows(data, start, stop, names)
+        size = np.concatenate(([0], np.cumsum(self.size[row][word] if len(row) else np.zeros(0, np.int64))))
+        ends = size[offsets[1:]] + np.arange(len(offsets) - 1)
+        out = np.empty(size[-1] + len(ends), np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[ends] = False
+        out[ends] = end
+        out[inner] = self.ids_of(row[word]) if len(row) else 0
+        return out, np.concatenate(([0], ends + 1))
+
+    def count(self, texts: pa.Array, total: np.ndarray, end: int = END_ID) -> None:
+        """Adds the texts' ids, ends included, to ``total``."""
+        data, at = text_buffer(texts)
+        start, stop, names, _ = words(data, at)
+        row, word = self.rows(data, start, stop, names)
+        if len(row):
+            times = np.repeat(np.bincount(word, minlength=len(row)), self.size[row])
+            total += np.bincount(self.ids_of(row), times, len(total)).astype(np.int64)
+        total[end] += len(at) - 1
+
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -87,14 +142,6 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    from .textops import slices
-
-    for batch in batches:
-        for part in slices(batch, size=size):
-            yield part, tokenizer(path).encode(part.column(part.schema.get_field_index("text")).to_pylist())
-
-
 def quantized(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
     """Frequencies that sum to 2**bits; every id keeps at least 1, so that any text can be coded."""
     total = 1 << bits
@@ -189,8 +236,9 @@ def id_counts(docs: DataFrame, path: str, vocabulary: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
-        for _, ids in encoded(batches, path):
-            total += np.bincount(np.concatenate(ids), minlength=vocabulary)
+        for batch in batches:
+            for part in slices(batch):
+                tokenizer(path).count(part.column("text"), total)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["id", "k"])
 
@@ -221,14 +269,16 @@ def _write_blocks(freq: np.ndarray, path: str):
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["shard", "block", "n_docs", "n_ids", "doc_ids", "lengths", "payload"])
 
-        for part, ids in encoded(batches, path):
-            for doc_id, own in zip(part.column("doc_id").to_pylist(), ids, strict=True):
-                docs.append(doc_id)
-                held.append(own)
-                size += len(own)
-                if size >= BLOCK_IDS:
-                    yield row()
-                    docs, held, size, block = [], [], 0, block + 1
+        for batch in batches:
+            for part in slices(batch):
+                ids, at = tokenizer(path).encode(part.column("text"))
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    docs.append(doc_id)
+                    held.append(ids[a:b])
+                    size += b - a
+                    if size >= BLOCK_IDS:
+                        yield row()
+                        docs, held, size, block = [], [], 0, block + 1
         if docs:
             yield row()
 
@@ -262,8 +312,6 @@ def read(spark: SparkSession, path: str, freq: np.ndarray) -> DataFrame:
     starts = sizes.join(shard_start, "shard").select(
         "shard", "block", (F.col("shard_start") + F.sum("n_ids").over(within) - F.col("n_ids")).alias("block_start")
     )
-    from .storage import materialize
-
     starts = materialize(starts, "token-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
