@@ -9,8 +9,12 @@ that a passage, however common, hardly ever produces on its own.  Sets that shar
 keys form blocks, and every block is joined by signature trees
 (``signature_tree``).  Nothing is sampled: no linked pair is lost.
 
-Hot keys are combined in each task before the shuffle: a key's sets become a
-star around one of them, and only that one goes on.  A block too large for one
+The sets of a key are compared by sketches first.  A sketch is a bitmap of a
+quarter of the hash space; bits that one set has alone bound its difference from
+below, so no pair that links is ruled out.  A key's sets are first held against
+one of them: those that may link to it need no pairs among themselves.
+
+A block too large for one
 task is dealt in chunks: chunks are joined in themselves, then through
 representatives, and what is still apart from a block's largest component meets
 every chunk.
@@ -30,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import possible as maybe
 from .components import components
-from .signature_tree import cross_join, self_join
+from .signature_tree import Forest, cross_join, self_join
 from .storage import materialize
 from .textops import U, mixed, slices, text_buffer, words
 
 WIDTH, PERCENT = 5, 80
 CHUNK = 4096
-BLOOM_BITS = 1 << 24
 POSTINGS = 1 << 20
 REPRESENTATIVES = 8
 _ODD = mixed(np.arange(11, 11 + 64, dtype=U)) | U(1)
@@ -110,45 +114,84 @@ def set_keys(own: np.ndarray, windows: Windows) -> np.ndarray:
     return np.concatenate(keys)
 
 
-_POSTED = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
-POSTED = "kind byte, doc_id long, n long, sig long, bucket int, payload binary"
+def signature(own: np.ndarray) -> int:
+    """63 bits that name a set; -1 for the empty one."""
+    if not len(own):
+        return -1
+    total = mixed(own).sum(dtype=U, keepdims=True) + _ODD[59:60] * U(len(own))
+    return int(mixed(total)[0] >> U(1))
 
 
-def _rows(kind: int, **columns: object) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) if f.name in columns else pa.array(np.full(n, kind), f.type) if f.name == "kind" else pa.nulls(n, f.type) for f in _POSTED], schema=_POSTED
-    )
+def sketch(own: np.ndarray) -> bytes:
+    """A bitmap of the quarter of the elements whose hash is lowest in the hash space."""
+    bits = max(64, 1 << (max(1, 3 * len(own) // 4) - 1).bit_length())
+    on = own[: np.searchsorted(own, U(1 << 62))] & U(bits - 1)
+    flags = np.zeros(bits, np.uint8)
+    flags[on.astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
-def stars(keys: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys with one set each, and edges (other set, that set) of keys with more."""
-    order = np.lexsort((sigs, keys))
-    keys, sigs = keys[order], sigs[order]
-    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-    head = sigs[first][np.cumsum(first) - 1]
-    apart = sigs != head
-    edges = np.unique(np.stack([sigs[apart], head[apart]]), axis=1) if apart.any() else np.zeros((2, 0), sigs.dtype)
-    return keys[first], sigs[first], edges[0], edges[1]
+def _folded(maps: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, the longer ones folded to the shortest."""
+    least = min(len(m) for m in maps) // 8
+    out = np.empty((len(maps), least), U)
+    for i, m in enumerate(maps):
+        row = np.frombuffer(m, U)
+        while len(row) > least:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        out[i] = row
+    return out
 
 
-def _pack(keys: np.ndarray, sigs: np.ndarray) -> bytes:
+def possible(na: np.ndarray, ma: np.ndarray, nb: np.ndarray, mb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes na, nb with sketches ma, mb may be similar enough; never False for those that are.
+
+    A bit that only one set has stands for an element that the other lacks."""
+    need = -(-percent * (na + nb) // (100 + percent))
+    return (np.bitwise_count(ma & ~mb).sum(-1, dtype=np.int64) <= na - need) & (np.bitwise_count(mb & ~ma).sum(-1, dtype=np.int64) <= nb - need)
+
+
+def _group_edges(n: np.ndarray, maps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the possible pairs of one group."""
+    forest = Forest(len(n))
+    pivot = int(np.argsort(n, kind="stable")[len(n) // 2])
+    near = possible(n[pivot], maps[pivot], n, maps, percent)
+    near[pivot] = True
+    for i in np.flatnonzero(near).tolist():
+        forest.join(pivot, i)
+    for i in np.flatnonzero(~near).tolist():  # the pivot's component needs no pairs of its own
+        for j in np.flatnonzero(possible(n[i], maps[i], n, maps, percent)).tolist():
+            forest.join(i, j)
+    return [(i, r) for i, r in enumerate(forest.roots().tolist()) if i != r]
+
+
+def _pack(keys: np.ndarray, sigs: np.ndarray, bits: int) -> bytes:
+    """Postings of one bucket: 40 bits of each key beyond the bucket's, and its set by place in a table."""
     table, at = np.unique(sigs, return_inverse=True)
-    return np.array([len(keys), len(table)], np.int64).tobytes() + keys.tobytes() + table.tobytes() + at.astype(np.uint32).tobytes()
+    wide = 4 if len(table) > 1 << 16 else 2
+    short = ((keys << U(bits)) >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return np.array([len(keys), len(table), wide], np.int64).tobytes() + table.tobytes() + short.tobytes() + at.astype(f"<u{wide}").tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(blob, np.int64, 2).tolist()
-    keys, table = np.frombuffer(blob, U, n, 16), np.frombuffer(blob, np.int64, m, 16 + 8 * n)
-    return keys, table[np.frombuffer(blob, np.uint32, n, 16 + 8 * (n + m))]
+    n, m, wide = np.frombuffer(blob, np.int64, 3).tolist()
+    table = np.frombuffer(blob, np.int64, m, 24)
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 24 + 8 * m).reshape(n, 5)
+    return keys.view("<u8").reshape(-1), table[np.frombuffer(blob, f"<u{wide}", n, 24 + 8 * m + 5 * n)]
 
 
-def signature(own: np.ndarray) -> int:
-    """63 bits that name a set."""
-    if not len(own):
-        return -1
-    total = mixed(own).sum(dtype=U, keepdims=True) + _ODD[59:60] * U(len(own))
-    return int(mixed(total)[0] >> U(1))
+def _describe(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = list(shingle_sets(part, width))
+                names = np.array([signature(x) for x in sets], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(names, mask=names < 0), pa.array([sketch(x) for x in sets], pa.binary())], ["doc_id", "n", "sig", "sketch"]
+                )
+
+    return run
 
 
 def _post(bits: int, width: int, percent: int):
@@ -156,26 +199,23 @@ def _post(bits: int, width: int, percent: int):
         windows, keys, sigs, held, seen = Windows(percent), [], [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            k, s, a, b = stars(np.concatenate(keys), np.concatenate(sigs))
-            if len(a):
-                yield _rows(2, doc_id=a, sig=b)
-            cut = np.searchsorted(k, np.array([(j << 64) >> bits for j in range(1, 1 << bits)], dtype=U))
-            edge = [0, *cut.tolist(), len(k)]
+            k, s = np.concatenate(keys), np.concatenate(sigs)
+            order = np.argsort(k, kind="stable")
+            k, s = k[order], s[order]
+            edge = [0, *np.searchsorted(k, np.array([(j << 64) >> bits for j in range(1, 1 << bits)], dtype=U)).tolist(), len(k)]
             full = [j for j in range(1 << bits) if edge[j + 1] > edge[j]]
             for j in full:
-                yield _rows(1, bucket=np.array([j]), payload=[_pack(k[edge[j] : edge[j + 1]], s[edge[j] : edge[j + 1]])])
+                yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([_pack(k[edge[j] : edge[j + 1]], s[edge[j] : edge[j + 1]], bits)])], ["bucket", "payload"])
 
         for batch in batches:
             for part in slices(batch):
-                n, names = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
-                for i, own in enumerate(shingle_sets(part, width)):
-                    n[i], names[i] = len(own), (name := signature(own))
+                for own in shingle_sets(part, width):
+                    name = signature(own)
                     if name >= 0 and name not in seen:
                         seen.add(name)
                         keys.append(set_keys(own, windows))
                         sigs.append(np.full(len(keys[-1]), name))
                         held += len(keys[-1])
-                yield _rows(0, doc_id=part.column("doc_id"), n=n, sig=pa.array(names, mask=names < 0))
                 if held > POSTINGS:
                     yield from flush()
                     keys, sigs, held = [], [], 0
@@ -188,17 +228,47 @@ def _post(bits: int, width: int, percent: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    keys, sigs = zip(*(_unpack(x) for x in table.column("payload").to_pylist()), strict=True)
-    _, _, a, b = stars(np.concatenate(keys), np.concatenate(sigs))
-    return pa.table({"a": a, "b": b})
+    """(gid, sig): the sets of every key that two sets share; keys with the same sets are one group."""
+    keys, sigs = (np.concatenate(x) for x in zip(*(_unpack(x) for x in table.column("payload").to_pylist()), strict=True))
+    order = np.lexsort((sigs, keys))
+    keys, sigs = keys[order], sigs[order]
+    keep = np.append(True, (keys[1:] != keys[:-1]) | (sigs[1:] != sigs[:-1]))
+    keys, sigs = keys[keep], sigs[keep]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    size = np.diff(np.append(first, len(keys)))
+    gid = mixed(np.add.reduceat(mixed(sigs.astype(U)), first) + _ODD[58] * size.astype(U))
+    several = np.flatnonzero(size > 1)
+    several = several[np.unique(gid[several], return_index=True)[1]]
+    at = np.repeat(first[several] - (np.cumsum(size[several]) - size[several]), size[several]) + np.arange(size[several].sum())
+    return pa.table({"gid": np.repeat(gid[several], size[several]).view(np.int64), "sig": sigs[at]})
+
+
+def _near(percent: int):
+    """Edges from groups (gid, sig, n, sketch) sorted by gid and sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        for _, held in _units(batches, ["gid"]):
+            sigs, at = np.unique(np.array(held["sig"], np.int64), return_index=True)
+            if len(sigs) < 2:
+                continue
+            n = np.array([held["n"][i] for i in at], np.int64)
+            for i, j in _group_edges(n, _folded([held["sketch"][i] for i in at]), percent):
+                a.append(int(sigs[i]))
+                b.append(int(sigs[j]))
+            if len(a) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
-def _active_sets(bloom: np.ndarray, width: int):
+def _active_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column("bit").to_numpy(zero_copy_only=False)
-            on = (bloom[bit >> 6] >> (bit & 63).astype(U)) & U(1) == 1
-            batch = batch.filter(pa.array(on))
             for part in slices(batch):
                 ids, sigs, sets = [], [], []
                 for doc_id, own in zip(part.column("doc_id").to_pylist(), shingle_sets(part, width), strict=True):
@@ -256,13 +326,13 @@ def _cross(percent: int):
     return run
 
 
-def _joined_blocks(sets: DataFrame, percent: int, chunk: int, parts: int) -> DataFrame:
-    """(sig, comp) for the sets (block, sig, members) of all blocks."""
-    sizes = sets.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+def _joined_blocks(sets: DataFrame, sizes: DataFrame, percent: int, chunk: int, parts: int) -> DataFrame:
+    """(sig, comp) for the sets (block, sig, members) of all blocks; ``sizes`` has each block's number of sets."""
     large = materialize(sizes.where(F.col("size") > chunk), "jaccard-large")
     some = large.count() > 0
     dealt = sets.withColumn("chunk", F.lit(0).cast("long"))
     if some:
+        sets = materialize(sets, "jaccard-sets")  # read several times below
         dealt = sets.join(large, "block", "left").withColumn(
             "chunk", F.when(F.col("size").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / chunk))).cast("long")
         ).drop("size")
@@ -304,21 +374,21 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     """doc_id, n_shingles, sig, component_id per row; component_id is the least doc_id reachable by links."""
     docs = docs.select("doc_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (docs.count() // 4096).bit_length())
-    posted = materialize(docs.mapInArrow(_post(bits, width, percent), POSTED), "jaccard-posted")
-    own = posted.where("kind = 0").select("doc_id", "n", "sig")
-    met = posted.where("kind = 1").select("bucket", "payload").groupBy("bucket").applyInArrow(_meet, "a long, b long")
-    near = materialize(met.union(posted.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("sig").alias("b"))), "jaccard-near")
+    own = materialize(docs.mapInArrow(_describe(width), "doc_id long, n long, sig long, sketch binary"), "jaccard-own")
+    bits = max(6, (own.count() // 4096).bit_length())
+    met = docs.mapInArrow(_post(bits, width, percent), "bucket int, payload binary").groupBy("bucket").applyInArrow(_meet, "gid long, sig long")
+    met = materialize(met, "jaccard-groups")
+    least = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    least = materialize(least, "jaccard-classes")
+    drawn = met.join(least.select("sig", "n", "sketch"), "sig").repartition(parts, "gid").sortWithinPartitions("gid", "sig")
+    near = materialize(drawn.mapInArrow(_near(percent), "a long, b long"), "jaccard-near")
     blocks = components(near)
-    least = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    least = least.select("sig", "least", "rows")
     reps = materialize(least.join(blocks, least.sig == blocks.node).select("sig", F.col("least").alias("doc_id"), F.col("root").alias("block")), "jaccard-reps")
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
-    lit_words = reps.select(hashed.alias("bit")).groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("v")).toPandas()
-    bloom = np.zeros(BLOOM_BITS // 64, U)
-    bloom[lit_words["w"].to_numpy(np.int64)] = lit_words["v"].to_numpy(np.int64).view(U)
-    sets = docs.where("doc_id is not null").withColumn("bit", hashed).mapInArrow(_active_sets(bloom, width), "doc_id long, sig long, members binary")
-    sets = materialize(sets.join(reps, ["doc_id", "sig"]).select("block", "sig", "members").dropDuplicates(["sig"]), "jaccard-sets")
-    linked = _joined_blocks(sets, percent, chunk, parts)
+    sizes = reps.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    # equal rows may bring a set twice, which the join links like any other
+    sets = maybe(docs.where("doc_id is not null"), reps, "doc_id").mapInArrow(_active_sets(width), "doc_id long, sig long, members binary").join(reps, ["doc_id", "sig"]).select("block", "sig", "members")
+    linked = _joined_blocks(sets, sizes, percent, chunk, parts).distinct()
     named = least.join(linked, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), "least", "rows")
     lowest = named.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
     mapping = materialize(named.join(lowest.drop("rows"), "comp").select("sig", "component_id"), "jaccard-components")
