@@ -1,0 +1,239 @@
+"""Graph partitioners.
+
+Deterministic throughout: ties go to the lower label, so labels don't depend on
+the partitioning of the tables.  Seed-level choices (p or p * p rows) are made on
+the driver, everything per vertex in DataFrames."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import metrics
+from .iterate import bfs, fixpoint, relax, symmetric, written
+from .ordering import block_labels, mid_seeds, stride_samples
+
+#: Size bands over the ideal size and the adjustment of distances in each.  Fixed values.
+HEAVY = ((3.2, 6), (2.5, 5), (2.0, 4), (1.7, 3), (1.5, 2), (1.2, 1))
+LIGHT = ((0.2, -4), (0.4, -3), (0.6, -2), (0.8, -1))
+
+
+def seeds_along(vertices: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """(v, label): the middle vertex of each equal block along ``keys``."""
+    return mid_seeds(block_labels(vertices, keys, parts), keys).select("v", "label")
+
+
+def bfs_partition(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(v, label, dist) of multi-source growth."""
+    return bfs(edges, seeds)
+
+
+def size_adjustment(size: Column, ideal: int) -> Column:
+    """Distance added to a label's vertices by its size; cut-offs are whole numbers."""
+    out = None
+    for factor, by in HEAVY:
+        test = size >= F.lit(int(factor * ideal))
+        out = F.when(test, by) if out is None else out.when(test, by)
+    for factor, by in LIGHT:
+        out = out.when(size <= F.lit(int(factor * ideal)), by)
+    return out.otherwise(0)
+
+
+def refined(edges: DataFrame, state: DataFrame, parts: int) -> DataFrame:
+    """One size-aware round after growth: distances move by the size of their label, then relax again."""
+    n = state.count()
+    sizes = state.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    moved = state.join(F.broadcast(sizes), "label").select("v", "label", F.greatest(F.lit(0), F.col("dist") + size_adjustment(F.col("size"), n // parts)).cast("int").alias("dist"))
+    return relax(edges, written(moved))
+
+
+def pagerank(vertices: DataFrame, edges: DataFrame, weight: float = 1000.0, rounds: int = 15, damping: float = 1.0, every: int = 5) -> DataFrame:
+    """(v, rank): rank' = d * sum(rank / degree) + (1 - d) / n, a fixed number of rounds."""
+    arcs = symmetric(edges)
+    degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    arcs = written(arcs.join(degree, "src"), "arcs")
+    n = vertices.count()
+    now = vertices.select("v", F.lit(float(weight)).alias("rank"))
+    for k in range(1, rounds + 1):
+        sent = now.join(arcs, now.v == arcs.src).groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
+        now = now.select("v").join(sent, "v", "left").select("v", (F.lit(damping) * F.coalesce("got", F.lit(0.0)) + F.lit((1 - damping) / max(n, 1))).alias("rank"))
+        if k % every == 0 and k < rounds:
+            now = written(now)
+    return now
+
+
+def pagerank_labels(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, weight: float = 10000.0, threshold: float = 1.05, max_rounds: int = 60) -> DataFrame:
+    """(v, label, value): a vertex takes the label of the greatest incoming weight per degree,
+    if it has none yet or that weight exceeds its own by ``threshold``."""
+    arcs = symmetric(edges)
+    degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    arcs = written(arcs.join(degree, "src"), "arcs")
+    start = vertices.join(seeds, "v", "left").select("v", "label", F.when(F.col("label").isNotNull(), F.lit(float(weight))).otherwise(F.lit(0.0)).alias("value"))
+
+    def step(s: DataFrame) -> DataFrame:
+        sent = s.where("label is not null").join(arcs, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("v"), "label").agg(F.sum(F.col("value") / F.col("k")).alias("got"))
+        best = sent.groupBy("v").agg(F.max(F.struct(F.col("got"), (-F.col("label")).alias("low"))).alias("b")).select(F.col("v").alias("w"), F.col("b.got").alias("got"), (-F.col("b.low")).alias("new"))
+        both = s.join(best, F.col("v") == F.col("w"), "left")
+        take = F.col("got").isNotNull() & (F.col("label").isNull() | (F.col("got") > threshold * F.col("value")))
+        return both.select("v", F.when(take, F.col("new")).otherwise(F.col("label")).alias("label"), F.when(take, F.col("got")).otherwise(F.col("value")).alias("value"))
+
+    return fixpoint(start, step, [F.count("label"), F.sum("label"), F.round(F.sum("value"), 3)], max_rounds, 2)
+
+
+def weighted_growth(edges: DataFrame, seeds: DataFrame, step_of: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """Growth in which a hop costs the ``step`` of its label: least (cost, label), by relaxation."""
+    arcs = symmetric(edges).persist()
+    cost = written(step_of.select(F.col("label").alias("l"), F.col("step").cast("double").alias("step")))
+    start = seeds.select("v", "label", F.lit(0.0).alias("dist"))
+
+    def step(s: DataFrame) -> DataFrame:
+        sent = s.join(F.broadcast(cost), F.col("label") == F.col("l")).join(arcs, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "label", (F.col("dist") + F.col("step")).alias("dist"))
+        return s.select("v", "label", "dist").union(sent).groupBy("v").agg(F.min(F.struct("dist", "label")).alias("m")).select("v", "m.label", "m.dist")
+
+    try:
+        return fixpoint(start, step, [F.count(F.lit(1)), F.round(F.sum("dist"), 6), F.sum("label")], max_rounds)
+    finally:
+        arcs.unpersist()
+
+
+def two_pass(edges: DataFrame, seeds: DataFrame, parts: int, by: str = "size") -> DataFrame:
+    """Plain growth sets each label's step, (size / ideal)^(1/3) or (cut / greatest cut)^(1/2); weighted growth follows."""
+    first = written(bfs(edges, seeds).select("v", "label"))
+    if by == "size":
+        ideal = first.count() / parts
+        steps = first.groupBy("label").agg((F.pow(F.count(F.lit(1)) / F.lit(ideal), 1 / 3)).alias("step"))
+    else:
+        cuts = metrics.loads_and_sends(edges, first, parts)
+        top = cuts.agg(F.max("sends").alias("top"))
+        steps = cuts.crossJoin(F.broadcast(top)).select("label", F.greatest(F.lit(0.05), F.sqrt(F.try_divide("sends", "top"))).alias("step"))
+    steps = steps.select("label", F.round("step", 6).alias("step"))
+    return weighted_growth(edges, seeds, steps)
+
+
+def relabelled(labels: DataFrame, keep: dict[int, int]) -> DataFrame:
+    """Labels mapped through a small table."""
+    table = labels.sparkSession.createDataFrame(sorted(keep.items()), "label long, new long")
+    return labels.join(F.broadcast(table), "label").select("v", F.col("new").alias("label"))
+
+
+def merge_pairs(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Grow p + ceil(log2 p) parts, then merge the pair with the longest common boundary
+    whose joint size stays below twice the ideal, until p remain."""
+    more = parts + math.ceil(math.log2(max(parts, 2)))
+    grown = written(bfs(edges, seeds_along(vertices, keys, more)).select("v", "label"))
+    size = {r["label"]: r["size"] for r in metrics.sizes(grown, more).collect()}  # one row per part
+    cut = {(r["a"], r["b"]): r["cut"] for r in metrics.pair_cuts(grown_edges(edges), grown).collect()}  # at most a row per pair of parts
+    to = {k: k for k in size}
+    ideal = sum(size.values()) / parts
+    for _ in range(more - parts):
+        order = sorted(cut, key=lambda p: (-cut[p], p))
+        pick = next((p for p in order if size[p[0]] + size[p[1]] < 2 * ideal), order[0] if order else None)
+        if pick is None:
+            break
+        a, b = pick
+        to = {k: a if v == b else v for k, v in to.items()}
+        size[a] += size.pop(b)
+        joined: dict[tuple[int, int], int] = {}
+        for (x, y), k in cut.items():
+            x, y = (a if x == b else x), (a if y == b else y)
+            if x != y:
+                joined[min(x, y), max(x, y)] = joined.get((min(x, y), max(x, y)), 0) + k
+        cut = joined
+    dense = {old: i for i, old in enumerate(sorted(set(to.values())))}
+    return relabelled(grown, {k: dense[v] for k, v in to.items()})
+
+
+def grown_edges(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v")
+
+
+def drop_worst(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int, factor: int = 5) -> DataFrame:
+    """Grow ``factor`` * p parts, drop all but the p with the least cut per vertex, and grow from those seeds again."""
+    many = parts * factor
+    seeds = written(seeds_along(vertices, keys, many))
+    grown = written(bfs(edges, seeds).select("v", "label"))
+    rows = metrics.loads_and_sends(edges, grown, many).collect()  # one row per part
+    kept = sorted(sorted(rows, key=lambda r: (r["sends"] / max(r["load"], 1), r["label"]))[:parts], key=lambda r: r["label"])
+    dense = {r["label"]: i for i, r in enumerate(kept)}
+    return bfs(edges, relabelled(seeds, dense))
+
+
+def downsample_seeds(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int, factor: int = 2) -> DataFrame:
+    """(v, label): from ``factor`` * p seeds, one of the closest pair is dropped again and again until p remain."""
+    seeds = stride_samples(vertices, keys, parts * factor).select("v", F.col("position").alias("label"))
+    state = written(bfs(edges, seeds))
+    pairs = seed_distances(edges, state).collect()  # neighbouring seeds only
+    alive = {r["label"] for r in seeds.collect()}
+    for r in sorted(pairs, key=lambda r: (r["distance"], r["a"], r["b"])):
+        if len(alive) <= parts:
+            break
+        if r["a"] in alive and r["b"] in alive:
+            alive.discard(r["b"])
+    dense = {k: i for i, k in enumerate(sorted(alive)[:parts])}
+    return relabelled(seeds, dense)
+
+
+def seed_distances(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """(a, b, distance): least dist(u) + dist(v) over the cut edges of each pair of labels."""
+    s = state.select("v", "label", "dist")
+    u, v = s.select(F.col("v").alias("u"), F.col("label").alias("lu"), F.col("dist").alias("du")), s.select("v", F.col("label").alias("lv"), F.col("dist").alias("dv"))
+    both = edges.join(u, "u").join(v, "v").where("lu <> lv")
+    return both.groupBy(F.least("lu", "lv").alias("a"), F.greatest("lu", "lv").alias("b")).agg(F.min(F.col("du") + F.col("dv")).cast("long").alias("distance"))
+
+
+def layer_sizes(state: DataFrame) -> DataFrame:
+    """(label, dist, n, total): vertices per layer and their running sum."""
+    from pyspark.sql import Window as W
+
+    layers = state.groupBy("label", "dist").agg(F.count(F.lit(1)).alias("n"))
+    return layers.withColumn("total", F.sum("n").over(W.partitionBy("label").orderBy("dist")))
+
+
+def rebalance(edges: DataFrame, labels: DataFrame, parts: int, rounds: int = 5) -> DataFrame:
+    """Boundary vertices of large parts move to their smallest neighbouring part.
+
+    Synchronous: of a part's candidates, those whose hash falls below the share
+    that its excess makes of them move, so that it isn't emptied in one round."""
+    now = labels.select("v", "label")
+    for k in range(rounds):
+        now = written(now)
+        sizes = metrics.sizes(now, parts)
+        ls, ld = sizes.select(F.col("label").alias("ls"), F.col("size").alias("ss")), sizes.select(F.col("label").alias("ld"), F.col("size").alias("sd"))
+        from .topology import labelled_arcs
+
+        arcs = labelled_arcs(edges, now).where("ls <> ld").join(F.broadcast(ls), "ls").join(F.broadcast(ld), "ld").where("ss > sd + 1")
+        best = arcs.groupBy("src", "ls", "ss").agg(F.min(F.struct("sd", "ld")).alias("m"))
+        wanted = best.groupBy("ls").agg(F.count(F.lit(1)).alias("k"))
+        share = (F.col("ss") - F.col("m.sd")) / (2 * F.col("k"))
+        moved = best.join(wanted, "ls").where(F.pmod(F.xxhash64(F.lit(k), F.col("src")), F.lit(1000)) < share * 1000).select(F.col("src").alias("v"), F.col("m.ld").alias("new"))
+        now = now.join(moved, "v", "left").select("v", F.coalesce("new", "label").alias("label"))
+    return written(now)
+
+
+def label_propagation(vertices: DataFrame, edges: DataFrame, parts: int, keys: list[str], rounds: int = 4) -> DataFrame:
+    """Our own multilevel stand-in: curve blocks, smoothed by majority moves and balanced.
+    It claims no parity with any external partitioner."""
+    labels = written(block_labels(vertices, keys, parts).select("v", "label"))
+    from .topology import labelled_arcs
+
+    for _ in range(rounds):
+        votes = labelled_arcs(edges, labels).groupBy("src", "ls", "ld").agg(F.count(F.lit(1)).alias("k"))
+        best = votes.groupBy("src", "ls").agg(F.max(F.struct(F.col("k"), (F.col("ld") == F.col("ls")).cast("int").alias("stay"), (-F.col("ld")).alias("low"))).alias("m"))
+        labels = written(labels.join(best.select(F.col("src").alias("v"), (-F.col("m.low")).alias("new")), "v", "left").select("v", F.coalesce("new", "label").alias("label")))
+    return rebalance(edges, labels, parts, 2)
+
+
+#: Partitioners by name: (vertices, edges, keys, parts) -> (v, label).
+REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[str], int], DataFrame]] = {
+    "sfc": lambda v, e, k, p: block_labels(v, k, p).select("v", "label"),
+    "bfs": lambda v, e, k, p: bfs(e, seeds_along(v, k, p)).select("v", "label"),
+    "bfs_refined": lambda v, e, k, p: refined(e, written(bfs(e, seeds_along(v, k, p))), p).select("v", "label"),
+    "pagerank": lambda v, e, k, p: pagerank_labels(v, e, seeds_along(v, k, p)).select("v", "label"),
+    "two_pass": lambda v, e, k, p: two_pass(e, seeds_along(v, k, p), p).select("v", "label"),
+    "merge_pairs": merge_pairs,
+    "drop_worst": lambda v, e, k, p: drop_worst(v, e, k, p).select("v", "label"),
+    "label_propagation": lambda v, e, k, p: label_propagation(v, e, p, k),
+}
