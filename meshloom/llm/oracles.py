@@ -1,3 +1,65 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The classifiers, the language model, the shards, the token files and the
+fingerprints have none: tests hold them against brute force or labels."""
+
+FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PLAIN = r"'[^\x20\x09-\x0D]+'"
+BENCH = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP6 = f"""
+with d as (select doc_id, coalesce(regexp_extract_all({FOLD.format('text')}, {BENCH}), []) w from documents),
+b as (select item_id, coalesce(regexp_extract_all({FOLD.format('text')}, {BENCH}), []) w from benchmark),
+win as (select item_id, w[i : i + 12] g from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) i from b where len(w) > 0)),
+lens as (select distinct len(g) n from win),
+pos as (select doc_id, i, w[i : i + n - 1] g, n from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from d, lens where len(w) >= n)),
+hit as (select distinct doc_id, i, item_id, p.n from pos p join win using (g)),
+cov as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(range(i, i + n)) k from hit) group by 1),
+it as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item_id::varchar item from hit) group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
+coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated from d left join cov using (doc_id) left join it using (doc_id)
+"""
+
+OP7 = """
+with p as (select page_id, coalesce(html, '') h from pages), k as (select *, max(page_id) over (partition by h) keep, sha1(h) x from p)
+select page_id, octet_length(encode(h))::bigint payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '') payload_digest,
+case when page_id = keep then 'response' else 'revisit' end record_type, case when page_id = keep then null else keep end refers_to from k
+"""
+
+
+def _hash(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, 'null')), 1, 7))::bigint"
+
+
+OP9 = f"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {PLAIN})), 0)::bigint size from documents),
+s as (select source, sum(size)::bigint n, (row_number() over (order by source nulls last) - 1) % 3 + 1 w from d group by source),
+o as (select *, sum(n) over ()::bigint total, 3 * n / w r from s),
+l as (select *, (total - coalesce(sum(3 * n) over (order by r, source nulls last rows between unbounded preceding and 1 preceding), 0))::double / (sum(w) over (order by r, source nulls last rows between current row and unbounded following))::double lv from o),
+t as (select source, n, total, least(3.0::double * n, coalesce(max(case when lv <= r then lv end) over () * w, 0.0::double)) target from l),
+q as (select source, target / (2 * k - 1) v, k from t, range(1, 1 + (select round(sum(size) / 64)::bigint from d)) x(k)),
+won as (select source, count(*) blocks from (select source, row_number() over (order by v desc, source nulls last, k) p from q where v > 0) where p <= (select round(sum(size) / 64)::bigint from d) group by 1),
+u as (select t.source, n, target, least(coalesce(blocks, 0) * 64, 3 * n) words from t left join won on t.source is not distinct from won.source),
+z as (select *, case when n > 0 then words // n else 0 end whole, case when n > 0 then words % n else words end rest, greatest(1, ceil(n / 1048576))::bigint shards from u),
+e as (select d.doc_id, d.source, d.size, z.n, z.target, z.whole, z.rest, {_hash(20240607)} % shards shard, {_hash(20240608)} place from d join z on d.source is not distinct from z.source),
+h as (select source, shard, rest, sum(size)::bigint n, round(rest / 64)::bigint seats from e group by 1, 2, 3),
+hq as (select source, shard, seats, n / (2 * k - 1) v, k from h, lateral (select unnest(range(1, seats + 1)) k)),
+hw as (select source, shard, count(*) blocks from (select source, shard, seats, row_number() over (partition by source order by v desc, shard, k) p from hq where v > 0) where p <= seats group by 1, 2),
+c as (select h.source, h.shard, least(coalesce(blocks, 0) * 64, h.n) quota from h left join hw on h.source is not distinct from hw.source and h.shard = hw.shard)
+select doc_id, size, n source_size, target, (whole * size + greatest(0, least(size, quota - (sum(size) over (partition by e.source, e.shard order by place, doc_id, size rows unbounded preceding) - size))))::bigint taken
+from e join c on e.source is not distinct from c.source and e.shard = c.shard
+"""
+
+OP10 = f"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all({FOLD.format('text')}, {PLAIN}), []) w from documents),
+s as (select distinct doc_id, case when len(w) >= 5 then array_to_string(w[i : i + 4], ' ') else array_to_string(w, ' ') end g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+arcs as (select a src, b dst from l union all select b, a from l),
+cc(doc_id, c) using key (doc_id) as (select doc_id, doc_id from d union select doc_id, m from (select dst doc_id, min(c) m from cc join arcs on src = cc.doc_id group by 1) x where exists (select 1 from recurring.cc r where r.doc_id = x.doc_id and x.m < r.c))
+select d.doc_id, coalesce(n.n, 0) n_shingles, c component_id from d left join n using (doc_id) join cc using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op7_warc": OP7, "op9_mixing": OP9, "op10_jaccard_join": OP10}
