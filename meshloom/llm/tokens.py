@@ -17,6 +17,7 @@ other columns are ignored; an empty table gives an empty file.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import materialize, new_path
+from .storage import materialize, new_path, remove
 from .textops import slices, text_buffer, words
 
 SCALE_BITS = 20
@@ -121,16 +122,6 @@ class WordTokenizer:
         out[inner] = self.ids_of(row[word]) if len(row) else 0
         return out, np.concatenate(([0], ends + 1))
 
-    def count(self, texts: pa.Array, total: np.ndarray, end: int = END_ID) -> None:
-        """Adds the texts' ids, ends included, to ``total``."""
-        data, at = text_buffer(texts)
-        start, stop, names, _ = words(data, at)
-        row, word = self.rows(data, start, stop, names)
-        if len(row):
-            times = np.repeat(np.bincount(word, minlength=len(row)), self.size[row])
-            total += np.bincount(self.ids_of(row), times, len(total)).astype(np.int64)
-        total[end] += len(at) - 1
-
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -138,6 +129,7 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 def tokenizer(path: str) -> WordTokenizer:
     """One per worker, so that its cache outlives a task."""
     if path not in _TOKENIZERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; a pool per worker would only wait
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
 
@@ -231,43 +223,28 @@ class Coder:
         return out
 
 
-def id_counts(docs: DataFrame, path: str, vocabulary: int) -> np.ndarray:
-    """How often each id occurs in all documents; one row per id and task reaches the driver at most per id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                tokenizer(path).count(part.column("text"), total)
-        on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["id", "k"])
-
-    counted = docs.select("text").mapInArrow(run, "id long, k long").groupBy("id").agg(F.sum("k").alias("k")).toPandas()
-    out = np.zeros(vocabulary, np.int64)
-    out[counted["id"].to_numpy(np.int64)] = counted["k"].to_numpy(np.int64)
-    return out
-
-
 BLOCKS = "shard int, block int, n_docs long, n_ids long, doc_ids binary, lengths binary, payload binary"
+_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
 
+def _plain_blocks(path: str, width: str):
+    """Blocks of plain ids, ``width`` a number, from rows in ascending order."""
 
-def _write_blocks(freq: np.ndarray, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, shard, block = Coder(freq), TaskContext.get().partitionId(), 0
+        shard, block = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         held: list[np.ndarray] = []
         size = 0
 
         def row() -> pa.RecordBatch:
-            ids = np.concatenate(held)
-            # a null doc_id is kept as the one value that its mark, a leading byte, tells apart
+            # a null doc_id is told apart by a leading byte
             names = b"".join(struct.pack("<?q", d is None, d or 0) for d in docs)
             lengths = np.array([len(x) for x in held], "<i8").tobytes()
-            values = [[shard], [block], [len(docs)], [len(ids)], [names], [lengths], [coder.encode(ids)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["shard", "block", "n_docs", "n_ids", "doc_ids", "lengths", "payload"])
+            values = [shard, block, len(docs), size, names, lengths, np.concatenate(held).astype(width).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES, strict=True)], _NAMES)
 
         for batch in batches:
             for part in slices(batch):
@@ -285,13 +262,48 @@ def _write_blocks(freq: np.ndarray, path: str):
     return run
 
 
+def id_counts(blocks: DataFrame, vocabulary: int, width: str) -> np.ndarray:
+    """How often each id occurs in all plain blocks; at most a row per id reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            for payload in batch.column("payload"):
+                total += np.bincount(np.frombuffer(payload.as_buffer(), width), minlength=vocabulary)
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["id", "k"])
+
+    counted = blocks.select("payload").mapInArrow(run, "id long, k long").groupBy("id").agg(F.sum("k").alias("k")).toPandas()
+    out = np.zeros(vocabulary, np.int64)
+    out[counted["id"].to_numpy(np.int64)] = counted["k"].to_numpy(np.int64)
+    return out
+
+
+def _coded(freq: np.ndarray, width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(freq)
+        for batch in batches:
+            coded = [coder.encode(np.frombuffer(x.as_buffer(), width).astype(np.uint32)) for x in batch.column("payload")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(coded, pa.binary())], _NAMES)
+
+    return run
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, shards: int | None = None) -> np.ndarray:
-    """Writes all documents in ascending doc_id order and returns the shared table."""
-    docs = docs.select("doc_id", "text")
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    freq = quantized(id_counts(docs, tokenizer_path, vocabulary))
-    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_write_blocks(freq, tokenizer_path), BLOCKS).write.option("compression", "uncompressed").parquet(path)
+    """Writes all documents in ascending doc_id order and returns the shared table.
+
+    Texts are encoded once, into blocks of plain ids; the counts over these make
+    the table with which every block is then coded on its own."""
+    spark = docs.sparkSession
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    plain_path = new_path(spark, "token-blocks")
+    ordered.mapInArrow(_plain_blocks(tokenizer_path, width), BLOCKS).write.option("compression", "zstd").parquet(plain_path)
+    plain = spark.read.schema(BLOCKS).parquet(plain_path)
+    freq = quantized(id_counts(plain, vocabulary, width))
+    plain.mapInArrow(_coded(freq, width), BLOCKS).write.option("compression", "uncompressed").parquet(path)
+    remove(spark, plain_path)
     return freq
 
 

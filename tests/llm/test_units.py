@@ -146,9 +146,6 @@ def test_word_tokenizer_equals_the_library():
     own = tokens.WordTokenizer(path)
     texts = [*TEXTS, "it's O'Neil's <|endoftext|> 12,345 \x01mark \x01 x", " nbsp em", "İstanbul ΣΑΣ ǅ", "\x1c\x1d odd", "é café CAFÉ"]
     ids, at = own.encode(pa.array(texts))
-    total = np.zeros(60_000, np.int64)
-    own.count(pa.array(texts), total)
-    assert (total == np.bincount(ids, minlength=60_000)).all()
     for i, text in enumerate(texts):
         want = [*own.library.encode(text or "", add_special_tokens=False).ids, 1]
         assert ids[at[i] : at[i + 1]].tolist() == want, text
