@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 from .textops import IS_WORD, slices, text_buffer, words
-from .toxicity import held_out, sample
+from .toxicity import held_out, runs, sample
 
-PER_CLASS, HIDDEN, EPOCHS, BATCH, SEED = 4000, 16, 60, 64, 3
+PER_CLASS, HIDDEN, EPOCHS, BATCH, SEED = 3000, 16, 60, 64, 3
 SOFT, LEAST, MOST = 0.25, 2.0, 1e4
 IS_LINE = np.ones(256, bool)
 IS_LINE[[10, 13]] = False
@@ -114,14 +114,14 @@ def train(x: np.ndarray, good: np.ndarray, prior: float) -> Network:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network | None:
-    rows = sample(docs, labels, "quality", PER_CLASS).orderBy("doc_id").toPandas().drop_duplicates("doc_id")
-    good = (rows["label"].to_numpy() == 1).astype(float)
+    rows = sample(docs, labels, "quality", PER_CLASS).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    good = (rows.column("label").to_numpy() == 1).astype(float)
     if not 0 < good.sum() < len(good):
         return None
     usable = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     prior = usable.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    data, at = text_buffer(pa.array(rows["text"].fillna("").tolist(), pa.large_string()))
-    return train(statistics(data, at), good, min(max(prior, 1e-4), 1 - 1e-4))
+    x = np.concatenate([statistics(*run) for run in runs(rows.column("text").combine_chunks())])
+    return train(x, good, min(max(prior, 1e-4), 1 - 1e-4))
 
 
 def document_evidence(docs: DataFrame, net: Network | None, host: Column, path: Column) -> DataFrame:
