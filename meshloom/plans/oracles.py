@@ -162,7 +162,7 @@ ORACLES: dict[str, str] = {
     "min_over_files": f"with {RUNS} select min(m) cutoff from (select max(run_idx) - 1 m from runs group by mesh_idx)",
     "derived_totals": "select l_orderkey, l_partkey, round(l_quantity + l_extendedprice + l_tax, 4) total from lineitem where l_linenumber = 1",
     "grain_process_count": "select count(*) // 800 processes from orders",
-    "scientific_notation": "select o_orderkey, split_part(printf('%.1e', floor(o_totalprice)), 'e', 1) || ' \\times 10^{' || split_part(printf('%.1e', floor(o_totalprice)), 'e', 2)::int || '}' as text from orders",
+    "scientific_notation": "select o_orderkey, split_part(printf('%.1e', floor(o_totalprice) + 0.3::double), 'e', 1) || ' \\times 10^{' || split_part(printf('%.1e', floor(o_totalprice) + 0.3::double), 'e', 2)::int || '}' as text from orders",
     "trailing_numbers": "select p_partkey, case when p_partkey % 2 = 0 then p_partkey end count from part",
     "bit_helpers": "select p_partkey, floor(log2(p_partkey))::bigint log2, bit_count(p_partkey) = 1 as power, case when p_partkey <= 1 then 1 else (1 << ceil(log2(p_partkey))::bigint) end::bigint as next from part where p_partkey > 0",
     "stretch_increment": "select p_partkey, round(log2(p_size) + 1, 9) step from part",
