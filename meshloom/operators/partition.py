@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import growth, metrics
 from .iterate import bfs, fixpoint, relax, symmetric, written
 from .ordering import block_labels, mid_seeds, stride_samples
 
@@ -233,6 +233,9 @@ REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[str], int], DataFrame]]
     "bfs_refined": lambda v, e, k, p: refined(e, written(bfs(e, seeds_along(v, k, p))), p).select("v", "label"),
     "pagerank": lambda v, e, k, p: pagerank_labels(v, e, seeds_along(v, k, p)).select("v", "label"),
     "two_pass": lambda v, e, k, p: two_pass(e, seeds_along(v, k, p), p).select("v", "label"),
+    "size_proxy": lambda v, e, k, p: growth.fill(v, e, growth.size_proxy(e, seeds_along(v, k, p), v.count(), p)),
+    "stop_when_ideal": lambda v, e, k, p: growth.stop_when_ideal(v, e, seeds_along(v, k, p), p),
+    "bidding": lambda v, e, k, p: growth.fill(v, e, growth.bidding(v, e, seeds_along(v, k, p)).where("label is not null")),
     "merge_pairs": merge_pairs,
     "drop_worst": lambda v, e, k, p: drop_worst(v, e, k, p).select("v", "label"),
     "label_propagation": lambda v, e, k, p: label_propagation(v, e, p, k),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions import curves, scalars
-from meshloom.operators import analysis, iterate, linalg, metrics, ordering, partition, topology
+from meshloom.operators import analysis, growth, iterate, linalg, metrics, ordering, partition, topology
 from meshloom.sources import generators
 from meshloom.sources.tables import load
 
@@ -350,6 +350,37 @@ def rebalanced_labels(spark: SparkSession, sf: str) -> DataFrame:
     return partition.rebalance(e, grown, fx.PARTS)
 
 
+@query
+def seed_reach_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances from each of three seeds on its own, over the whole lattice."""
+    v, e = fx.lattice(spark, sf)
+    return growth.seed_reach(iterate.written(e), fx.block_seeds(v, 3), 1 << 60).select("v", "label", F.col("dist").cast("long").alias("dist"))
+
+
+@query
+def size_proxy_labels(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return growth.size_proxy(iterate.written(e), fx.block_seeds(v), v.count(), fx.PARTS)
+
+
+@query
+def stop_when_ideal_labels(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return growth.stop_when_ideal(v, iterate.written(e), fx.block_seeds(v), fx.PARTS)
+
+
+@query
+def walked_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return growth.walk_seeds(iterate.written(e), fx.block_seeds(v).select(F.col("label").alias("walker"), "v"), 5)
+
+
+@query
+def bidding_labels(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return growth.bidding(v, iterate.written(e), fx.block_seeds(v)).select("v", "label")
+
+
 @query
 def label_propagation_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)

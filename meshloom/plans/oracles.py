@@ -146,6 +146,7 @@ ORACLES: dict[str, str] = {
     "bfs_layer_cumulative": f"{GROWN}, l as (select label, dist, count(*) n from bfs group by 1, 2) select label::bigint as label, dist::bigint dist, n, (sum(n) over (partition by label order by dist))::bigint total from l",
     "seed_pair_distance": f"{GROWN} select least(a.label, b.label)::bigint a, greatest(a.label, b.label)::bigint b, min(a.dist + b.dist)::bigint distance from edges e join bfs a on a.v = e.u join bfs b on b.v = e.v where a.label <> b.label group by 1, 2",
     "connected_components": "with recursive e as (select a.c_custkey u, b.c_custkey v from customer a join customer b on b.c_custkey = a.c_custkey + 7 and a.c_nationkey % 5 = b.c_nationkey % 5), a as (select u src, v dst from e union all select v, u from e), cc(v, component) using key (v) as (select c_custkey, c_custkey from customer union select v, m from (select dst v, min(component) m from cc join a on src = cc.v group by 1) n where exists (select 1 from recurring.cc r where r.v = n.v and n.m < r.component)) select v, component from cc",
+    "seed_reach_rows": f"with recursive {LATTICE}, {EDGES}, l3 as (select e v, ntile(3) over (order by e) - 1 as label from ids), s3 as (select v, label from (select v, label, row_number() over (partition by label order by v) - 1 p, count(*) over (partition by label) n from l3) where p = n // 2), r(v, label, dist) using key (v, label) as (select v, label, 0 from s3 union select a.dst, b.label, min(b.dist) + 1 from r b join arcs a on a.src = b.v left join recurring.r o on o.v = a.dst and o.label = b.label where o.v is null group by a.dst, b.label) select v, label::bigint as label, dist::bigint dist from r",
     "pagerank_15": _pagerank(),
     "coo_assembly": f"with {LATTICE}, {NODES} select a.node i, b.node j, round(count(*) * sin((a.node + b.node + 1)::double), 6) a from nodes a join nodes b on a.e = b.e where a.e < 500 group by 1, 2",
     "spmv_once": f"with {LATTICE}, {NODES}, m as (select a.node i, b.node j, count(*) * sin((a.node + b.node + 1)::double) a from nodes a join nodes b on a.e = b.e group by 1, 2), x as (select node j, count(*) * cos(node::double) x from nodes group by 1) select i, round(sum(a * x), 5) y from m join x using (j) group by i",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom.functions import curves, scalars
-from meshloom.operators import analysis, iterate, linalg, metrics, ordering, partition, topology
+from meshloom.operators import analysis, growth, iterate, linalg, metrics, ordering, partition, topology
 from meshloom.sources import files, generators, msh, octree
 from meshloom.streaming import run_log
 
@@ -250,3 +250,20 @@ def test_zscore_and_ranks(spark):
     assert got == {1.0: 19, 100.0: 20}
     z = analysis.standardise(df.where("g = 'b'"), "v").first()
     assert z.z is None
+
+
+def test_walks_and_bids(spark, grid):
+    cells, edges = grid
+    place = {r.e: (r.i, r.j, r.k) for r in cells.collect()}
+    start = spark.createDataFrame([(0, 0), (1, 62)], "walker long, v long")
+    one = {r.walker: r.v for r in growth.walk_seeds(edges, start, 1).collect()}
+    assert all(sum(abs(a - b) for a, b in zip(place[one[w]], place[v], strict=True)) == 1 for w, v in ((0, 0), (1, 62)))
+    bids = spark.createDataFrame([(1, 0, 3), (1, 2, 3), (2, 1, 5), (3, 1, 1)], "v long, label long, dist int")
+    owners = spark.createDataFrame([(1, None, None), (2, 7, 4), (3, 7, 4), (4, 7, 0)], "v long, label long, dist int")
+    assert {r.v: (r.label, r.dist) for r in growth.granted(bids, owners).collect()} == {1: (0, 3), 2: (7, 4), 3: (1, 1), 4: (7, 0)}
+
+
+def test_reach_stops_at_enough(spark, grid):
+    _, edges = grid
+    got = growth.seed_reach(edges, spark.createDataFrame([(0, 0), (124, 1)], "v long, label long"), 10).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in got} == {0: 10, 1: 10}
