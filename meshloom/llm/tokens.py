@@ -39,7 +39,7 @@ CHECKPOINT_STEPS = 64
 BLOCK_IDS = 1 << 18
 MAGIC = b"RAN1"
 END_ID = 1
-CACHE_WORDS = 1 << 20
+CACHE_WORDS, MERGE_WORDS = 1 << 20, 1 << 15
 MARK = "\x01"
 
 
@@ -59,9 +59,27 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
+        # two sorted levels of (hash, row), the small one merged into the large: numbers only, so a million words take 40 MB
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
         self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        """Cache row of each of the sorted ``names``, -1 for new ones."""
+        row = np.full(len(names), -1, np.int64)
+        for held, rows in self.levels:
+            if len(held):
+                at = np.minimum(np.searchsorted(held, names), len(held) - 1)
+                row = np.where(held[at] == names, rows[at], row)
+        return row
+
+    def _keep(self, names: np.ndarray, rows: np.ndarray) -> None:
+        (large, large_rows), (small, small_rows) = self.levels
+        small, small_rows = _merged(small, small_rows, names, rows.astype(np.int32))
+        if len(small) > MERGE_WORDS:
+            large, large_rows = _merged(large, large_rows, small, small_rows)
+            small, small_rows = small[:0], small_rows[:0]
+        self.levels = [(large, large_rows), (small, small_rows)]
+
     def library_ids(self, runs: list[str]) -> list[np.ndarray]:
         """Ids of each run.  Runs are joined around a mark that is a token of its own there."""
         single = [i for i, r in enumerate(runs) if MARK in r or len(self.mark) != 1]
@@ -85,17 +103,16 @@ class WordTokenizer:
 
     def rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cache row of each distinct word, and the word of each run."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.size) > CACHE_WORDS:
             self.reset()
         names, first, word = np.unique(names, return_index=True, return_inverse=True)
-        listed = names.tolist()
-        row = np.fromiter((self.known.get(x, -1) for x in listed), np.int64, len(listed))
+        row = self._find(names)
         new = np.flatnonzero(row < 0)
         if len(new):
             raw = data.tobytes()
             found = self.library_ids([raw[start[i] : end[i]].decode() for i in first[new].tolist()])
             row[new] = np.arange(len(new)) + len(self.size)
-            self.known.update(zip(names[new].tolist(), row[new].tolist(), strict=True))
+            self._keep(names[new], row[new])
             size = np.array([len(x) for x in found], np.int64)
             self.size = np.concatenate((self.size, size))
             self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(size)))
@@ -123,6 +140,12 @@ class WordTokenizer:
         return out, np.concatenate(([0], ends + 1))
 
 
+def _merged(a: np.ndarray, a_rows: np.ndarray, b: np.ndarray, b_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted (name, row) lists as one."""
+    at = np.searchsorted(a, b)
+    return np.insert(a, at, b), np.insert(a_rows, at, b_rows)
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 

@@ -151,6 +151,17 @@ def test_word_tokenizer_equals_the_library():
         assert ids[at[i] : at[i + 1]].tolist() == want, text
 
 
+def test_word_cache_merges_and_resets(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokens, "MERGE_WORDS", 7)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 60)
+    own = tokens.WordTokenizer(P.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    for _ in range(30):
+        text = " ".join(f"word{rng.randrange(90)}" for _ in range(12))
+        assert own.encode(pa.array([text]))[0].tolist() == [*own.library.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_packing_balances_and_keeps_all():
     rng = np.random.default_rng(1)
     demand = rng.lognormal(0, 1, (2000, 3)).round(3) + 1
