@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.llm import brown, components, decontam, jaccard, mixing, quality, sharding, simhash, tokens, toxicity, warc
+from meshloom.llm import brown, components, decontam, jaccard, mixing, quality, sharding, simhash, textops, tokens, toxicity, warc
 from meshloom.llm.queries import word_vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, row string, part int"
@@ -305,6 +306,39 @@ def test_class_model_probabilities_sum_to_one(spark, docs):
         assert words + p[classes] * (rare.sum() + 10**m.unknown) + p[ends] == pytest.approx(1, abs=1e-6)
 
 
+def test_every_word_has_a_class_and_probabilities_sum_to_one(spark, docs):
+    marked = docs.select("doc_id", brown.held_out(F.col("doc_id")).alias("held_out"), "text").where("not held_out")
+    counts = brown.word_counts(marked).persist()
+    core = brown.fit(marked, counts, 12, 4, 40)
+    others = brown.assigned(marked, core).persist()
+    want = {r.word: r.c for r in counts.collect()}
+    listed = {int(w): int(c) for w, c in zip(core.listed.view("int64"), core.counts, strict=True)}
+    top = set(list(listed)[:12])
+    assert {r.word: r.c for r in others.collect()} == {w: c for w, c in want.items() if w not in top}
+    model = brown.classed(marked, others, core)
+    m = len(model.norm)
+    word = np.zeros(m)
+    np.add.at(word, model.classes[:12], 10 ** model.emission[:12])
+    for r in others.collect():
+        word[r["class"]] += 10 ** (math.log10(r.c - model.discount) + model.norm[r["class"]])
+    for row in 10**model.transition:
+        assert row[:m] @ word + row[m] + row[m + 1] == pytest.approx(1, abs=1e-6)
+    by_word = {r.word: r["class"] for r in others.collect()}
+    assert all(by_word[w] == c for w, c in zip(core.listed.view("int64")[12:].tolist(), model.classes[12:].tolist(), strict=True))
+    own = by_word | dict(zip(core.listed.view("int64")[:12].tolist(), core.classes.tolist(), strict=True))
+    seen = np.zeros((m + 1, m + 1))
+    for r in marked.collect():
+        data, at = textops.text_buffer(pa.array([r.text], pa.string()))
+        chain = [m, *[own[int(h)] for h in textops.words(data, at)[2].view("int64")], m]
+        np.add.at(seen, (chain[:-1], chain[1:]), 1)
+    assert (brown.class_transitions(marked, others, core.listed, model.classes, m) == seen).all()
+
+
+def test_scores_do_not_depend_on_what_is_listed(docs):
+    few, all_ = (sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.score, 6)) for r in brown.score(docs, 12, 4, listed).collect()) for listed in (40, 1 << 18))
+    assert few == all_
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7), (400, 300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
