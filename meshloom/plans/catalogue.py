@@ -378,7 +378,7 @@ def walked_seeds(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def bidding_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return growth.bidding(v, iterate.written(e), fx.block_seeds(v)).select("v", "label")
+    return growth.bidding(iterate.written(e), fx.key_labels(v))
 
 
 @query

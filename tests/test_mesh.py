@@ -267,3 +267,18 @@ def test_reach_stops_at_enough(spark, grid):
     _, edges = grid
     got = growth.seed_reach(edges, spark.createDataFrame([(0, 0), (124, 1)], "v long, label long"), 10).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in got} == {0: 10, 1: 10}
+
+
+def test_bidding_starts_from_all_labels(spark):
+    n, parts, place = 24, 2, {v: v // 18 for v in range(24)}  # a path; the first part is larger
+    e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "u long, v long")
+    got = growth.bidding(e, spark.createDataFrame(list(place.items()), "v long, label long"), 3).collect()
+    for _ in range(3):
+        dist = {}
+        for p in range(parts):
+            own = sorted(v for v in place if place[v] == p)
+            mid, limit = own[len(own) // 2], 2 * int(np.ceil(np.log2(len(own))))
+            dist |= {(v, p): abs(v - mid) for v in range(n) if abs(v - mid) < limit}
+        best = {v: min((dist[v, p], p) for p in range(parts) if (v, p) in dist) for v in range(n) if any((v, p) in dist for p in range(parts))}
+        place = {v: best[v][1] if v in best and best[v][0] < dist.get((v, own), n) else own for v, own in place.items()}
+    assert len(got) == n and {r.v: r.label for r in got} == place and list(place.values()).count(0) != 18
