@@ -360,7 +360,8 @@ def seed_reach_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def size_proxy_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return growth.size_proxy(iterate.written(e), fx.block_seeds(v), v.count(), fx.PARTS)
+    e = iterate.written(e)
+    return growth.fill(v, e, growth.size_proxy(e, fx.block_seeds(v), v.count(), fx.PARTS))
 
 
 @query

@@ -1,11 +1,14 @@
 """Closed forms, invariants and formats of the mesh engine."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meshloom.functions import curves, scalars
 from meshloom.operators import analysis, growth, iterate, linalg, metrics, ordering, partition, topology
+from meshloom.plans import catalogue
 from meshloom.sources import files, generators, msh, octree
 from meshloom.streaming import run_log
 
@@ -282,3 +285,15 @@ def test_bidding_starts_from_all_labels(spark):
         best = {v: min((dist[v, p], p) for p in range(parts) if (v, p) in dist) for v in range(n) if any((v, p) in dist for p in range(parts))}
         place = {v: best[v][1] if v in best and best[v][0] < dist.get((v, own), n) else own for v, own in place.items()}
     assert len(got) == n and {r.v: r.label for r in got} == place and list(place.values()).count(0) != 18
+
+
+def test_seeds_grow_until_the_slowest_has_enough(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(19)], "u long, v long")
+    got = growth.seed_reach(e, spark.createDataFrame([(0, 0), (10, 1)], "v long, label long"), 5).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in got} == {0: 5, 1: 9}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_size_proxy_query_returns_every_vertex_once(spark):
+    got = catalogue.QUERIES["size_proxy_labels"](spark, "/root/testdata/sf0.01").agg(F.count(F.lit(1)), F.count_distinct("v"), F.count("label")).first()
+    assert set(got) == {spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()}
