@@ -393,7 +393,7 @@ def label_propagation_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def coo_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    return linalg.assemble(_nodes(spark, sf).where("e < 500")).select("i", "j", F.round("a", 6).alias("a"))
+    return linalg.assemble(_nodes(spark, sf)).select("i", "j", F.round("a", 6).alias("a"))
 
 
 @query

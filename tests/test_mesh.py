@@ -297,3 +297,12 @@ def test_seeds_grow_until_the_slowest_has_enough(spark):
 def test_size_proxy_query_returns_every_vertex_once(spark):
     got = catalogue.QUERIES["size_proxy_labels"](spark, "/root/testdata/sf0.01").agg(F.count(F.lit(1)), F.count_distinct("v"), F.count("label")).first()
     assert set(got) == {spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_matrix_query_has_entries_of_all_elements(spark):
+    elements = {}
+    for r in catalogue._nodes(spark, "/root/testdata/sf0.001").collect():
+        elements.setdefault(r.e, []).append(r.node)
+    want = {(i, j) for nodes in elements.values() for i in nodes for j in nodes}
+    assert {(r.i, r.j) for r in catalogue.QUERIES["coo_assembly"](spark, "/root/testdata/sf0.001").collect()} == want
