@@ -474,7 +474,7 @@ def min_over_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def derived_totals(spark: SparkSession, sf: str) -> DataFrame:
     li = load(spark, sf, "lineitem")
-    return li.where("l_linenumber = 1").select("l_orderkey", "l_partkey", F.round(F.col("l_quantity") + F.col("l_extendedprice") + F.col("l_tax"), 4).alias("total"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_quantity") + F.col("l_extendedprice") + F.col("l_tax"), 4).alias("total"))
 
 
 @query

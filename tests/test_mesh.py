@@ -306,3 +306,11 @@ def test_matrix_query_has_entries_of_all_elements(spark):
         elements.setdefault(r.e, []).append(r.node)
     want = {(i, j) for nodes in elements.values() for i in nodes for j in nodes}
     assert {(r.i, r.j) for r in catalogue.QUERIES["coo_assembly"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_totals_query_keeps_every_line(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax").collect()
+    want = sorted((r[0], r[1], float(r[2]) + float(r[3]) + float(r[4])) for r in lines)
+    got = sorted((r.l_orderkey, r.l_linenumber, float(r.total)) for r in catalogue.QUERIES["derived_totals"](spark, "/root/testdata/sf0.001").collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-3)
