@@ -8,30 +8,38 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over (a, b) rows with a > b."""
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table`` (key, k, ...), where k counts the rows of a key and ``total`` all rows.
+
+    A key with more than its share of the rows would fill one task.  Fewer such keys
+    than shuffle partitions can exist, so they are broadcast and their rows stay where they are."""
+    share = max(total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    values = [c for c in table.columns if c != key]
+    hot = F.broadcast(table.where(F.col("k") > share).select(key, F.struct(*values).alias("_hot")))
+    marked = rows.join(hot, key, "left")
+    rest = marked.where("_hot is null").drop("_hot").join(table.where(F.col("k") <= share), key)
+    return marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in values]).union(rest.select(*rows.columns, *values))
+
+
+def _stars(edges: DataFrame, count: int) -> DataFrame:
+    """One large-star and one small-star step over ``count`` (a, b) rows with a > b."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    down = large.groupBy("a").agg(F.min("b").alias("m"))
-    joined = large.join(down, "a")
-    small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("k"))
+    large = looked_up(both, least, "a", 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    down = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+    small = looked_up(large, down, "a", count).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.union(down.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the least node it reaches.
 
-    Each round is written to the shared folder, so a lost executor repeats one
-    round at most.  Nulls and loops are ignored."""
+    Rounds go on until one changes nothing; each is written to the shared folder, so
+    a lost executor repeats one round at most.  Nulls and loops are ignored."""
+    measure = [F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-0")
-    last = None
-    for k in range(max_rounds):
-        now = materialize(_stars(now), f"cc-{k + 1}")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError("components did not settle")
+    last, state = None, now.agg(*measure).first()
+    while state != last:
+        now = materialize(_stars(now, state[0]), "cc")
+        last, state = state, now.agg(*measure).first()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())

@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 
 FANOUT = 8
+STEP = 256
 BATCH_BYTES = 16 << 20
 
 
@@ -123,41 +124,44 @@ def _expand(a: np.ndarray, b: np.ndarray, na: int, nb: int, same: bool) -> tuple
 
 
 def _traverse(left: Tree, right: Tree, lsets: list[np.ndarray], rsets: list[np.ndarray], forest: Forest, shift: int, percent: int, same: bool) -> None:
-    """Depth first in bounded batches, so that memory doesn't follow the number of pairs."""
-    roots = forest.roots()
-    own = left.uniform(roots[: len(lsets)])
-    other = right.uniform(roots[shift : shift + len(rsets)])
+    """Depth first in bounded batches, so that memory doesn't follow the number of pairs.
+
+    Near leaves come first; whatever they link prunes the pairs that are still to come."""
     top = max(len(left.levels), len(right.levels)) - 1
-    for tree, marks in ((left, own), (right, other)):
+    for tree in (left, right):
         while len(tree.levels) <= top:  # the smaller tree gets roots of one child
             tree.levels.append(tree.levels[-1])
-            marks.append(marks[-1])
+
+    def marks() -> list[list[np.ndarray]]:
+        roots = forest.roots()
+        found = [left.uniform(roots[: len(lsets)]), right.uniform(roots[shift : shift + len(rsets)])]
+        for x in found:
+            x.extend([x[-1]] * (top + 1 - len(x)))
+        return found
+
+    (own, other), stale = marks(), False
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, a, b = stack.pop()
+        if stale:
+            (own, other), stale = marks(), False
         a, b = _survivors(left, right, level, a, b, own, other, percent)
         if level == 0:
-            for x, y in zip(left.order[a], right.order[b], strict=True):
-                if (not same or x != y) and forest.find(int(x)) != forest.find(int(y) + shift) and linked(lsets[x], rsets[y], percent):
-                    forest.join(int(x), int(y) + shift)
+            for x, y in zip(left.order[a].tolist(), right.order[b].tolist(), strict=True):
+                if (not same or x != y) and forest.find(x) != forest.find(y + shift) and linked(lsets[x], rsets[y], percent):
+                    stale |= forest.join(x, y + shift)
             continue
-        for k in range(0, len(a), 2048):
-            stack.append((level - 1, *_expand(a[k : k + 2048], b[k : k + 2048], len(left.levels[level - 1][1]), len(right.levels[level - 1][1]), same)))
+        near = np.argsort(np.abs(a - b), kind="stable")[::-1]  # the last in is the first out
+        a, b = a[near], b[near]
+        for k in range(0, len(a), STEP):
+            stack.append((level - 1, *_expand(a[k : k + STEP], b[k : k + STEP], len(left.levels[level - 1][1]), len(right.levels[level - 1][1]), same)))
 
 
 def self_join(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Component index (least position) of each non-empty set."""
-    n = len(sets)
-    forest = Forest(n)
-    if n == 2:
-        if linked(*sets, percent):
-            forest.join(0, 1)
-    elif n > 2:
+    forest = Forest(len(sets))
+    if len(sets) > 1:
         tree = Tree(sets, _bits(sets))
-        by_size = np.argsort([len(s) for s in sets], kind="stable")
-        for x, y in [*zip(tree.order[:-1], tree.order[1:], strict=True), *zip(by_size[:-1], by_size[1:], strict=True), *((by_size[n // 2], i) for i in range(n))]:
-            if forest.find(int(x)) != forest.find(int(y)) and linked(sets[x], sets[y], percent):
-                forest.join(int(x), int(y))
         _traverse(tree, tree, sets, sets, forest, 0, percent, True)
     return forest.roots()
 

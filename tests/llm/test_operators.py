@@ -77,9 +77,9 @@ def linked_groups(rows):
     return sets, [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("chunk", [jaccard.CHUNK, 2])
-def test_jaccard_equals_brute_force(spark, chunk):
-    """With chunks of two sets every larger block takes the way of large blocks."""
+@pytest.mark.parametrize(("chunk", "group", "shared"), [(jaccard.CHUNK, jaccard.GROUP, jaccard.SHARED), (2, jaccard.GROUP, jaccard.SHARED), (jaccard.CHUNK, 2, jaccard.SHARED), (3, 2, 2)])
+def test_jaccard_equals_brute_force(spark, chunk, group, shared):
+    """With chunks, groups and runs of two sets the ways of large blocks, crowded groups and hot keys are taken."""
     rng = np.random.default_rng(3)
     rows = corpus()
     for base in range(3):
@@ -89,7 +89,13 @@ def test_jaccard_equals_brute_force(spark, chunk):
             for _ in range(k):
                 changed[int(rng.integers(0, 80))] = f"new{rng.integers(0, 999)}"
             rows.append((100 + 10 * base + k, " ".join(changed), "en", "s", 1, 0, 0.0, "", 0))
-    got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA), chunk=chunk).select("doc_id", "n_shingles", "component_id").collect()
+    tail = sentence(rng, 12)
+    rows += [(200 + k, sentence(rng, 4) + " " + tail, "en", "s", 1, 0, 0.0, "", 0) for k in range(8)]  # a passage that unlike texts share
+    bridge = sentence(rng, 100).split()  # rows without an id: one joins two others, two are near each other only
+    rows += [(300, " ".join(bridge), "en", "s", 1, 0, 0.0, "", 0), (301, " ".join(bridge[:88]), "en", "s", 1, 0, 0.0, "", 0), (302, " ".join(bridge[12:]), "en", "s", 1, 0, 0.0, "", 0), (None, " ".join(bridge[6:94]), "en", "s", 1, 0, 0.0, "", 0)]
+    alone = sentence(rng, 60)
+    rows += [(None, alone, "en", "s", 1, 0, 0.0, "", 0), (None, alone + " end", "en", "s", 1, 0, 0.0, "", 0), (None, alone, "en", "s", 1, 0, 0.0, "", 0)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA), chunk=chunk, group=group, shared=shared).select("doc_id", "n_shingles", "component_id").collect()
     sets, group = linked_groups(rows)
     least = {}
     for r, g in zip(rows, group, strict=True):
@@ -343,6 +349,9 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7), (400, 300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {k: 100 for k in (100, 200, 300, 400)}
+    stars = [(1000, k) for k in range(300, 400)] + [(500 + k, 450) for k in range(100)] + [(599, 1000)]  # centres hold far more than a partition's share
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert set(got.values()) == {300} and len(got) == 202
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
