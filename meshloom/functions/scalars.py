@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_MASK, _MULTIPLIER = 0xFFFFFFFF, 0x5BD1E995
+
+
 def triple(a: Column, b: Column, c: Column) -> Column:
     """Scalar triple product of three vectors given as arrays."""
     return (
@@ -57,6 +60,39 @@ def next_power_of_two(n: Column) -> Column:
     return F.when(n <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.length(F.bin(n - 1)).cast("double")).cast("long"))
 
 
+def previous_power_of_two(n: Column) -> Column:
+    return F.when(n > 0, F.pow(F.lit(2.0), (F.length(F.bin(n)) - 1).cast("double")).cast("long"))
+
+
+def to_binary(n: Column, digits: int) -> Column:
+    """The low ``digits`` bits as text, most significant first."""
+    return F.lpad(F.bin(n.cast("long").bitwiseAND(F.lit((1 << digits) - 1))), digits, "0")
+
+
+def from_binary(text: Column) -> Column:
+    return F.conv(text, 2, 10).cast("long")
+
+
+def scrambled(n: Column) -> Column:
+    """A reversible scrambling of 32 bits: xor with the upper half, then an odd multiplier, twice."""
+    x = n.cast("long")
+    for _ in range(2):
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, 16)) * F.lit(_MULTIPLIER)
+        x = x.bitwiseAND(F.lit(_MASK))
+    return x
+
+
+def unscrambled(n: Column) -> Column:
+    """The inverse of ``scrambled``."""
+    x = n.cast("long")
+    back = pow(_MULTIPLIER, -1, _MASK + 1)
+    for _ in range(2):
+        low, high = F.lit(back & 0xFFFF), F.lit(back >> 16)  # the product is made of two, each below 2 ** 63
+        x = (x * low + F.shiftleft((x * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_MASK))
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, 16))
+    return x
+
+
 def colour(label: Column) -> list[Column]:
     """Red, green and blue of a label, by bits of its hash."""
     h = F.hash(F.lit(2), label)

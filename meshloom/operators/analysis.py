@@ -3,18 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import global_index
+from .skew import looked_up
+
 
 def best_of(runs: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Rows with their group's least value; ties stay."""
-    return runs.withColumn("_best", F.min(value).over(W.partitionBy(*group))).where(F.col(value) == F.col("_best")).drop("_best")
+    """Rows with their group's least value; ties stay.
+
+    The minimum combines on the map side; rows meet it on group and value, so a group's rows don't."""
+    best = runs.groupBy(*group).agg(F.min(value).alias(value))
+    return runs.join(best, [*group, value], "left_semi")
 
 
 def best_first(runs: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """One row per group, the first in ``order``."""
-    return runs.withColumn("_rn", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where("_rn = 1").drop("_rn")
+    """One row per group, the first in ``order``; equal rows are one."""
+    rest = [c for c in runs.columns if c not in {*group, *order}]
+    least = runs.groupBy(*group).agg(F.min(F.struct(*order, *rest)).alias("m"))
+    return least.select(*[F.col(c) if c in group else F.col(f"m.{c}").alias(c) for c in runs.columns])
+
+
+def best_by_value(runs: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value): the least value of each group."""
+    return runs.groupBy(*group).agg(F.min(value).alias(value))
+
+
+def of_run(runs: DataFrame, run: int = 0) -> DataFrame:
+    """The rows of one repetition."""
+    return runs.where(F.col("run_idx") == run)
+
+
+def before_cutoff(runs: DataFrame, cutoff: int) -> DataFrame:
+    """The rows of meshes that every file of a sweep has."""
+    return runs.where(F.col("mesh_idx") < cutoff)
 
 
 def ideal_scaling(times: DataFrame, group: list[str]) -> DataFrame:
@@ -40,15 +62,36 @@ def standardise(rows: DataFrame, value: str, out: str = "z") -> DataFrame:
 
 
 def rank_highest(rows: DataFrame, value: str, out: str = "rank") -> DataFrame:
-    """0-based rank; ties share the highest.  Distinct values are ranked, so rows don't meet in one task."""
-    values = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_k"))
-    ranked = values.select(value, (F.sum("_k").over(W.orderBy(value).rangeBetween(W.unboundedPreceding, 0)) - 1).cast("long").alias(out))
-    return rows.join(ranked, value)
+    """0-based rank; ties share the highest, which is the last place of the value in the order of all rows."""
+    placed = global_index(rows, [value], "_pos")
+    last = placed.groupBy(value).agg(F.max("_pos").alias(out), F.count(F.lit(1)).alias("k"))
+    return looked_up(rows, last, value, rows.count()).drop("k")
+
+
+def at_positions(rows: DataFrame, value: str, positions: list[float]) -> DataFrame:
+    """(k, value): interpolated values at fractional places of the order, the k-th for the k-th of ``positions`` (shares of n - 1)."""
+    placed = global_index(rows.select(value).where(F.col(value).isNotNull()), [value], "_pos")
+    n = placed.agg(F.count(F.lit(1)).alias("n"))
+    wanted = n.select("n", F.posexplode(F.array(*[F.lit(x) for x in positions])).alias("k", "share")).withColumn("at", (F.col("n") - 1) * F.col("share"))
+    wanted = F.broadcast(wanted.select("k", "at", F.floor("at").alias("low")))  # a row per position
+    near = placed.join(wanted, (F.col("_pos") == F.col("low")) | (F.col("_pos") == F.col("low") + 1))
+    both = near.groupBy("k", "at", "low").agg(F.max(F.when(F.col("_pos") == F.col("low"), F.col(value))).alias("a"), F.max(F.when(F.col("_pos") > F.col("low"), F.col(value))).alias("b"))
+    return both.select("k", (F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("at") - F.col("low"))).alias(value))
 
 
 def summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    return rows.groupBy(*group).agg(F.min(value).alias("least"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(value).alias("greatest"))
+    """Least, quartiles (interpolated) and greatest of every group.
+
+    Places come from one global order, so a group may be of any size."""
+    placed = global_index(rows.select(*group, value).where(F.col(value).isNotNull()), [*group, value], "_pos")
+    ends = placed.groupBy(*group).agg(F.min("_pos").alias("_from"), F.count(F.lit(1)).alias("_n"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    wanted = ends.select(*group, F.explode(F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("_share"), F.col("_from"), ((F.col("_n") - 1) * F.col("_share")).alias("_at"))
+    wanted = wanted.select(*group, "_share", "_at", F.explode(F.array(F.floor("_at"), F.floor("_at") + 1)).alias("_step"), (F.col("_from") + F.col("_step")).alias("_pos"))
+    near = placed.join(wanted, [*group, "_pos"])  # on the place too, so that a group's rows don't meet
+    low = F.floor("_at")
+    both = near.groupBy(*group, "_share", "_at").agg(F.max(F.when(F.col("_step") == low, F.col(value))).alias("a"), F.max(F.when(F.col("_step") > low, F.col(value))).alias("b"))
+    q = both.withColumn("q", F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("_at") - low)).groupBy(*group).agg(*[F.max(F.when(F.col("_share") == x, F.col("q"))).alias(c) for x, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    return ends.join(q, group).select(*group, "least", "q1", "median", "q3", "greatest")
 
 
 def series(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:

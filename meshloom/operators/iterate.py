@@ -1,44 +1,84 @@
 """Driver loops over DataFrames: the state is a table, a round is a plan.
 
-Every few rounds the state is written below spark.checkpoint.dir, which cuts the
-lineage and survives lost executors."""
+Every round is written below spark.checkpoint.dir, which cuts the lineage and
+survives lost executors; how many rows it added or changed is observed by the write
+itself.  Loops end when a round changes nothing; none has a limit of rounds."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .skew import looked_up
 
-def written(df: DataFrame, label: str = "state") -> DataFrame:
-    """``df`` as a table in the shared folder (our own below /tmp only in local mode without one)."""
-    spark = df.sparkSession
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder (our own below /tmp only in local mode without one)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/meshloom/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/meshloom/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str = "state") -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, path: str, count: Column | None = None) -> int:
+    """Writes ``df`` and returns an aggregate of what was written, its number of rows unless told otherwise."""
+    seen = Observation()
+    df.observe(seen, F.coalesce(F.count(F.lit(1)) if count is None else count, F.lit(0)).alias("n")).write.parquet(path)
+    return int(seen.get.get("n") or 0)
+
+
+class Layers:
+    """Tables of successive rounds in one folder; the round is a partition column, so all are read as one table."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.root, self.rounds, self.rows = spark, new_path(spark, label), 0, 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/round={self.rounds}"
+        self.rows = counted(df, path)
+        self.rounds += 1
+        self.schema = df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(StructType(self.schema.fields).add("round", "integer")).parquet(self.root)
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: list[Column], max_rounds: int = 500, every: int = 3) -> DataFrame:
-    """Applies ``step`` until ``measure`` (aggregates) no longer changes, ``every`` rounds to a write."""
-    now = written(state)
-    last = now.agg(*measure).first()
-    for _ in range(0, max_rounds, every):
-        for _ in range(every):
-            now = step(now)
-        now = written(now)
-        value = now.agg(*measure).first()
-        if value == last:
-            return now
-        last = value
-    raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
+
+@contextmanager
+def held(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` partitioned and sorted by ``key`` and kept by the executors, so that no round shuffles or sorts it again; lost parts are made anew."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = df.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], stop: Callable[[DataFrame], bool] = lambda _: False) -> DataFrame:
+    """Applies ``step`` until no row has ``changed``, or ``stop`` says so of a round's table; the state has a boolean column ``changed``."""
+    spark, changed, now = state.sparkSession, 1, written(state)
+    while changed and not stop(now):
+        new, path = step(now), new_path(state.sparkSession, "round")
+        changed = counted(new, path, F.count_if("changed"))
+        now = spark.read.schema(new.schema).parquet(path)
+    return now.drop("changed")
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -46,59 +86,63 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(edges.select(F.col("v"), F.col("u")))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(v, label, dist): the lexicographic minimum of (distance, label) over the seeds (v, label).
 
     Frontier only: in an undirected graph the neighbours of a layer lie in it, in
     the one before and in the one after, so a round's anti-join is against two
-    layers, never against everything reached.  The arcs are partitioned once."""
-    spark = edges.sparkSession
-    arcs = written(symmetric(edges).repartition("src").sortWithinPartitions("src"), "arcs")
-    layers = [written(seeds.groupBy("v").agg(F.min("label").alias("label")).withColumn("dist", F.lit(0)), "layer")]
-    before = layers[0].limit(0)
-    for k in range(1, max_rounds):
-        frontier = layers[-1]
-        reached = arcs.join(frontier, arcs.src == frontier.v).groupBy(F.col("dst").alias("v")).agg(F.min("label").alias("label"))
-        recent = frontier.select("v").union(before.select("v"))
-        layer = written(reached.join(recent, "v", "left_anti").withColumn("dist", F.lit(k)), "layer")
-        if layer.isEmpty():
-            break
-        before = frontier
-        layers.append(layer)
-    out = spark.read.schema(layers[0].schema).parquet(*[f for x in layers for f in x.inputFiles()])
-    return out.select("v", "label", "dist")
-
-
-def relax(edges: DataFrame, state: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """min over u of (dist(u) + hops(u, v), label(u)): full relaxation of (v, label, dist) to its fixpoint."""
-    arcs = symmetric(edges).persist()
-    least = F.min(F.struct("dist", "label")).alias("m")
+    layers, never against everything reached.  Arcs are partitioned by their source
+    once and kept; a round shuffles its frontier (or broadcasts it while Spark finds
+    it small) and what it reaches."""
+    layers = Layers(edges.sparkSession, "layers")
+    with held(symmetric(edges), "src") as arcs:
+        frontier = layers.add(seeds.groupBy("v").agg(F.min("label").alias("label")))
+        recent = frontier.select("v")
+        while layers.rows:
+            reached = arcs.join(frontier, arcs.src == frontier.v).groupBy(F.col("dst").alias("v")).agg(F.min("label").alias("label"))
+            before, frontier = frontier, layers.add(reached.join(recent, "v", "left_anti"))
+            recent = frontier.select("v").union(before.select("v"))
+    return layers.table().select("v", "label", F.col("round").alias("dist"))
+
+
+def relax(edges: DataFrame, state: DataFrame, cost: DataFrame | None = None) -> DataFrame:
+    """(v, label, dist) after relaxation to rest: a vertex takes the least (dist, label) that its neighbours offer.
+
+    A hop costs 1, or the ``step`` of its label in ``cost`` (label, step), which has a
+    row per part.  Only rows that the last round changed make offers."""
 
     def step(s: DataFrame) -> DataFrame:
-        sent = s.join(arcs, s.v == arcs.src).select(F.col("dst").alias("v"), "label", (F.col("dist") + 1).alias("dist"))
-        return s.select("v", "label", "dist").union(sent).groupBy("v").agg(least).select("v", "m.label", "m.dist")
+        sender = s.where("changed")
+        if cost is not None:
+            sender = sender.join(F.broadcast(cost), "label").select("v", "label", (F.col("dist") + F.col("step")).alias("dist"))
+        else:
+            sender = sender.select("v", "label", (F.col("dist") + 1).alias("dist"))
+        offers = sender.join(arcs, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "label", "dist", F.lit(False).alias("own"))
+        every = s.select("v", "label", "dist", F.lit(True).alias("own")).union(offers)
+        at = F.struct("dist", "label")
+        least = every.groupBy("v").agg(F.min(at).alias("m"), F.min(F.when(F.col("own"), at)).alias("old"))
+        return least.select("v", "m.label", "m.dist", F.coalesce(F.col("m") < F.col("old"), F.lit(True)).alias("changed"))
 
-    try:
-        return fixpoint(state.select("v", "label", "dist"), step, [F.count(F.lit(1)), F.sum("dist"), F.sum("label")], max_rounds)
-    finally:
-        arcs.unpersist()
+    with held(symmetric(edges), "src") as arcs:
+        return fixpoint(state.select("v", "label", "dist", F.lit(True).alias("changed")), step)
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(v, component): the least vertex of each component, by minimum labels with pointer jumping."""
-    arcs = symmetric(edges).persist()
-    start = vertices.select("v", F.col("v").alias("component"))
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, component): the least vertex of each component, by minimum labels with pointer jumping.
 
-    def step(s: DataFrame) -> DataFrame:
-        sent = s.join(arcs, s.v == arcs.src).select(F.col("dst").alias("v"), "component")
-        low = s.union(sent).groupBy("v").agg(F.min("component").alias("component"))
-        own, up = low.alias("own"), low.alias("up")
-        return own.join(up, F.col("own.component") == F.col("up.v")).select("own.v", F.least("own.component", "up.component").alias("component"))
+    The jump looks up the component of a component; one of them may hold all vertices."""
+    n = vertices.count()
 
-    try:
-        return fixpoint(start, step, [F.count(F.lit(1)), F.sum("component")], max_rounds, 2)
-    finally:
-        arcs.unpersist()
+    def step(s: DataFrame) -> DataFrame:
+        sent = s.join(arcs, s.v == arcs.src).select(F.col("dst").alias("v"), "component", F.lit(None).cast("long").alias("old"))
+        low = s.select("v", "component", F.col("component").cast("long").alias("old")).union(sent).groupBy("v").agg(F.min("component").alias("component"), F.max("old").alias("old"))
+        up = s.select(F.col("v").alias("component"), F.col("component").alias("higher"))  # the jump takes the last round's labels
+        table = low.groupBy("component").agg(F.count(F.lit(1)).alias("k")).join(up, "component")
+        jumped = looked_up(low, table, "component", n).select("v", F.least("component", "higher").alias("component"), "old")
+        return jumped.select("v", "component", (F.col("component") < F.col("old")).alias("changed"))
+
+    with held(symmetric(edges), "src") as arcs:
+        return fixpoint(vertices.select("v", F.col("v").alias("component"), F.lit(True).alias("changed")), step)
 
 
 def is_connected(vertices: DataFrame, edges: DataFrame) -> bool:

@@ -59,10 +59,26 @@ def floor_labels(rows: DataFrame, keys: list[str], parts: int, out: str = "label
 
 
 def mid_seeds(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """The row at position size div 2 of every label, in the order of ``keys``."""
-    part = W.partitionBy("label")
-    ranked = labelled.withColumn("_at", F.row_number().over(part.orderBy(*keys)) - 1).withColumn("_size", F.count(F.lit(1)).over(part))
-    return ranked.where(F.col("_at") == F.floor(F.col("_size") / 2)).drop("_at", "_size")
+    """The row at position size div 2 of every label, in the order of ``keys``.
+
+    Places come from one order by label and keys; only a row per label is picked from it."""
+    placed = global_index(labelled, ["label", *keys], "_pos")
+    middle = placed.groupBy("label").agg((F.min("_pos") + F.floor(F.count(F.lit(1)) / 2)).alias("_mid"))
+    return placed.join(F.broadcast(middle.select("_mid")), F.col("_pos") == F.col("_mid")).select(*labelled.columns)  # a row per label
+
+
+def least_gaps(values: DataFrame, group: str, value: str, out: str = "gap") -> DataFrame:
+    """(group, out): the least positive difference of neighbouring values in each group.
+
+    Neighbours are found within ranges of one order, and each range's first value
+    meets the last one of the range before; no task sees a whole group."""
+    spread = values.select(group, value).where(F.col(value).isNotNull()).distinct()
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(spread.repartitionByRange(parts, group, value).withColumn("_part", F.spark_partition_id()), "ranged")
+    inner = ranged.withColumn(out, F.col(value) - F.lag(value).over(W.partitionBy("_part", group).orderBy(value))).groupBy(group).agg(F.min(out).alias(out))
+    ends = ranged.groupBy(group, "_part").agg(F.min(value).alias("_first"), F.max(value).alias("_last"))  # a row per range and group
+    outer = ends.withColumn(out, F.col("_first") - F.lag("_last").over(W.partitionBy(group).orderBy("_part"))).groupBy(group).agg(F.min(out).alias(out))
+    return inner.union(outer).groupBy(group).agg(F.min(out).alias(out))
 
 
 def centroid_seeds(labelled: DataFrame, key: str) -> DataFrame:

@@ -10,11 +10,13 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import growth, metrics
-from .iterate import bfs, fixpoint, relax, symmetric, written
+from .iterate import bfs, fixpoint, held, relax, symmetric, written
 from .ordering import block_labels, mid_seeds, stride_samples
+from .topology import labelled_arcs
 
 #: Size bands over the ideal size and the adjustment of distances in each.  Fixed values.
 HEAVY = ((3.2, 6), (2.5, 5), (2.0, 4), (1.7, 3), (1.5, 2), (1.2, 1))
@@ -50,53 +52,62 @@ def refined(edges: DataFrame, state: DataFrame, parts: int) -> DataFrame:
     return relax(edges, written(moved))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, weight: float = 1000.0, rounds: int = 15, damping: float = 1.0, every: int = 5) -> DataFrame:
-    """(v, rank): rank' = d * sum(rank / degree) + (1 - d) / n, a fixed number of rounds."""
+def _weighted_arcs(edges: DataFrame) -> DataFrame:
+    """(src, dst, k): arcs with the degree of their source."""
     arcs = symmetric(edges)
-    degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    arcs = written(arcs.join(degree, "src"), "arcs")
+    return arcs.join(arcs.groupBy("src").agg(F.count(F.lit(1)).alias("k")), "src")
+
+
+def pagerank(vertices: DataFrame, edges: DataFrame, weight: float = 1000.0, rounds: int = 15, damping: float = 1.0, every: int = 5) -> DataFrame:
+    """(v, rank): rank' = d * sum(rank / degree) + (1 - d) / n, a fixed number of rounds.
+
+    Arcs lie by source and vertices by key, as do the ranks, so a round shuffles the shares only."""
     n = vertices.count()
-    now = vertices.select("v", F.lit(float(weight)).alias("rank"))
-    for k in range(1, rounds + 1):
-        sent = now.join(arcs, now.v == arcs.src).groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
-        now = now.select("v").join(sent, "v", "left").select("v", (F.lit(damping) * F.coalesce("got", F.lit(0.0)) + F.lit((1 - damping) / max(n, 1))).alias("rank"))
-        if k % every == 0 and k < rounds:
-            now = written(now)
+    now = written(vertices.select("v", F.lit(float(weight)).alias("rank")), "ranks")
+    with held(_weighted_arcs(edges), "src") as arcs, held(vertices.select(F.col("v").alias("w")), "w") as own:
+        for k in range(1, rounds + 1):
+            sent = now.join(arcs, now.v == arcs.src).groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
+            now = own.join(sent, own.w == sent.v, "left").select(F.col("w").alias("v"), (F.lit(damping) * F.coalesce("got", F.lit(0.0)) + F.lit((1 - damping) / max(n, 1))).alias("rank"))
+            if k % every == 0 or k == rounds:
+                now = written(now, "ranks")
     return now
 
 
-def pagerank_labels(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, weight: float = 10000.0, threshold: float = 1.05, max_rounds: int = 60) -> DataFrame:
+def pagerank_labels(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, weight: float = 10000.0, threshold: float = 1.05, after_coverage: int | None = None) -> DataFrame:
     """(v, label, value): a vertex takes the label of the greatest incoming weight per degree,
-    if it has none yet or that weight exceeds its own by ``threshold``."""
-    arcs = symmetric(edges)
-    degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    arcs = written(arcs.join(degree, "src"), "arcs")
-    start = vertices.join(seeds, "v", "left").select("v", "label", F.when(F.col("label").isNotNull(), F.lit(float(weight))).otherwise(F.lit(0.0)).alias("value"))
+    if it has none yet or that weight exceeds its own by ``threshold``.
+
+    Rounds end when none changes a vertex, or ``after_coverage`` rounds after every
+    vertex has a label.  The shares that a vertex gets for a label are added in
+    ascending order, so that rounding doesn't depend on the partitioning; a list of
+    them is as long as a vertex has neighbours, which meshes bound."""
+    start = vertices.join(seeds, "v", "left").select("v", "label", F.when(F.col("label").isNotNull(), F.lit(float(weight))).otherwise(F.lit(0.0)).alias("value"), F.lit(True).alias("changed"))
+    left = after_coverage
+
+    def covered(s: DataFrame) -> bool:
+        nonlocal left
+        if left is None or (left == after_coverage and not s.where("label is null").isEmpty()):
+            return False
+        left -= 1
+        return left < 0
 
     def step(s: DataFrame) -> DataFrame:
-        sent = s.where("label is not null").join(arcs, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("v"), "label").agg(F.sum(F.col("value") / F.col("k")).alias("got"))
-        best = sent.groupBy("v").agg(F.max(F.struct(F.col("got"), (-F.col("label")).alias("low"))).alias("b")).select(F.col("v").alias("w"), F.col("b.got").alias("got"), (-F.col("b.low")).alias("new"))
-        both = s.join(best, F.col("v") == F.col("w"), "left")
-        take = F.col("got").isNotNull() & (F.col("label").isNull() | (F.col("got") > threshold * F.col("value")))
-        return both.select("v", F.when(take, F.col("new")).otherwise(F.col("label")).alias("label"), F.when(take, F.col("got")).otherwise(F.col("value")).alias("value"))
+        sent = s.where("label is not null").join(arcs, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "label", (F.col("value") / F.col("k")).alias("share"), F.lit(None).cast("double").alias("own"))
+        every = sent.union(s.select("v", "label", F.lit(None).cast("double"), F.col("value"))).repartition(parts, "v")  # one shuffle for both groupings
+        sums = every.groupBy("v", "label").agg(F.sort_array(F.collect_list("share")).alias("shares"), F.max("own").alias("own"))
+        offer = F.when(F.size("shares") > 0, F.struct(F.aggregate("shares", F.lit(0.0), lambda x, y: x + y).alias("got"), (-F.col("label")).alias("low")))
+        both = sums.groupBy("v").agg(F.max(offer).alias("b"), F.max(F.when(F.col("own").isNotNull(), F.struct("label", "own"))).alias("m"))
+        take = F.col("b").isNotNull() & (F.col("m.label").isNull() | (F.col("b.got") > threshold * F.col("m.own")))
+        return both.select("v", F.when(take, -F.col("b.low")).otherwise(F.col("m.label")).alias("label"), F.when(take, F.col("b.got")).otherwise(F.col("m.own")).alias("value"), take.alias("changed"))
 
-    return fixpoint(start, step, [F.count("label"), F.sum("label"), F.round(F.sum("value"), 3)], max_rounds, 2)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with held(_weighted_arcs(edges), "src") as arcs:
+        return fixpoint(start, step, covered)
 
 
-def weighted_growth(edges: DataFrame, seeds: DataFrame, step_of: DataFrame, max_rounds: int = 500) -> DataFrame:
+def weighted_growth(edges: DataFrame, seeds: DataFrame, step_of: DataFrame) -> DataFrame:
     """Growth in which a hop costs the ``step`` of its label: least (cost, label), by relaxation."""
-    arcs = symmetric(edges).persist()
-    cost = written(step_of.select(F.col("label").alias("l"), F.col("step").cast("double").alias("step")))
-    start = seeds.select("v", "label", F.lit(0.0).alias("dist"))
-
-    def step(s: DataFrame) -> DataFrame:
-        sent = s.join(F.broadcast(cost), F.col("label") == F.col("l")).join(arcs, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "label", (F.col("dist") + F.col("step")).alias("dist"))
-        return s.select("v", "label", "dist").union(sent).groupBy("v").agg(F.min(F.struct("dist", "label")).alias("m")).select("v", "m.label", "m.dist")
-
-    try:
-        return fixpoint(start, step, [F.count(F.lit(1)), F.round(F.sum("dist"), 6), F.sum("label")], max_rounds)
-    finally:
-        arcs.unpersist()
+    return relax(edges, seeds.select("v", "label", F.lit(0.0).alias("dist")), written(step_of.select("label", F.col("step").cast("double").alias("step"))))
 
 
 def two_pass(edges: DataFrame, seeds: DataFrame, parts: int, by: str = "size") -> DataFrame:
@@ -121,11 +132,12 @@ def relabelled(labels: DataFrame, keep: dict[int, int]) -> DataFrame:
 
 def merge_pairs(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int) -> DataFrame:
     """Grow p + ceil(log2 p) parts, then merge the pair with the longest common boundary
-    whose joint size stays below twice the ideal, until p remain."""
+    whose joint size stays below twice the ideal (failing that, the longest), until p remain
+    or no two parts touch."""
     more = parts + math.ceil(math.log2(max(parts, 2)))
     grown = written(bfs(edges, seeds_along(vertices, keys, more)).select("v", "label"))
     size = {r["label"]: r["size"] for r in metrics.sizes(grown, more).collect()}  # one row per part
-    cut = {(r["a"], r["b"]): r["cut"] for r in metrics.pair_cuts(grown_edges(edges), grown).collect()}  # at most a row per pair of parts
+    cut = {(r["a"], r["b"]): r["cut"] for r in metrics.pair_cuts(edges, grown).collect()}  # at most a row per pair of parts
     to = {k: k for k in size}
     ideal = sum(size.values()) / parts
     for _ in range(more - parts):
@@ -146,10 +158,6 @@ def merge_pairs(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: i
     return relabelled(grown, {k: dense[v] for k, v in to.items()})
 
 
-def grown_edges(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v")
-
-
 def drop_worst(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int, factor: int = 5) -> DataFrame:
     """Grow ``factor`` * p parts, drop all but the p with the least cut per vertex, and grow from those seeds again."""
     many = parts * factor
@@ -162,7 +170,9 @@ def drop_worst(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: in
 
 
 def downsample_seeds(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int, factor: int = 2) -> DataFrame:
-    """(v, label): from ``factor`` * p seeds, one of the closest pair is dropped again and again until p remain."""
+    """(v, label): from ``factor`` * p seeds, the first of the closest pair is dropped again and again until p remain.
+
+    Pairs are those whose regions touch; if none is left, the lowest labels stay."""
     seeds = stride_samples(vertices, keys, parts * factor).select("v", F.col("position").alias("label"))
     state = written(bfs(edges, seeds))
     pairs = seed_distances(edges, state).collect()  # neighbouring seeds only
@@ -171,7 +181,7 @@ def downsample_seeds(vertices: DataFrame, edges: DataFrame, keys: list[str], par
         if len(alive) <= parts:
             break
         if r["a"] in alive and r["b"] in alive:
-            alive.discard(r["b"])
+            alive.discard(r["a"])
     dense = {k: i for i, k in enumerate(sorted(alive)[:parts])}
     return relabelled(seeds, dense)
 
@@ -186,8 +196,6 @@ def seed_distances(edges: DataFrame, state: DataFrame) -> DataFrame:
 
 def layer_sizes(state: DataFrame) -> DataFrame:
     """(label, dist, n, total): vertices per layer and their running sum."""
-    from pyspark.sql import Window as W
-
     layers = state.groupBy("label", "dist").agg(F.count(F.lit(1)).alias("n"))
     return layers.withColumn("total", F.sum("n").over(W.partitionBy("label").orderBy("dist")))
 
@@ -202,8 +210,6 @@ def rebalance(edges: DataFrame, labels: DataFrame, parts: int, rounds: int = 5)
         now = written(now)
         sizes = metrics.sizes(now, parts)
         ls, ld = sizes.select(F.col("label").alias("ls"), F.col("size").alias("ss")), sizes.select(F.col("label").alias("ld"), F.col("size").alias("sd"))
-        from .topology import labelled_arcs
-
         arcs = labelled_arcs(edges, now).where("ls <> ld").join(F.broadcast(ls), "ls").join(F.broadcast(ld), "ld").where("ss > sd + 1")
         best = arcs.groupBy("src", "ls", "ss").agg(F.min(F.struct("sd", "ld")).alias("m"))
         wanted = best.groupBy("ls").agg(F.count(F.lit(1)).alias("k"))
@@ -217,8 +223,6 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, parts: int, keys: l
     """Our own multilevel stand-in: curve blocks, smoothed by majority moves and balanced.
     It claims no parity with any external partitioner."""
     labels = written(block_labels(vertices, keys, parts).select("v", "label"))
-    from .topology import labelled_arcs
-
     for _ in range(rounds):
         votes = labelled_arcs(edges, labels).groupBy("src", "ls", "ld").agg(F.count(F.lit(1)).alias("k"))
         best = votes.groupBy("src", "ls").agg(F.max(F.struct(F.col("k"), (F.col("ld") == F.col("ls")).cast("int").alias("stay"), (-F.col("ld")).alias("low"))).alias("m"))
@@ -226,6 +230,66 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, parts: int, keys: l
     return rebalance(edges, labels, parts, 2)
 
 
+def nearest(reach: DataFrame, alive: set[int]) -> DataFrame:
+    """(v, label): the nearest seed among ``alive`` (a label per part), the lower label on ties."""
+    kept = reach.where(F.col("label").isin(sorted(alive)))
+    return kept.groupBy("v").agg(F.min(F.struct("dist", "label")).alias("m")).select("v", "m.label")
+
+
+def _dense(labels: DataFrame, alive: set[int]) -> DataFrame:
+    return relabelled(labels, {k: i for i, k in enumerate(sorted(alive))})
+
+
+def oversample_nearest(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Grow p + floor(log2 p) seeds over the whole graph, drop the first of the closest pair until p remain,
+    and give every vertex to the nearest that stays."""
+    many = parts + int(math.log2(parts))
+    seeds = written(seeds_along(vertices, keys, many))
+    reach = written(growth.seed_reach(edges, seeds, 1 << 62))
+    other = seeds.select("v", F.col("label").alias("b"))
+    pairs = reach.join(F.broadcast(other), "v").where("label < b").select(F.col("label").alias("a"), "b", "dist").collect()  # a row per pair of seeds
+    alive = set(range(many))
+    for r in sorted(pairs, key=lambda r: (r["dist"], r["a"], r["b"])):
+        if len(alive) > parts and r["a"] in alive and r["b"] in alive:
+            alive.discard(r["a"])
+    return _dense(nearest(reach, alive), alive)
+
+
+def oversample_drop_smallest(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int, factor: int = 10) -> DataFrame:
+    """From ``factor`` * p seeds the smallest part is deleted again and again; its vertices go to the next nearest seed.
+
+    Seeds grow until each has 3 * (n div p) vertices, further if one of the vertices wasn't reached."""
+    n = vertices.count()
+    seeds = written(seeds_along(vertices, keys, parts * factor))
+    reach = written(growth.seed_reach(edges, seeds, 3 * (n // parts)))
+    alive = set(range(parts * factor))
+    with held(reach, "v") as reach:
+        while len(alive) > parts:
+            sizes = dict.fromkeys(alive, 0) | {r["label"]: r["count"] for r in nearest(reach, alive).groupBy("label").count().collect()}  # a row per part
+            alive.discard(min(alive, key=lambda k: (sizes[k], k)))
+        labels = written(_dense(nearest(reach, alive), alive))
+    return growth.fill(vertices, edges, labels)
+
+
+def oversample_drop_high_cut(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int, factor: int = 2) -> DataFrame:
+    """From ``factor`` * p seeds the part with the greatest |z(size)| + z(cut) is deleted again and again."""
+    many = parts * factor
+    seeds = written(seeds_along(vertices, keys, many))
+    reach = written(growth.seed_reach(edges, seeds, 1 << 62))
+    alive = set(range(many))
+    while len(alive) > parts:
+        rows = metrics.loads_and_sends(edges, written(nearest(reach, alive)), many).collect()  # a row per part
+        size, cut = ({r["label"]: z for r, z in zip(rows, _standard([r[c] for r in rows]), strict=True)} for c in ("load", "sends"))
+        alive.discard(max(alive, key=lambda k: (round(abs(size[k]) + cut[k], 9), -k)))
+    return _dense(nearest(reach, alive), alive)
+
+
+def _standard(values: list[int]) -> list[float]:
+    mean = sum(values) / len(values)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in values) / max(len(values) - 1, 1))
+    return [(x - mean) / spread if spread else 0.0 for x in values]
+
+
 #: Partitioners by name: (vertices, edges, keys, parts) -> (v, label).
 REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[str], int], DataFrame]] = {
     "sfc": lambda v, e, k, p: block_labels(v, k, p).select("v", "label"),
@@ -238,5 +302,14 @@ REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[str], int], DataFrame]]
     "bidding": lambda v, e, k, p: growth.bidding(e, block_labels(v, k, p)),
     "merge_pairs": merge_pairs,
     "drop_worst": lambda v, e, k, p: drop_worst(v, e, k, p).select("v", "label"),
+    "pagerank_covered": lambda v, e, k, p: pagerank_labels(v, e, seeds_along(v, k, p), 1e8, 1.2, 5).select("v", "label"),
+    "stretch": lambda v, e, k, p: growth.stretch_growth(e, seeds_along(v, k, p)).select("v", "label"),
+    "stretch_cut": lambda v, e, k, p: growth.stretch_growth(e, seeds_along(v, k, p), "cut").select("v", "label"),
+    "capped_fill": lambda v, e, k, p: growth.fill(v, e, growth.size_proxy(e, seeds_along(v, k, p), v.count(), p, 5, v.count() // p)),
+    "ordered": lambda v, e, k, p: growth.stealing_growth(e, seeds_along(v, k, p), "ordered").select("v", "label"),
+    "noised": lambda v, e, k, p: growth.stealing_growth(e, seeds_along(v, k, p), "noised").select("v", "label"),
+    "oversample_nearest": oversample_nearest,
+    "oversample_drop_smallest": oversample_drop_smallest,
+    "oversample_drop_high_cut": oversample_drop_high_cut,
     "label_propagation": lambda v, e, k, p: label_propagation(v, e, p, k),
 }

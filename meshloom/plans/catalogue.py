@@ -14,6 +14,7 @@ from meshloom.sources import generators
 from meshloom.sources.tables import load
 
 from . import fixtures as fx
+from . import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -76,10 +77,9 @@ def rank_compressed_morton(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def min_gap_lattice(spark: SparkSession, sf: str) -> DataFrame:
-    """Least positive gap between adjacent values of each axis; values are compared by lag within ranges."""
-    long = fx.points(spark, sf).select(F.expr("stack(3, 'x', x, 'y', y, 'z', z) as (axis, val)")).distinct()
-    gap = F.col("val") - F.lag("val").over(W.partitionBy("axis").orderBy("val"))
-    return long.withColumn("gap", gap).groupBy("axis").agg(F.min("gap").alias("spacing"))
+    """Least positive gap between adjacent values of each axis."""
+    long = fx.points(spark, sf).select(F.expr("stack(3, 'x', x, 'y', y, 'z', z) as (axis, val)"))
+    return ordering.least_gaps(long, "axis", "val", "spacing")
 
 
 @query
@@ -124,9 +124,9 @@ def redistribute_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def approximate_splitters(spark: SparkSession, sf: str) -> DataFrame:
-    """Seven splitters that cut the order values into eight parts (exact percentiles, nearest rank below)."""
-    q = F.percentile("o_totalprice", F.array(*[F.lit(k / 8) for k in range(1, 8)]))
-    return load(spark, sf, "orders").agg(q.alias("q")).select(F.posexplode("q").alias("k", "value")).select(F.col("k").cast("long").alias("k"), F.round("value", 4).alias("value"))
+    """Seven splitters that cut the order values into eight parts, interpolated between places of the global order."""
+    q = analysis.at_positions(load(spark, sf, "orders"), "o_totalprice", [k / 8 for k in range(1, 8)])
+    return q.select(F.col("k").cast("long").alias("k"), F.round("o_totalprice", 4).alias("value"))
 
 
 # --- topology -----------------------------------------------------------------
@@ -320,6 +320,13 @@ def pagerank_labels(spark: SparkSession, sf: str) -> DataFrame:
     return partition.pagerank_labels(v, e, fx.block_seeds(v)).select("v", "label")
 
 
+@query
+def pagerank_covered_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Five rounds after every vertex has a label."""
+    v, e = fx.lattice(spark, sf)
+    return partition.pagerank_labels(v, e, fx.block_seeds(v), 1e8, 1.2, 5).select("v", "label")
+
+
 @query
 def two_pass_weighted_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
@@ -335,7 +342,59 @@ def oversample_merge_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def oversample_drop_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.drop_worst(v, iterate.written(e), ["v"], fx.PARTS, 2).select("v", "label")
+    return partition.drop_worst(v, iterate.written(e), ["v"], fx.PARTS).select("v", "label")
+
+
+@query
+def oversample_nearest_labels(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return partition.oversample_nearest(v, iterate.written(e), ["v"], fx.PARTS)
+
+
+@query
+def oversample_drop_smallest_labels(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return partition.oversample_drop_smallest(v, iterate.written(e), ["v"], fx.PARTS)
+
+
+@query
+def oversample_drop_high_cut_labels(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return partition.oversample_drop_high_cut(v, iterate.written(e), ["v"], fx.PARTS)
+
+
+@query
+def stretch_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """A hop of a part costs log2(its size) + 1."""
+    v, e = fx.lattice(spark, sf)
+    return growth.stretch_growth(iterate.written(e), fx.block_seeds(v)).select("v", "label")
+
+
+@query
+def stretch_cut_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """A hop of a part costs its cut edges and its frontier."""
+    v, e = fx.lattice(spark, sf)
+    return growth.stretch_growth(iterate.written(e), fx.block_seeds(v), "cut").select("v", "label")
+
+
+@query
+def ordered_growth_labels(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return growth.stealing_growth(iterate.written(e), fx.block_seeds(v), "ordered").select("v", "label")
+
+
+@query
+def noised_growth_labels(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return growth.stealing_growth(iterate.written(e), fx.block_seeds(v), "noised").select("v", "label")
+
+
+@query
+def capped_fill_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Size proxies up to the ideal size; the others join the label whose inside edges gain most."""
+    v, e = fx.lattice(spark, sf)
+    e, n = iterate.written(e), v.count()
+    return growth.fill(v, e, growth.size_proxy(e, fx.block_seeds(v), n, fx.PARTS, 5, n // fx.PARTS))
 
 
 @query
@@ -388,6 +447,15 @@ def label_propagation_labels(spark: SparkSession, sf: str) -> DataFrame:
     return partition.label_propagation(v, iterate.written(e), fx.PARTS, ["v"])
 
 
+@query
+def run_part_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole run over the lattice of orders: sizes and boundaries by part, read from its row of the metrics log."""
+    cells = fx.cells(spark, sf).select("e", *[(F.col(a) + 0.5).alias(b) for a, b in zip("ijk", "xyz", strict=True)], "node_tags", "faces")
+    row = runs.run_row(runs.ordered(cells), fx.PARTS, sf, products=1)
+    arrays = {"sfc_size": "SFC_morton_partition_sizes", "sfc_boundary": "SFC_morton_partition_boundaries", "bfs_size": "BFS_partition_sizes", "bfs_boundary": "BFS_partition_boundaries"}
+    return row.select(F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("k"), *arrays.values()).select(F.col("k").cast("long").alias("label"), *[F.get(c, F.col("k")).cast("long").alias(n) for n, c in arrays.items()])
+
+
 # --- linear algebra ---------------------------------------------------------------
 
 
@@ -449,8 +517,8 @@ def rank_max_ties(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def array_max_min_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    a = load(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.collect_list("l_quantity").alias("q"))
-    return a.select("l_suppkey", F.round(F.array_max("q") / F.size("q"), 9).alias("top"), F.round(F.array_min("q") / F.size("q"), 9).alias("low"))
+    n, q = F.count("l_quantity"), F.col("l_quantity")
+    return load(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.max(q) / n, 9).alias("top"), F.round(F.min(q) / n, 9).alias("low"))
 
 
 @query
@@ -459,6 +527,23 @@ def distribution_summary(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("np", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in s.columns[1:]])
 
 
+@query
+def best_by_value(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.best_by_value(fx.runs(spark, sf), ["mesh_idx"], "time")
+
+
+@query
+def runs_before_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.before_cutoff(fx.runs(spark, sf), 4)
+
+
+@query
+def graph_connected(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the lattice is one component: number of components and of vertices."""
+    v, e = fx.lattice(spark, sf)
+    return iterate.connected_components(v, iterate.written(e)).agg(F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("vertices"))
+
+
 @query
 def scaling_series(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.series(_best(spark, sf), ["mesh_idx"], "np", "time")
@@ -496,8 +581,12 @@ def trailing_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bit_helpers(spark: SparkSession, sf: str) -> DataFrame:
+    """Bit tricks over every key; those undefined for zero are null."""
     n = F.col("p_partkey")
-    return load(spark, sf, "part").where("p_partkey > 0").select("p_partkey", scalars.floor_log2(n).cast("long").alias("log2"), scalars.is_power_of_two(n).alias("power"), scalars.next_power_of_two(n).cast("long").alias("next"))
+    return load(spark, sf, "part").select(
+        "p_partkey", scalars.floor_log2(n).cast("long").alias("log2"), scalars.is_power_of_two(n).alias("power"), scalars.next_power_of_two(n).cast("long").alias("next"), scalars.previous_power_of_two(n).alias("previous"),
+        scalars.to_binary(n, 24).alias("bits"), scalars.from_binary(scalars.to_binary(n, 24)).alias("back"), scalars.unscrambled(scalars.scrambled(n)).alias("unscrambled"),
+    )
 
 
 @query

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.sources.generators import cells_of, lattice_edges
@@ -78,7 +77,3 @@ def key_labels(vertices: DataFrame, parts: int = PARTS) -> DataFrame:
     from meshloom.operators.ordering import block_labels
 
     return block_labels(vertices, ["v"], parts).select("v", "label")
-
-
-def last_layer_window() -> W:
-    return W.partitionBy("label").orderBy("dist")

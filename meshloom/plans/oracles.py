@@ -19,7 +19,8 @@ def _morton3(x: str, y: str, z: str) -> str:
     return f"({_bits(x, 3, 0, 21)} + {_bits(y, 3, 1, 21)} + {_bits(z, 3, 2, 21)})"
 
 
-KEYED = f"{POINTS}, {BOX}, cells as (select v, x, y, z, {_cell('x')} cx, {_cell('y')} cy, {_cell('z')} cz from pts, box), keyed as (select v, x, y, z, {_morton3('cx', 'cy', 'cz')} morton from cells)"
+CELLS = f"{BOX}, cells as (select v, x, y, z, {_cell('x')} cx, {_cell('y')} cy, {_cell('z')} cz from pts, box), keyed as (select v, x, y, z, {_morton3('cx', 'cy', 'cz')} morton from cells)"
+KEYED = f"{POINTS}, {CELLS}"
 SFC = f"{KEYED}, sfc as (select *, ntile(8) over (order by morton, v) - 1 as label from keyed)"
 
 LATTICE = (
@@ -79,6 +80,7 @@ def _hilbert() -> str:
     return "with " + ", ".join(steps) + " select p_partkey, d::bigint d from hz"
 
 
+# Size bands over the ideal size and the adjustment of distances in each.  Fixed values.
 HEAVY = ((3.2, 6), (2.5, 5), (2.0, 4), (1.7, 3), (1.5, 2), (1.2, 1))
 LIGHT = ((0.2, -4), (0.4, -3), (0.6, -2), (0.8, -1))
 ADJUST = "case " + " ".join(f"when n >= cast(trunc({f} * ideal) as bigint) then {k}" for f, k in HEAVY) + " " + " ".join(f"when n <= cast(trunc({f} * ideal) as bigint) then {k}" for f, k in LIGHT) + " else 0 end"
@@ -88,6 +90,91 @@ REFINED = (
     "where exists (select 1 from recurring.fix r where r.v = c.v and c.m < [r.dist, r.label])) select v, label::bigint as label, dist::bigint dist from fix"
 )
 
+
+
+def _rounds(start: str, best: str, take: str, columns: str, tables: str = "") -> str:
+    """A recursive table r(it, v, label, dist, visit, changed) of whole states, a round a step, until one changes nothing.
+
+    ``best`` gives (w, ...) from the state r; ``take`` tells which rows change and ``columns`` what to."""
+    return (
+        f"with recursive {GRAPH}, {SEEDS}{tables}, r(it, v, label, dist, visit, changed) as (select 0, i.e, s.label::bigint, {start}, 1::bigint, true from ids i left join seeds s on s.v = i.e union all "
+        f"select it + 1, v, {columns}, take from (select p.it, p.v, p.label, p.dist, p.visit, b.*, coalesce(b.w is not null and ({take}), false) take from r p left join ({best}) b on b.w = p.v) where exists (select 1 from r where changed)), "
+        "last as (select * from r where it = (select max(it) from r)) "
+    )
+
+
+def _ranked(weight: float, threshold: float, after: int | None) -> str:
+    """Sums are taken in ascending order of their terms."""
+    got = "select a.dst w, p.label other, list_reduce(list_sort(list(p.dist / d.k)), lambda x, y: x + y) got from r p join arcs a on a.src = p.v join deg d on d.v = p.v where p.label is not null group by 1, 2"
+    best = f"select w, max(got) got, arg_max(other, [got, -other]) other from ({got}) group by w"
+    text = _rounds(f"case when s.v is null then 0.0::double else {weight}::double end", best, f"p.label is null or b.got > {threshold} * p.dist", "case when take then other else label end, case when take then got else dist end, visit", ", deg as (select src v, count(*) k from arcs group by 1)")
+    if after is None:
+        return text + "select v, label from last"
+    covered = f"(select min(it) + {after} from (select it from r group by it having count(label) = count(*)))"
+    return text + f"select v, label from r where it = least({covered}, (select max(it) from r))"
+
+
+def _stretched(sizes: str, tables: str = "") -> str:
+    best = f"select a.dst w, min([p.dist + z.step, p.label]) m from r p join ({sizes}) z on z.label = p.label join arcs a on a.src = p.v where p.changed and p.label is not null group by 1"
+    return _rounds("0.0::double", best, "p.label is null or b.m[1] < p.dist", "case when take then m[2]::bigint else label end, case when take then m[1] else dist end, visit", tables) + "select v, label from last"
+
+
+BY_SIZE = "select label, round(log2(count(*)) + 1, 6) step from r where label is not null group by 1"
+BY_CUT = (
+    "select x.label, (coalesce(y.cut, 0) + x.front)::double step from (select label, count(*) filter (changed) front from r where label is not null group by 1) x left join "
+    "(select f.label, count(*) cut from r f join arcs a on a.src = f.v join r g on g.v = a.dst where f.label is not null and (g.label is null or g.label <> f.label) group by 1) y on y.label = x.label"
+)
+
+
+def _stolen(ordered: bool) -> str:
+    """A vertex's claim is (visit times) distance; a theft must lower it."""
+    mine, theirs = ("p.visit * p.dist", "visit * dist") if ordered else ("p.dist", "dist")
+    best = f"select a.dst w, min([{theirs}, label, dist]) m from r join arcs a on a.src = r.v where changed and label is not null group by 1"
+    wanted = f"select p.*, m[2]::bigint part, m[3] + case when p.label is null then 1 else {1.0 if ordered else 0.5} end new from r p join ({best}) b on b.w = p.v where p.label is null or (m[2] <> p.label and {mine} > m[1])"
+    placed = "select n.v w, n.part, n.new, l.last + row_number() over (partition by n.part order by n.v) place" if ordered else "select n.v w, n.part, n.new, n.visit place"
+    final = f"{placed} from ({wanted}) n join (select label, max(visit) last from r where label is not null group by 1) l on l.label = n.part"
+    lower = "b.place * b.new < p.visit * p.dist" if ordered else "b.new < p.dist"
+    return _rounds("0.0::double", final, f"p.label is null or {lower}", "case when take then part else label end, case when take then new else dist end, case when take then place else visit end") + "select v, label from last"
+
+
+REACH = (
+    "reach(v, label, dist) using key (v, label) as (select v, label, 0 from seeds union select a.dst, b.label, min(b.dist) + 1 from reach b join arcs a on a.src = b.v "
+    "left join recurring.reach r on r.v = a.dst and r.label = b.label where r.v is null group by a.dst, b.label)"
+)
+
+
+def _filled(first: str) -> str:
+    """Vertices that ``first`` (v, label) lacks join the label with most of their neighbours, round by round."""
+    votes = "select a.dst v, r.label, count(*) k from recurring.fl r join arcs a on a.src = r.v where not exists (select 1 from recurring.fl o where o.v = a.dst) and a.dst in (select b.dst from fl f join arcs b on b.src = f.v) group by 1, 2"
+    return f"fl(v, label) using key (v) as ({first} union select v, arg_max(label, [k, -label]) from ({votes}) group by v) select v, label::bigint as label from fl"
+
+
+def _proxy(factor: int, cap: str) -> str:
+    """Growth ends with the first round in which every seed has enough vertices."""
+    return (
+        f"with recursive {GRAPH}, {SEEDS}, {REACH}, lay as (select label, dist, sum(count(*)) over (partition by label order by dist)::bigint total from reach group by label, dist), size as (select count(*) n from ids), "
+        f"stop as (select max(d) d from (select label, min(case when total >= {factor} * (n // 8) then dist else 1000000 end) d from lay, size group by label)), "
+        f"sp as (select r.v, arg_min(r.label, [l.total, r.label]) as label from reach r join lay l using (label, dist), stop, size where r.dist <= stop.d and {cap} group by r.v), {_filled('select v, label from sp')}"
+    )
+
+
+IDEAL = (
+    f"with recursive {GRAPH}, {SEEDS}, cap(v, label) using key (v) as (select v, label from seeds union select a.dst, min(b.label) from cap b join arcs a on a.src = b.v "
+    "where b.label in (select label from recurring.cap group by label having count(*) < 0.9 * (select count(*) from ids) / 8) and not exists (select 1 from recurring.cap o where o.v = a.dst) group by a.dst), "
+    + _filled("select v, label from cap")
+)
+TWO_PASS = (
+    f"{GROWN}, cost as (select label, round(pow(count(*) / ((select count(*) from bfs) / 8.0::double), 1.0::double / 3), 6) step from bfs group by label), "
+    "fix(v, dist, label) using key (v) as (select v, 0.0::double, label from seeds union select v, m[1], m[2]::bigint from (select a.dst v, min([b.dist + c.step, b.label]) m from fix b join cost c on c.label = b.label join arcs a on a.src = b.v group by a.dst) n "
+    "where not exists (select 1 from recurring.fix r where r.v = n.v and [r.dist, r.label] <= n.m)) select v, label::bigint as label from fix"
+)
+
+RUN = (
+    f"with recursive {LATTICE}, {EDGES}, pts as (select e v, i + 0.5::double x, j + 0.5::double y, k + 0.5::double z from cell), {CELLS}, "
+    f"labels as (select v, ntile(8) over (order by morton, v) - 1 as label, row_number() over (order by morton, v) g from keyed), seeds as (select v, label from (select v, label, row_number() over (partition by label order by g) - 1 p, count(*) over (partition by label) n from labels) where p = n // 2), {BFS}, "
+    "pair as (select l.v, l.label a, b.label b from labels l join bfs b on b.v = l.v), far as (select x.v, any_value(x.a) a, any_value(x.b) b, bool_or(x.a <> y.a) fa, bool_or(x.b <> y.b) fb from arcs join pair x on x.v = src join pair y on y.v = dst group by x.v) "
+    "select r.k::bigint as label, (select count(*) from pair where a = r.k) sfc_size, (select count(*) from far where a = r.k and fa) sfc_boundary, (select count(*) from pair where b = r.k) bfs_size, (select count(*) from far where b = r.k and fb) bfs_boundary from range(8) r(k)"
+)
 _CORNER = [f"[{a} * o_totalprice, {b}.0::double, {c}.0::double]" for a, b, c in CORNERS]
 
 
@@ -148,7 +235,21 @@ ORACLES: dict[str, str] = {
     "connected_components": "with recursive e as (select a.c_custkey u, b.c_custkey v from customer a join customer b on b.c_custkey = a.c_custkey + 7 and a.c_nationkey % 5 = b.c_nationkey % 5), a as (select u src, v dst from e union all select v, u from e), cc(v, component) using key (v) as (select c_custkey, c_custkey from customer union select v, m from (select dst v, min(component) m from cc join a on src = cc.v group by 1) n where exists (select 1 from recurring.cc r where r.v = n.v and n.m < r.component)) select v, component from cc",
     "seed_reach_rows": f"with recursive {LATTICE}, {EDGES}, l3 as (select e v, ntile(3) over (order by e) - 1 as label from ids), s3 as (select v, label from (select v, label, row_number() over (partition by label order by v) - 1 p, count(*) over (partition by label) n from l3) where p = n // 2), r(v, label, dist) using key (v, label) as (select v, label, 0 from s3 union select a.dst, b.label, min(b.dist) + 1 from r b join arcs a on a.src = b.v left join recurring.r o on o.v = a.dst and o.label = b.label where o.v is null group by a.dst, b.label) select v, label::bigint as label, dist::bigint dist from r",
     "pagerank_15": _pagerank(),
-    "coo_assembly": f"with {LATTICE}, {NODES} select a.node i, b.node j, round(count(*) * sin((a.node + b.node + 1)::double), 6) a from nodes a join nodes b on a.e = b.e where a.e < 500 group by 1, 2",
+    "pagerank_labels": _ranked(10000.0, 1.05, None),
+    "pagerank_covered_labels": _ranked(1e8, 1.2, 5),
+    "two_pass_weighted_labels": TWO_PASS,
+    "size_proxy_labels": _proxy(3, "true"),
+    "capped_fill_labels": _proxy(5, "l.total <= n // 8"),
+    "stop_when_ideal_labels": IDEAL,
+    "stretch_labels": _stretched(BY_SIZE),
+    "stretch_cut_labels": _stretched(BY_CUT),
+    "ordered_growth_labels": _stolen(True),
+    "noised_growth_labels": _stolen(False),
+    "graph_connected": f"with {LATTICE} select 1::bigint components, count(*) vertices from ids",
+    "run_part_figures": RUN,
+    "best_by_value": f"with {RUNS} select mesh_idx, min(time) as time from runs group by 1",
+    "runs_before_cutoff": f"with {RUNS} select * from runs where mesh_idx < 4",
+    "coo_assembly": f"with {LATTICE}, {NODES} select a.node i, b.node j, round(count(*) * sin((a.node + b.node + 1)::double), 6) a from nodes a join nodes b on a.e = b.e group by 1, 2",
     "spmv_once": f"with {LATTICE}, {NODES}, m as (select a.node i, b.node j, count(*) * sin((a.node + b.node + 1)::double) a from nodes a join nodes b on a.e = b.e group by 1, 2), x as (select node j, count(*) * cos(node::double) x from nodes group by 1) select i, round(sum(a * x), 5) y from m join x using (j) group by i",
     "best_of_runs": f"with {RUNS} select * from runs qualify time = min(time) over (partition by mesh_idx, np)",
     "best_per_mesh_first": f"with {RUNS} select * from runs qualify row_number() over (partition by mesh_idx order by time, np, run_idx) = 1",
@@ -161,11 +262,11 @@ ORACLES: dict[str, str] = {
     "distribution_summary": f"with {RUNS} select np, min(time)::double least, round(quantile_cont(time, 0.25), 4)::double q1, round(quantile_cont(time, 0.5), 4)::double median, round(quantile_cont(time, 0.75), 4)::double q3, max(time)::double greatest from runs group by np",
     "scaling_series": f"with {BEST} select mesh_idx, string_agg(np || ':' || time, ',' order by np, time) series from best group by 1",
     "min_over_files": f"with {RUNS} select min(m) cutoff from (select max(run_idx) - 1 m from runs group by mesh_idx)",
-    "derived_totals": "select l_orderkey, l_partkey, round(l_quantity + l_extendedprice + l_tax, 4) total from lineitem where l_linenumber = 1",
+    "derived_totals": "select l_orderkey, l_linenumber, l_partkey, round(l_quantity + l_extendedprice + l_tax, 4) total from lineitem",
     "grain_process_count": "select count(*) // 800 processes from orders",
     "scientific_notation": "select o_orderkey, split_part(printf('%.1e', floor(o_totalprice) + 0.3::double), 'e', 1) || ' \\times 10^{' || split_part(printf('%.1e', floor(o_totalprice) + 0.3::double), 'e', 2)::int || '}' as text from orders",
     "trailing_numbers": "select p_partkey, case when p_partkey % 2 = 0 then p_partkey end count from part",
-    "bit_helpers": "select p_partkey, floor(log2(p_partkey))::bigint log2, bit_count(p_partkey) = 1 as power, case when p_partkey <= 1 then 1 else (1 << ceil(log2(p_partkey))::bigint) end::bigint as next from part where p_partkey > 0",
+    "bit_helpers": "select p_partkey, case when p_partkey > 0 then floor(log2(p_partkey))::bigint end log2, p_partkey > 0 and bit_count(p_partkey) = 1 as power, case when p_partkey <= 1 then 1 else (1 << ceil(log2(p_partkey))::bigint) end::bigint as next, case when p_partkey > 0 then (1 << floor(log2(p_partkey))::bigint)::bigint end previous, right(bin(p_partkey + 16777216), 24) bits, p_partkey back, p_partkey unscrambled from part",
     "stretch_increment": "select p_partkey, round(log2(p_size) + 1, 9) step from part",
     "remaining_labels": "with k as (select n_nationkey::bigint as label from nation except all select (r_regionkey * 3)::bigint from region) select label, (dense_rank() over (order by label) - 1)::bigint as new from k",
     "expression_ratios": f"with {GRAPH}, {ARCL} select r.k::bigint as label, count(distinct src) || '/1000' as expr from range(8) r(k) left join (select * from arcl where ls <> ld) a on a.ls = r.k group by 1",

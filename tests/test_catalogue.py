@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -36,5 +37,13 @@ def test_query_equals_sql(spark, con, name):
         assert (got[c] == want[c]).all(), c
 
 
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"))
+def test_query_without_sql_labels_everything(spark, name):
+    got = entry.queries()[name](spark, SF)
+    rows = got.agg(F.count(F.lit(1)), F.count("v"), F.count_distinct("v")).first()
+    whole = spark.read.parquet(f"{SF}/orders.parquet").count() if name.endswith("_labels") else rows[0]
+    assert 0 < rows[0] == rows[1] == whole and (rows[2] == whole or name == "walked_seeds")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 500

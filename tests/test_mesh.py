@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import curves, scalars
 from meshloom.operators import analysis, growth, iterate, linalg, metrics, ordering, partition, topology
-from meshloom.plans import catalogue
+from meshloom.plans import catalogue, runs
 from meshloom.sources import files, generators, msh, octree
 from meshloom.streaming import run_log
 
@@ -314,3 +314,124 @@ def test_totals_query_keeps_every_line(spark):
     want = sorted((r[0], r[1], float(r[2]) + float(r[3]) + float(r[4])) for r in lines)
     got = sorted((r.l_orderkey, r.l_linenumber, float(r.total)) for r in catalogue.QUERIES["derived_totals"](spark, "/root/testdata/sf0.001").collect())
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-3)
+
+
+def test_a_run_from_file_to_log(spark, tmp_path):
+    (tmp_path / "two.msh").write_text(TET)
+    elements = runs.ordered_mesh(spark, str(tmp_path / "two.msh"))
+    assert sorted(r.global_idx for r in elements.collect()) == [0, 1]
+    row = runs.run_row(elements, 2, "two.msh", products=2)
+    assert len(row.columns) == 41
+    files.append_run_log(row, str(tmp_path / "log"))
+    got = files.read_run_log(spark, str(tmp_path / "log")).first()
+    assert (got.n, got.np, got.SFC_morton_partition_sizes, got.BFS_partition_boundaries, got.SFC_morton_boundary_ratio) == (2, 2, [1, 1], [1, 1], 1.0)
+    assert got.BFS_matvec_time > 0 and got.parMETIS_rho_max is None
+    rec = np.zeros(8, octree.RECORD)
+    rec["eid"], rec["e2e"] = np.arange(8), octree.BORDER
+    rec["coord"] = [(k >> 2, k >> 1 & 1, k & 1) for k in range(8)]
+    for k in range(8):
+        rec["e2e"][k][:3] = [k ^ 1, k ^ 2, k ^ 4]
+    (tmp_path / "tree_8.bin").write_bytes(rec.tobytes())
+    leaves = runs.ordered_octree(spark, str(tmp_path / "tree_8.bin"))
+    row = runs.run_row(leaves, 2, "tree_8.bin").first()
+    assert row.SFC_morton_partition_sizes == [4, 4] and row.SFC_morton_boundary_ratio == 1.0 and row.BFS_mat_assembly_time is None
+
+
+def serial(edges):
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    return near
+
+
+def distances(near, start):
+    dist, layer, k = {start: 0}, [start], 0
+    while layer:
+        k += 1
+        layer = [w for w in {w for v in layer for w in near[v]} if w not in dist]
+        dist |= dict.fromkeys(layer, k)
+    return dist
+
+
+@pytest.fixture(scope="module")
+def oversampled(grid):
+    """Vertices, edges, neighbours and, for a number of parts, the seeds along the key with their distances."""
+    cells, edges = grid
+    v = cells.select(F.col("e").alias("v"))
+    near = serial([tuple(r) for r in edges.collect()])
+
+    def seeded(many):
+        n, seeds, at = N**3, {}, 0
+        for k in range(many):
+            size = n // many + (k < n % many)
+            seeds[k], at = at + size // 2, at + size
+        return seeds, {k: distances(near, s) for k, s in seeds.items()}
+
+    return v, edges, near, seeded
+
+
+def assigned(dist, alive):
+    return {v: min((dist[k][v], k) for k in alive)[1] for v in range(N**3)}
+
+
+def renamed(labels, alive):
+    dense = {k: i for i, k in enumerate(sorted(alive))}
+    return {v: dense[k] for v, k in labels.items()}
+
+
+def test_oversampling_equals_a_serial_run(oversampled):
+    v, edges, near, seeded = oversampled
+    parts = 4
+    collect = lambda df: {r.v: r.label for r in df.collect()}
+    seeds, dist = seeded(6)
+    alive = set(seeds)
+    for _, a, b in sorted((dist[b][seeds[a]], a, b) for a in seeds for b in seeds if a < b):
+        if len(alive) > parts and a in alive and b in alive:
+            alive.discard(a)
+    assert collect(partition.oversample_nearest(v, edges, ["v"], parts)) == renamed(assigned(dist, alive), alive)
+    seeds, dist = seeded(12)
+    alive = set(seeds)
+    while len(alive) > parts:
+        now = list(assigned(dist, alive).values())
+        alive.discard(min(alive, key=lambda k: (now.count(k), k)))
+    assert collect(partition.oversample_drop_smallest(v, edges, ["v"], parts, 3)) == renamed(assigned(dist, alive), alive)
+    seeds, dist = seeded(8)
+    alive = set(seeds)
+    while len(alive) > parts:
+        label = assigned(dist, alive)
+        load = np.array([list(label.values()).count(k) for k in seeds], float)
+        cut = np.array([sum(label[x] == k and label[y] != k for x in near for y in near[x]) for k in seeds], float)
+        z = abs((load - load.mean()) / load.std(ddof=1)) + (cut - cut.mean()) / cut.std(ddof=1)
+        alive.discard(max(alive, key=lambda k: (round(z[k], 9), -k)))
+    assert collect(partition.oversample_drop_high_cut(v, edges, ["v"], parts)) == renamed(assigned(dist, alive), alive)
+    seeds, dist = seeded(20)
+    label = assigned(dist, seeds)
+    ratio = {k: sum(label[x] == k and label[y] != k for x in near for y in near[x]) / max(list(label.values()).count(k), 1) for k in seeds}
+    kept = sorted(sorted(seeds, key=lambda k: (ratio[k], k))[:parts])
+    assert collect(partition.drop_worst(v, edges, ["v"], parts)) == renamed(assigned(dist, kept), kept)
+
+
+def test_downsampling_equals_a_serial_run(oversampled):
+    v, edges, near, _ = oversampled
+    seeds = {k: k * (N**3 // 8) for k in range(8)}
+    dist = {k: distances(near, s) for k, s in seeds.items()}
+    label = assigned(dist, seeds)
+    pair = {}
+    for x in near:
+        for y in near[x]:
+            a, b = label[x], label[y]
+            if a < b:
+                pair[a, b] = min(pair.get((a, b), 1 << 30), dist[a][x] + dist[b][y])
+    alive = set(seeds)
+    for (a, b), _ in sorted(pair.items(), key=lambda r: (r[1], r[0])):
+        if len(alive) > 4 and a in alive and b in alive:
+            alive.discard(a)
+    got = {r.v: r.label for r in partition.downsample_seeds(v, edges, ["v"], 4).collect()}
+    assert got == {seeds[k]: i for i, k in enumerate(sorted(alive)[:4])}
+
+
+def test_scrambling_is_reversible(spark):
+    n = F.col("id") * 7919 + 5
+    got = spark.range(1000).select(n.alias("n"), scalars.scrambled(n).alias("s"), scalars.unscrambled(scalars.scrambled(n)).alias("back")).collect()
+    assert all(r.n == r.back for r in got) and len({r.s for r in got}) == 1000
