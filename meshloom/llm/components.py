@@ -5,20 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
-
+from meshloom.operators.skew import looked_up
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined to ``table`` (key, k, ...), where k counts the rows of a key and ``total`` all rows.
-
-    A key with more than its share of the rows would fill one task.  Fewer such keys
-    than shuffle partitions can exist, so they are broadcast and their rows stay where they are."""
-    share = max(total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    values = [c for c in table.columns if c != key]
-    hot = F.broadcast(table.where(F.col("k") > share).select(key, F.struct(*values).alias("_hot")))
-    marked = rows.join(hot, key, "left")
-    rest = marked.where("_hot is null").drop("_hot").join(table.where(F.col("k") <= share), key)
-    return marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in values]).union(rest.select(*rows.columns, *values))
+from .storage import materialize
 
 
 def _stars(edges: DataFrame, count: int) -> DataFrame:
@@ -26,6 +15,7 @@ def _stars(edges: DataFrame, count: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("k"))
     large = looked_up(both, least, "a", 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    large = materialize(large, "cc-large")  # used three times
     down = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
     small = looked_up(large, down, "a", count).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.union(down.select("a", F.col("m").alias("b"))).distinct()

@@ -38,8 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshloom.operators.skew import looked_up
+
 from .bloom import possible as maybe
-from .components import components, looked_up
+from .components import components
 from .signature_tree import Forest, cross_join, self_join
 from .storage import materialize
 from .textops import U, mixed, slices, text_buffer, words

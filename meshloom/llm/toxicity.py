@@ -251,7 +251,10 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mo
     toxic = rows.column("label").to_numpy() == 1
     if toxic.all() or not toxic.any():
         return None
-    return train(rows.column("text").combine_chunks(), toxic, rows.column("fold").to_numpy() % FOLD == 1)
+    model = train(rows.column("text").combine_chunks(), toxic, rows.column("fold").to_numpy() % FOLD == 1)
+    del rows
+    pa.default_memory_pool().release_unused()  # the sample's texts aren't needed any more
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None, columns: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
