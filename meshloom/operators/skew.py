@@ -16,7 +16,8 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFr
     share = max(total // parts, 1)
     values = [c for c in table.columns if c != key]
     hot = F.broadcast(table.where(F.col("k") > share).select(key, F.struct(*values).alias("_hot")))
-    cold = table.where(F.col("k") <= share).select(key, F.lit(0).cast("long").alias("_deal"), F.struct(*values).alias("_cold"))
+    zero = F.when(F.col("k") < 0, 1).otherwise(0).cast("long")  # no literal: that would be folded out of the join's keys
+    cold = table.where(F.col("k") <= share).select(key, zero.alias("_deal"), F.struct(*values).alias("_cold"))
     deal = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(parts))).cast("long")
     both = rows.join(hot, key, "left").withColumn("_deal", deal).join(cold, [key, "_deal"], "left").where("_hot is not null or _cold is not null")
     return both.select(*rows.columns, *[F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in values])

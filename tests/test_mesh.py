@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom.functions import curves, scalars
-from meshloom.operators import analysis, growth, iterate, linalg, metrics, ordering, partition, topology
+from meshloom.operators import analysis, growth, iterate, linalg, metrics, ordering, partition, skew, topology
 from meshloom.plans import catalogue, runs
 from meshloom.sources import files, generators, msh, octree
 from meshloom.streaming import run_log
@@ -435,3 +435,11 @@ def test_scrambling_is_reversible(spark):
     n = F.col("id") * 7919 + 5
     got = spark.range(1000).select(n.alias("n"), scalars.scrambled(n).alias("s"), scalars.unscrambled(scalars.scrambled(n)).alias("back")).collect()
     assert all(r.n == r.back for r in got) and len({r.s for r in got}) == 1000
+
+
+def test_hot_keys_are_dealt_by_row(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 800, F.lit(900)).otherwise(F.col("id")).alias("a"), F.col("id").alias("b"))
+    table = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+    joined = skew.looked_up(rows, table, "a", 2000)
+    assert {tuple(r) for r in joined.collect()} == {(900, i, 0, 801) if i < 800 or i == 900 else (i, i, i, 1) for i in range(2000)}
+    assert "_deal" in joined._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].split("\n")[0]  # a key of the join, so that the hot rows spread
