@@ -44,7 +44,7 @@ from .bloom import possible as maybe
 from .components import components
 from .signature_tree import Forest, cross_join, self_join
 from .storage import materialize
-from .textops import U, mixed, slices, text_buffer, words
+from .textops import U, mixed, released, slices, text_buffer, words
 
 WIDTH, PERCENT = 5, 80
 CHUNK = 4096
@@ -199,6 +199,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _describe(width: int):
     """Each row's size, name and sketch beside all its columns but the text."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -235,6 +236,7 @@ def _shared(k: np.ndarray, s: np.ndarray, many: int) -> tuple[np.ndarray, np.nda
 
 
 def _post(bits: int, width: int, percent: int, shared: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, keys, sigs, held, seen = Windows(percent), [], [], 0, set()
 
@@ -308,6 +310,7 @@ def _near(percent: int):
 
     Only a group dealt in pieces has its pivot marked and tells which sets are far from it."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int | None] = []
@@ -342,6 +345,7 @@ def _near(percent: int):
 def _far(percent: int):
     """Edges from far sets (side 0) to the sets of a piece (side 1) of their group."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (gid, _, _), held in _units(batches, ["gid", "piece", "fringe"]):
             side = np.array(held["side"])
@@ -388,6 +392,7 @@ def _possible_edges(met: DataFrame, sets: DataFrame, percent: int, group: int, p
 
 
 def _active_sets(width: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -419,6 +424,7 @@ def _units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
 
 
 def _resolve(percent: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (block, chunk), held in _units(batches, ["block", "chunk"]):
             sets = [np.frombuffer(x, U) for x in held["members"]]
@@ -435,6 +441,7 @@ def _resolved(sets: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def _cross(percent: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _units(batches, ["block", "chunk", "fringe"]):
             side = np.array(held["side"])

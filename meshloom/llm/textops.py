@@ -8,7 +8,9 @@ cut between words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +85,24 @@ def slices(batch: pa.RecordBatch, text: str = "text", size: int = 2 << 20) -> It
         start = end
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` that hands freed memory back to the system when its task ends.
+
+    Workers are reused, so what an idle one holds back counts against its executor."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc
+            if trim:
+                trim(0)
+
+    return tidy
+
+
 #: Letters: ASCII letters and every byte beyond ASCII.
 IS_LETTER = np.zeros(256, dtype=bool)
 IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import materialize, new_path, remove
-from .textops import slices, text_buffer, words
+from .textops import released, slices, text_buffer, words
 
 SCALE_BITS = 20
 LANES = 1024
@@ -254,6 +254,7 @@ _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary
 def _plain_blocks(path: str, width: str):
     """Blocks of plain ids, ``width`` a number, from rows in ascending order."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -288,6 +289,7 @@ def _plain_blocks(path: str, width: str):
 def id_counts(blocks: DataFrame, vocabulary: int, width: str) -> np.ndarray:
     """How often each id occurs in all plain blocks; at most a row per id reaches the driver."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
@@ -303,6 +305,7 @@ def id_counts(blocks: DataFrame, vocabulary: int, width: str) -> np.ndarray:
 
 
 def _coded(freq: np.ndarray, width: str):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
         for batch in batches:
@@ -349,6 +352,7 @@ def read(spark: SparkSession, path: str, freq: np.ndarray) -> DataFrame:
     )
     starts = materialize(starts, "token-starts")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .textops import IS_LETTER, U, slices, text_buffer, words
+from .textops import IS_LETTER, U, released, slices, text_buffer, words
 
 PER_CLASS = 3000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 6, (1, 2, 3)
@@ -264,6 +264,7 @@ def scored(docs: DataFrame, model: Model | None, columns: list[str], names: tupl
     held = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(*columns).schema.add(names[0], "double").add(names[1], "integer")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):

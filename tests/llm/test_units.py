@@ -216,3 +216,10 @@ def test_languages_from_letters():
     texts = ["plain words only", "größe über straße", "él mañana señor", "être élève à côté français", ""]
     data, at = textops.text_buffer(pa.array(texts))
     assert [toxicity.LANGUAGES[k] for k in toxicity.languages(data, at)] == ["en", "de", "es", "fr", "en"]
+
+
+def test_released_yields_all_and_trims_when_a_reader_stops_early():
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    twice = textops.released(lambda batches: (b for b in batches for _ in range(2)))
+    assert sum(b.num_rows for b in twice(iter([batch, batch]))) == 8
+    assert next(twice(iter([batch]))).num_rows == 2
