@@ -176,12 +176,10 @@ def _group_edges(n: np.ndarray, maps: np.ndarray, percent: int, pivot: int) -> t
 
 
 def _pack(keys: np.ndarray, sigs: np.ndarray, bits: int) -> bytes:
-    """Postings of one bucket: 32 bits of each key beyond the bucket's, and its set by place in a table.
-
-    Keys that agree in these bits are taken as one, which only makes groups larger."""
+    """Postings of one bucket: 40 bits of each key beyond the bucket's, and its set by place in a table."""
     table, at = np.unique(sigs, return_inverse=True)
     wide = 4 if len(table) > 1 << 16 else 2
-    short = ((keys << U(bits)) >> U(32)).astype("<u4")
+    short = ((keys << U(bits)) >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     return np.array([len(keys), len(table), wide], np.int64).tobytes() + table.tobytes() + short.tobytes() + at.astype(f"<u{wide}").tobytes()
 
 
@@ -193,8 +191,9 @@ def _pack_block(sigs: np.ndarray) -> bytes:
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, m, wide = np.frombuffer(blob, np.int64, 3).tolist()
     table = np.frombuffer(blob, np.int64, m, 24)
-    keys = np.frombuffer(blob, "<u4", n, 24 + 8 * m).astype(U)
-    return keys, table[np.frombuffer(blob, f"<u{wide}", n, 24 + 8 * m + 4 * n)]
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 24 + 8 * m).reshape(n, 5)
+    return keys.view("<u8").reshape(-1), table[np.frombuffer(blob, f"<u{wide}", n, 24 + 8 * m + 5 * n)]
 
 
 def _describe(width: int):
@@ -512,7 +511,7 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text.schema.fields if f.name != "text")
     own = materialize(text.mapInArrow(_describe(width), f"{kept}, n long, sig long, sketch binary"), "jaccard-own")
     elements = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(6, (elements >> 21).bit_length())  # each posting brings its run's table of sets closer to a row a posting, so no more buckets than memory asks for
+    bits = max(6, (elements >> 21).bit_length())  # every bucket of a run repeats the names of its sets, so no more buckets than memory asks for
     met = text.select("text").mapInArrow(_post(bits, width, percent, shared), "bucket int, payload binary").groupBy("bucket").applyInArrow(_meet, "gid long, sig long, sure boolean")
     met = materialize(met, "jaccard-groups")
     least = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id").cast("long"), F.min("_name")).alias("_name"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
