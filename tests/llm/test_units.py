@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from meshloom.llm import brown, jaccard, sharding, signature_tree, simhash, textops, tokens, toxicity, warc
+from meshloom.llm import bloom, brown, jaccard, sharding, signature_tree, simhash, textops, tokens, toxicity, warc
 
 TEXTS = ["", "a", "The  cat\tsat", "Ünï çödé wörds é", "x" * 3000, " lead and trail ", "a b c d e f g", None, "one\ntwo\r\nthree\x0bfour"]
 
@@ -223,3 +223,12 @@ def test_released_yields_all_and_trims_when_a_reader_stops_early():
     twice = textops.released(lambda batches: (b for b in batches for _ in range(2)))
     assert sum(b.num_rows for b in twice(iter([batch, batch]))) == 8
     assert next(twice(iter([batch]))).num_rows == 2
+
+
+def test_bloom_tells_apart(spark):
+    rows = spark.createDataFrame([(k,) for k in range(200)] + [(None,)], "key long")
+    wanted = spark.createDataFrame([(3,), (150,), (None,)], "key long")
+    got = {r.key: r.maybe for r in bloom.told(rows, wanted, "key", "maybe").collect()}
+    assert len(got) == 201 and got[3] and got[150] and got[None] and sum(got.values()) < 10
+    assert not any(r.maybe for r in bloom.told(rows, wanted.limit(0), "key", "maybe").collect())
+    assert {3, 150, None} <= {r.key for r in bloom.possible(rows, wanted, "key").collect()}
