@@ -62,4 +62,32 @@ cc(doc_id, c) using key (doc_id) as (select doc_id, doc_id from d union select d
 select d.doc_id, coalesce(n.n, 0) n_shingles, c component_id from d left join n using (doc_id) join cc using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op7_warc": OP7, "op9_mixing": OP9, "op10_jaccard_join": OP10}
+OP11 = f"""
+with d as (select coalesce(lang, 'und') lang, unnest(string_split_regex({FOLD.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) piece from documents),
+p as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') w from d),
+t as (select lang, sum(len(w))::bigint n from p group by 1),
+g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from p, (values (1), (2), (3), (4)) x(k) where len(w) >= k)),
+f as (select lang, phrase, any_value(k) k, count(*) a from g group by 1, 2 having count(*) >= 30),
+c as (select lang, phrase, k, a, c, array_to_string(string_split(phrase, ' ')[1 : c], ' ') lp, array_to_string(string_split(phrase, ' ')[c + 1 :], ' ') rp from (select *, unnest(range(1, k)) c from f where k > 1)),
+s as (select c.lang, c.phrase, c.k, c.a, x.a l, y.a r, c, ((c.a::hugeint * 2000000) // (x.a + y.a))::bigint score from c join f x on x.lang = c.lang and x.phrase = lp join f y on y.lang = c.lang and y.phrase = rp),
+b as (select lang, phrase, k, a, l, r, score from s qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+i as (select lang, sub, max(a) most from (select lang, a, array_to_string(w[q : q + n - 1], ' ') sub from (select *, unnest(range(1, k - n + 2)) q from (select lang, a, k, string_split(phrase, ' ') w, unnest(range(2, k)) n from b where k > 2))) group by 1, 2),
+k as (select b.* from b left join i on i.lang = b.lang and i.sub = b.phrase where most is null or 100 * most < 80 * b.a),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from k)
+select r.lang, rank, phrase, a, l, r, n, score from r join t using (lang) where rank <= 2000
+"""
+
+OP13 = f"""
+with d as (select doc_id, coalesce(source, '') part, coalesce(text, '') x, coalesce(regexp_extract_all(text, {PLAIN}), []) w from documents),
+l as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by 1),
+m as (select part, x, coalesce(good, 0) good, coalesce(toxic, 0) toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 2 * length(x), regexp_matches(x, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by x), false)] f from d left join l using (doc_id)),
+c as (select part, f, count(*) n, sum(good) good, sum(toxic) toxic from m group by 1, 2),
+p as (select [a, b, c, d, e] o from (values (1), (2), (3), (4), (5)) q(a), (values (1), (2), (3), (4), (5)) r(b), (values (1), (2), (3), (4), (5)) s(c), (values (1), (2), (3), (4), (5)) t(d), (values (1), (2), (3), (4), (5)) u(e) where len(list_distinct([a, b, c, d, e])) = 5),
+j as (select part, o, unnest(range(1, 6)) step, f, n, good, toxic from c, p),
+k as (select *, f[o[step]] hit, len(list_filter(o[1 : step - 1], lambda i: f[i])) before, len(list_filter(f, lambda i: i)) fails from j),
+r as (select part, o, step, sum(case when before = 0 and not hit then n else 0 end)::bigint kept, sum(case when before = 0 and hit then n else 0 end)::bigint removed, sum(case when before > 0 and hit then n else 0 end)::bigint redundant,
+sum(case when hit and fails = 1 then n else 0 end)::bigint unique_fails, sum(case when before = 0 and hit then good else 0 end)::bigint good_lost, sum(case when before = 0 and hit then toxic else 0 end)::bigint toxic_lost from k group by 1, 2, 3)
+select part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') filter_order, step::int step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, o[step]))::bigint shapley from r
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op7_warc": OP7, "op9_mixing": OP9, "op10_jaccard_join": OP10, "op11_collocations": OP11, "op13_filter_audit": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontam, jaccard, mixing, quality, sharding, simhash, tokens, toxicity, warc
+from . import brown, collocations, decontam, filter_audit, jaccard, mixing, quality, sharding, simhash, suffixes, tokens, toxicity, warc
 from .oracles import ORACLES
 
 
@@ -63,5 +63,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
-QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join, op4_token_files, op3_sharding, op7_warc, op8_simhash, op1_toxicity, op2_class_lm, op5_quality)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op6_decontamination, op9_mixing, op10_jaccard_join, op4_token_files, op3_sharding, op7_warc, op8_simhash, op1_toxicity, op2_class_lm, op5_quality, op11_collocations, op12_suffix_dedup, op13_filter_audit)}
 __all__ = ["ORACLES", "QUERIES"]
