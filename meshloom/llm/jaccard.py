@@ -15,8 +15,8 @@ below, so no pair that links is ruled out.  A key's sets are first held against
 one of them: those that may link to it need no pairs among themselves.
 
 No task holds a whole hot group.  A key that very many sets of one task share
-makes one block of them without comparison, and only one of them is posted.  The
-other keys' groups beyond ``GROUP`` sets are dealt in pieces around a common
+makes one block of them without comparison, and only one of them is posted, marked:
+whatever else holds that key joins the block.  The other keys' groups beyond ``GROUP`` sets are dealt in pieces around a common
 pivot; sets far from it meet every piece.  A block too large for one task is dealt
 in chunks: chunks are joined in themselves, then through representatives (in
 chunks again while these are many), and what is still apart from a block's largest
@@ -214,7 +214,7 @@ def _describe(width: int):
 
 
 def _shared(k: np.ndarray, s: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted postings in which a key of very many sets keeps one of them, and the blocks these sets make."""
+    """Sorted postings in which a key of very many sets keeps one of them, marked (~), and the blocks these sets make."""
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     size = np.diff(np.append(first, len(k)))
     hot = np.flatnonzero(size > many)
@@ -229,7 +229,7 @@ def _shared(k: np.ndarray, s: np.ndarray, many: int) -> tuple[np.ndarray, np.nda
         keep[first[h] + 1 : first[h] + size[h]] = False
     roots = forest.roots()
     s = s.copy()
-    s[first[hot]] = table[roots[at[first[hot]]]]
+    s[first[hot]] = ~table[roots[at[first[hot]]]]
     order = np.argsort(roots, kind="stable")
     cuts = np.flatnonzero(np.append(True, roots[order][1:] != roots[order][:-1]))
     return k[keep], s[keep], [table[x] for x in np.split(order, cuts[1:]) if len(x) > 1]
@@ -272,30 +272,40 @@ def _post(bits: int, width: int, percent: int, shared: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """(gid, sig, sure): the sets of every key that two sets share; keys with the same sets are one group.
+    """(gid, sig, root): the sets of every key that two sets share; keys with the same sets are one group.
 
-    The sets of a sure group are one block without comparison."""
-    postings, blocks = [], []
+    A root says that the sets are one block without comparison: sets that a run made a
+    block, and all that share a key with a marked set, which stands for a block of the
+    run it comes from, whatever that set is like itself."""
+    postings, sigs, roots = [], [], []
     for blob in table.column("payload").to_pylist():
         n, m, _ = np.frombuffer(blob, np.int64, 3).tolist()
         if n < 0:
-            blocks.append(np.frombuffer(blob, np.int64, m, 24))
+            sigs.append(np.frombuffer(blob, np.int64, m, 24))
+            roots.append(np.full(m, sigs[-1].min()))
         else:
             postings.append(_unpack(blob))
-    gids = [np.repeat(mixed(mixed(x.astype(U)).sum(dtype=U, keepdims=True) + _ODD[57]), len(x)) for x in blocks]
-    keys, sigs = (np.concatenate(x) for x in zip(*postings, strict=True)) if postings else (np.zeros(0, U), np.zeros(0, np.int64))
-    order = np.lexsort((sigs, keys))
-    keys, sigs = keys[order], sigs[order]
-    keep = np.append(True, (keys[1:] != keys[:-1]) | (sigs[1:] != sigs[:-1]))[: len(keys)]
-    keys, sigs = keys[keep], sigs[keep]
+    keys, s = (np.concatenate(x) for x in zip(*postings, strict=True)) if postings else (np.zeros(0, U), np.zeros(0, np.int64))
+    marked = s < 0
+    s = np.where(marked, ~s, s)
+    order = np.lexsort((~marked, s, keys))  # the marked one of equal postings first
+    keys, s, marked = keys[order], s[order], marked[order]
+    keep = np.append(True, (keys[1:] != keys[:-1]) | (s[1:] != s[:-1]))[: len(keys)]
+    keys, s, marked = keys[keep], s[keep], marked[keep]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     size = np.diff(np.append(first, len(keys)))
-    gid = mixed(np.add.reduceat(mixed(sigs.astype(U)), first) + _ODD[58] * size.astype(U)) if len(first) else np.zeros(0, U)
-    several = np.flatnonzero(size > 1)
-    several = several[np.unique(gid[several], return_index=True)[1]]
-    at = np.repeat(first[several] - (np.cumsum(size[several]) - size[several]), size[several]) + np.arange(size[several].sum())
-    sure = np.repeat([True, False], [sum(map(len, blocks)), len(at)])
-    return pa.table({"gid": np.concatenate([*gids, np.repeat(gid[several], size[several])]).astype(U).view(np.int64), "sig": np.concatenate([*blocks, sigs[at]]).astype(np.int64), "sure": sure})
+    sure = np.logical_or.reduceat(marked, first) if len(first) else np.zeros(0, bool)
+    gid = mixed(np.add.reduceat(mixed(s.astype(U)), first) + _ODD[58] * size.astype(U)) if len(first) else np.zeros(0, U)
+    met = []
+    for chosen in (np.flatnonzero((size > 1) & ~sure), np.flatnonzero((size > 1) & sure)):
+        chosen = chosen[np.unique(gid[chosen], return_index=True)[1]]
+        met.append((chosen, np.repeat(first[chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(size[chosen].sum())))
+    (plain, at), (blocks, held) = met
+    sigs = [s[at], *sigs, s[held]]
+    roots = np.concatenate([np.zeros(len(at), np.int64), *roots, np.repeat(s[first[blocks]], size[blocks])])
+    gids = np.zeros(len(roots), U)
+    gids[: len(at)] = np.repeat(gid[plain], size[plain])
+    return pa.table({"gid": gids.view(np.int64), "sig": np.concatenate(sigs).astype(np.int64), "root": pa.array(roots, mask=np.arange(len(roots)) < len(at))})
 
 
 PAIRS = "a long, b long, gid long"
@@ -306,7 +316,7 @@ def _pairs(a: list[int], b: list[int | None], gid: list[int | None]) -> pa.Recor
 
 
 def _near(percent: int):
-    """Edges (a, b) from groups (gid, piece, sure, pivot, sig, n, sketch), sorted by gid and piece; far sets as (a, null, gid).
+    """Edges (a, b) from groups (gid, piece, pivot, sig, n, sketch), sorted by gid and piece; far sets as (a, null, gid).
 
     Only a group dealt in pieces has its pivot marked and tells which sets are far from it."""
 
@@ -320,12 +330,9 @@ def _near(percent: int):
             if len(sigs) < 2:
                 continue
             marked = [s for s, p in zip(held["sig"], held["pivot"], strict=True) if p]
-            if held["sure"][0]:
-                edges, far = [(i, 0) for i in range(1, len(sigs))], []
-            else:
-                n = np.array([held["n"][i] for i in at], np.int64)
-                pivot = int(np.searchsorted(sigs, marked[0])) if marked else int(np.argsort(n, kind="stable")[len(n) // 2])
-                edges, far = _group_edges(n, _folded([held["sketch"][i] for i in at]), percent, pivot)
+            n = np.array([held["n"][i] for i in at], np.int64)
+            pivot = int(np.searchsorted(sigs, marked[0])) if marked else int(np.argsort(n, kind="stable")[len(n) // 2])
+            edges, far = _group_edges(n, _folded([held["sketch"][i] for i in at]), percent, pivot)
             for i, j in edges:
                 a.append(int(sigs[i]))
                 b.append(int(sigs[j]))
@@ -362,24 +369,26 @@ def _far(percent: int):
 
 
 def _possible_edges(met: DataFrame, sets: DataFrame, percent: int, group: int, parts: int) -> DataFrame:
-    """(a, b) that connect all pairs of a group (gid, sig, sure) whose sketches allow a link; ``sets`` has sig, n, sketch."""
-    sizes = materialize(met.groupBy("gid", "sure").agg(F.count(F.lit(1)).alias("k"), F.min("sig").alias("middle")).where((F.col("k") > group) & ~F.col("sure")).drop("sure"), "jaccard-crowded")
+    """(a, b) that connect all pairs of a group (gid, sig, root) whose sketches allow a link, and all sets to their root; ``sets`` has sig, n, sketch."""
+    rooted = met.where("root is not null and sig <> root").select(F.col("sig").alias("a"), F.col("root").alias("b"))
+    met = met.where("root is null").select("gid", "sig")
+    sizes = materialize(met.groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("sig").alias("middle")).where(F.col("k") > group), "jaccard-crowded")
     some = not sizes.isEmpty()
     dealt = met.withColumns({"piece": F.lit(0).cast("long"), "pivot": F.lit(False)})
     if some:
         total = met.count()
-        crowded = materialize(looked_up(met.where("not sure").select("gid", "sig"), sizes, "gid", total).withColumn("pieces", F.ceil(F.col("k") / group)), "jaccard-dealt")
-        own = crowded.where("sig <> middle").select("gid", "sig", F.lit(False).alias("sure"), F.pmod(F.xxhash64("sig"), F.col("pieces")).alias("piece"), F.lit(False).alias("pivot"))
-        pivots = sizes.select("gid", F.col("middle").alias("sig"), F.lit(False).alias("sure"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("k") / group) - 1)).alias("piece"), F.lit(True).alias("pivot"))
-        free = dealt.join(sizes.select("gid"), "gid", "left_anti").select("gid", "sig", "sure", "piece", "pivot")
+        crowded = materialize(looked_up(met, sizes, "gid", total).withColumn("pieces", F.ceil(F.col("k") / group)), "jaccard-dealt")
+        own = crowded.where("sig <> middle").select("gid", "sig", F.pmod(F.xxhash64("sig"), F.col("pieces")).alias("piece"), F.lit(False).alias("pivot"))
+        pivots = sizes.select("gid", F.col("middle").alias("sig"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("k") / group) - 1)).alias("piece"), F.lit(True).alias("pivot"))
+        free = dealt.join(sizes.select("gid"), "gid", "left_anti").select("gid", "sig", "piece", "pivot")
         dealt = free.union(own).union(pivots)
     drawn = dealt.join(sets, "sig").repartition(parts, "gid", "piece").sortWithinPartitions("gid", "piece", "sig")
     near = materialize(drawn.mapInArrow(_near(percent), PAIRS), "jaccard-near")
     if not some:
-        return near.select("a", "b")
+        return near.select("a", "b").union(rooted)
     far = materialize(near.where("b is null").select("gid", F.col("a").alias("sig")).distinct(), "jaccard-far")
     fringes = materialize(far.groupBy("gid").agg(F.count(F.lit(1)).alias("many")).withColumn("fringes", F.ceil(F.col("many") / group)).join(sizes, "gid").select("gid", "k", "fringes"), "jaccard-fringes")
-    found = near.where("b is not null").select("a", "b")
+    found = near.where("b is not null").select("a", "b").union(rooted)
     if fringes.isEmpty():
         return found
     every = looked_up(crowded.select("gid", "sig", "pieces"), fringes, "gid", total)
@@ -512,7 +521,7 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     own = materialize(text.mapInArrow(_describe(width), f"{kept}, n long, sig long, sketch binary"), "jaccard-own")
     elements = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(6, (elements >> 21).bit_length())  # every bucket of a run repeats the names of its sets, so no more buckets than memory asks for
-    met = text.select("text").mapInArrow(_post(bits, width, percent, shared), "bucket int, payload binary").groupBy("bucket").applyInArrow(_meet, "gid long, sig long, sure boolean")
+    met = text.select("text").mapInArrow(_post(bits, width, percent, shared), "bucket int, payload binary").groupBy("bucket").applyInArrow(_meet, "gid long, sig long, root long")
     met = materialize(met, "jaccard-groups")
     least = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id").cast("long"), F.min("_name")).alias("_name"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     least = materialize(least, "jaccard-classes")
