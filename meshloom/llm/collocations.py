@@ -34,7 +34,7 @@ LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 ROWS = 2
 BLOCK = 1 << 14
 MOST_CELLS = 1 << 27
-SLICE = 8 << 20
+SLICE = 2 << 20
 IS_STOP = np.zeros(256, bool)
 IS_STOP[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 IS_WORD = ~IS_STOP

@@ -37,7 +37,9 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate through Hadoop's file system, whatever the store."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def remove(spark: SparkSession, table: DataFrame | str) -> None:
+    """Deletes an intermediate, a path or a table from ``materialize``, through Hadoop's file system, whatever the store."""
+    folders = [table] if isinstance(table, str) else sorted({x.rsplit("/", 1)[0] for x in table.inputFiles()})
+    for folder in folders:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -15,11 +15,12 @@ their strings contain the ``core`` bytes from the anchor on.
 1. Cells whose first half core is unique drop out, h = core / 2.
 2. The others are ranked by the pair of half cores, then by the bytes from the
    cell's first start to the end of its last string.  If these are repeated, so is
-   every string of the cell; if only the core were unique, none would be.
+   every string of the cell; if the core is unique, none is.
 3. What is left are cells at the edge of a repeat.  They, and one cell of each other
-   kind with the same core, are cut into blocks of a few starts, counted from the
-   anchor, whose common core is longer, and ranked likewise; the strings of blocks at
-   an edge are then ranked one by one, by the pair of their halves, h = length / 2.
+   kind with the same core, are sorted by that core with the bytes they span, and a
+   task ranks the strings of each core.  A core of very many kinds could fill a task:
+   its strings are shuffled and ranked one by one, by the pair of their halves,
+   h = length / 2.
 
 Names are 64-bit hashes, used in pairs.
 
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .storage import materialize
+from .storage import materialize, remove
 from .textops import _BASE, _INVERSE, _VALUE, U, _powers, mixed, released, slices, text_buffer
 
 LENGTH = 400
@@ -48,6 +49,7 @@ SEGMENT = 1 << 21
 _PLACE = U((1 << 22) - 1)
 _ODD = mixed(np.arange(301, 309, dtype=U)) | U(1)
 MOST_BITS = 1 << 30
+KINDS = 1 << 14  # of cells with one core that a task ranks
 
 
 class Names:
@@ -126,52 +128,121 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def split(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Cells cut into blocks of ``size`` starts, counted from the anchor backwards; with the last start that a whole block would have."""
-    first = (anchor - hi) // size
-    count = (anchor - lo) // size - first + 1
-    at = np.repeat(np.arange(len(lo)), count)
-    last = anchor[at] - size * (np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(at)))
-    return text[at], np.maximum(lo[at], last - size + 1), np.minimum(hi[at], last), last
+def _spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``lo`` on, ``size`` of them."""
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _scan(length: int, levels: tuple[tuple[int, int, object], ...], size: int):
-    """Blocks (at1, at2, run, r0, r1, g, place) of texts (at1, at2, text).
+def _found(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """Bytes, names, the columns at1 and at2 by cell, first place in the text, first and last start, anchor and place's name of the cells of each piece of text."""
+    sampler = Sampler(length)
+    for batch in batches:
+        for part in slices(batch):
+            at1, at2 = (part.column(c).to_numpy() for c in ("at1", "at2"))
+            for _, base, data, at in sampler.pieces(*text_buffer(part.column("text"))):
+                names = sampler.names(data)
+                text, lo, hi, anchor = sampler.cells(names, at)
+                shift = base - at[text]
+                yield data, names, at1[text], at2[text], shift, lo, hi, anchor, _place(at1[text], at2[text], lo + shift)
+
+
+def _marked_in(place: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
+    bit = place >> U(64 - bits)
+    return np.flatnonzero((table[bit >> U(3)] >> (bit & U(7)).astype(np.uint8)) & 1)
+
+
+def _cells(length: int):
+    """Cells (at1, at2, run, r0, r1, g, place) of texts (at1, at2, text).
 
-    ``levels``: block size, number of place bits and bit table of each level before,
-    the cells first; only blocks whose places are marked are cut into smaller ones.
     A run is 1,024 times its first start and the number of starts after it."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(length)
-        tables = [np.frombuffer(t.value, np.uint8) for _, _, t in levels]
+        core = Sampler(length).core
+        half = core // 2
+        for _, names, at1, at2, shift, lo, hi, anchor, place in _found(batches, length):
+            whole = mixed(names(lo, hi - lo + length) + (hi - lo).astype(U) * _ODD[0])
+            runs = ((lo + shift) << 10) + (hi - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(at1), pa.array(at2), pa.array(runs), _signed(names(anchor, half)), _signed(names(anchor + half, core - half)), _signed(whole), _signed(place)], ["at1", "at2", "run", "r0", "r1", "g", "place"])
+
+    return run
+
+
+def _spans(length: int, bits: int, table):
+    """The marked cells with their bytes: (r0, r1, at1, at2, lo, bytes)."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, flags = Sampler(length).core, np.frombuffer(table.value, np.uint8)
+        half = core // 2
+        for data, names, at1, at2, shift, lo, hi, anchor, place in _found(batches, length):
+            marked = _marked_in(place, bits, flags)
+            for on in np.array_split(marked, -(-len(marked) // 2048)) if len(marked) else ():
+                size = hi[on] - lo[on] + length
+                offsets = np.zeros(len(on) + 1, np.int32)
+                np.cumsum(size, out=offsets[1:])
+                held = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(offsets), pa.py_buffer(data[_spread(lo[on], size)])])
+                yield pa.RecordBatch.from_arrays([_signed(names(anchor[on], half)), _signed(names(anchor[on] + half, core - half)), pa.array(at1[on]), pa.array(at2[on]), pa.array((lo + shift)[on]), held], ["r0", "r1", "at1", "at2", "lo", "bytes"])
+
+    return run
+
+
+def _strings(length: int, bits: int, table):
+    """The strings of the marked cells: (at1, at2, run, r0, r1), the names of their halves."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, half = np.frombuffer(table.value, np.uint8), length // 2
+        for _, names, at1, at2, shift, lo, hi, _, place in _found(batches, length):
+            on = _marked_in(place, bits, flags)
+            own = np.repeat(on, hi[on] - lo[on] + 1)
+            s = _spread(lo[on], hi[on] - lo[on] + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(at1[own]), pa.array(at2[own]), pa.array((s + shift[own]) << 10), _signed(names(s, half)), _signed(names(s + half, length - half))], ["at1", "at2", "run", "r0", "r1"])
+
+    return run
+
+
+def _same_core(length: int):
+    """Runs (at1, at2, run) of repeated strings among spans sorted by core."""
+
+    def ranked(rows: pa.Table, sampler: Sampler) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        held = rows.column("bytes").combine_chunks().cast(pa.large_binary())
+        at = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+        data, at = np.frombuffer(held.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+        names, size = sampler.names(data), np.diff(at) - length + 1
+        s, own = _spread(at[:-1], size), np.repeat(np.arange(len(size)), size)
+        r0, r1 = (rows.column(c).to_numpy() for c in ("r0", "r1"))
+        core = np.cumsum(np.append(False, (r0[1:] != r0[:-1]) | (r1[1:] != r1[:-1])))
+        name = mixed(names(s, length) + core[own].astype(U) * _ODD[4])
+        _, which, count = np.unique(name, return_inverse=True, return_counts=True)
+        on = np.flatnonzero(count[which] > 1)
+        first = np.append(True, (on[1:] != on[:-1] + 1) | (own[on[1:]] != own[on[:-1]]))[: len(on)]
+        begin = on[first]
+        more = np.diff(np.append(np.flatnonzero(first), len(on))) - 1
+        start = rows.column("lo").to_numpy()[own[begin]] + s[begin] - at[own[begin]]
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(pa.array(own[begin])) for c in ("at1", "at2")] + [pa.array((start << 10) + more)], ["at1", "at2", "run"])
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, held = Sampler(length), None
         for batch in batches:
-            for part in slices(batch):
-                at1, at2 = (part.column(c).to_numpy() for c in ("at1", "at2"))
-                for _, base, data, at in sampler.pieces(*text_buffer(part.column("text"))):
-                    names = sampler.names(data)
-                    found = sampler.cells(names, at)
-                    place = _place(at1, at2, at, base, *found[:2])
-                    for (_, bits, _), table, following in zip(levels, tables, [*(x for x, _, _ in levels), size][1:], strict=True):
-                        bit = place >> U(64 - bits)
-                        on = np.flatnonzero((table[bit >> U(3)] >> (bit & U(7)).astype(np.uint8)) & 1)
-                        text, lo, hi, anchor = (x[on] for x in found)
-                        found = split(text, lo, hi, anchor, following)
-                        place = _place(at1, at2, at, base, *found[:2])
-                    text, lo, hi, anchor = found
-                    core = length - size + 1 if levels else sampler.core
-                    half = core // 2
-                    whole = mixed(names(lo, hi - lo + length) + (hi - lo).astype(U) * _ODD[0])
-                    runs = ((lo - at[text] + base) << 10) + (hi - lo)
-                    yield pa.RecordBatch.from_arrays([pa.array(at1[text]), pa.array(at2[text]), pa.array(runs), _signed(names(anchor, half)), _signed(names(anchor + half, core - half)), _signed(whole), _signed(place)], ["at1", "at2", "run", "r0", "r1", "g", "place"])
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            r0, r1 = (held.column(c).to_numpy() for c in ("r0", "r1"))
+            last = np.flatnonzero((r0 != r0[-1]) | (r1 != r1[-1]))
+            if len(last) and held.nbytes > SEGMENT:  # the last core may go on
+                yield ranked(held.slice(0, int(last[-1]) + 1), sampler)
+                held = held.slice(int(last[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield ranked(held, sampler)
 
     return run
 
 
-def _place(at1: np.ndarray, at2: np.ndarray, at: np.ndarray, base: int, text: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """A name of the first start's place."""
-    return mixed(at1[text].view(U) * _ODD[1] + at2[text].view(U) * _ODD[2] + (lo - at[text] + base).view(U) * _ODD[3])
+def _place(at1: np.ndarray, at2: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A name of a start's place."""
+    return mixed(at1.view(U) * _ODD[1] + at2.view(U) * _ODD[2] + start.view(U) * _ODD[3])
 
 
 def _flags(bits: int):
@@ -251,33 +322,35 @@ def _marked(places: DataFrame) -> tuple[int, object]:
     return bits, places.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int, kinds_of_core: int = KINDS) -> DataFrame:
     """Runs (at1, at2, run) of starts of strings that also start elsewhere; ``docs`` has at1, at2, text."""
-    texts, levels, settled = docs.select("at1", "at2", "text"), (), []
-    sizes = [0, *([length // 50] if length >= 100 else []), 1]
-    for size in sizes:
-        found = materialize(texts.mapInArrow(_scan(length, levels, size), RANKED), "suffix-ranked")
-        if size == 1:
-            settled.append(_repeated(found, ["r0", "r1"]))
-            break
-        if not size:
-            again = materialize(found.groupBy("r0").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("r0"), "suffix-again")
-            found = bloom.possible(found, again, "r0")
-        settled.append(materialize(_repeated(found, ["r0", "g"]), "suffix-whole"))
-        kinds = materialize(found.groupBy("r0", "r1", "g").agg(F.count(F.lit(1)).alias("k"), F.min("place").alias("place")), "suffix-kinds")
-        edges = kinds.groupBy("r0", "r1").agg(F.count(F.lit(1)).alias("kinds"), F.min("k").alias("least")).where("kinds > 1 and least = 1")
-        places = materialize(kinds.join(edges.select("r0", "r1"), ["r0", "r1"], "left_semi").select("place"), "suffix-open")
-        levels = (*levels, (size, *_marked(places)))
+    spark, texts = docs.sparkSession, docs.select("at1", "at2", "text")
+    ranked = materialize(texts.mapInArrow(_cells(length), RANKED), "suffix-ranked")
+    again = materialize(ranked.groupBy("r0").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("r0"), "suffix-again")
+    found = bloom.possible(ranked, again, "r0")
+    kinds = materialize(found.groupBy("r0", "r1", "g").agg(F.count(F.lit(1)).alias("k"), F.min("place").alias("place")), "suffix-kinds")
+    settled = [materialize(_repeated(found, ["r0", "g"]), "suffix-whole")]
+    remove(spark, ranked)
+    edges = kinds.groupBy("r0", "r1").agg(F.count(F.lit(1)).alias("kinds"), F.min("k").alias("least")).where("kinds > 1 and least = 1")
+    places = materialize(kinds.join(edges.select("r0", "r1", (F.col("kinds") > kinds_of_core).alias("crowded")), ["r0", "r1"]).select("place", "crowded"), "suffix-open")
+    remove(spark, kinds)
+    few, many = places.where("not crowded"), places.where("crowded")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = texts.mapInArrow(_spans(length, *_marked(few)), "r0 long, r1 long, at1 long, at2 long, lo long, bytes binary")
+    settled.append(spans.repartition(parts, "r0", "r1").sortWithinPartitions("r0", "r1").mapInArrow(_same_core(length), "at1 long, at2 long, run long"))
+    if not many.isEmpty():
+        strings = materialize(texts.mapInArrow(_strings(length, *_marked(many)), "at1 long, at2 long, run long, r0 long, r1 long"), "suffix-strings")
+        settled.append(_repeated(strings, ["r0", "r1"]))
     out = settled[0]
     for more in settled[1:]:
         out = out.union(more)
     return out
 
 
-def without_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, *, length: int = LENGTH, kinds_of_core: int = KINDS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs (starts, ends) per row."""
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *_names(F.col("text")))
-    starts = repeated_starts(named, length)
+    starts = repeated_starts(named, length, kinds_of_core)
     spans = starts.groupBy("at1", "at2").agg(F.collect_list("run").alias("runs"))
     spans = materialize(spans, "suffix-spans")
     sifted = bloom.told(named, spans, "at1", "_maybe")
