@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 from .skew import looked_up
 
+SCOPE = "spark.meshloom.scratch"
+
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder (our own below /tmp only in local mode without one)."""
@@ -26,7 +28,22 @@ def new_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/meshloom/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/meshloom/{spark.conf.get(SCOPE, '')}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scope at whose end all tables that its loops wrote are deleted: what is needed later must be written elsewhere inside it."""
+    outer = spark.conf.get(SCOPE, "")
+    inner = f"{outer}scope-{uuid.uuid4().hex}/"
+    spark.conf.set(SCOPE, inner)
+    root = new_path(spark, "x").rsplit("/", 1)[0]
+    try:
+        yield root
+    finally:
+        spark.conf.set(SCOPE, outer)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, label: str = "state") -> DataFrame:
@@ -44,7 +61,7 @@ def counted(df: DataFrame, path: str, count: Column | None = None) -> int:
 
 
 class Layers:
-    """Tables of successive rounds in one folder; the round is a partition column, so all are read as one table."""
+    """Tables of successive rounds in one folder; the round is a folder column, so all are read as one table."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root, self.rounds, self.rows = spark, new_path(spark, label), 0, 0

@@ -23,17 +23,19 @@ def with_morton(points: DataFrame, levels: int = 20, offset: int = 0, per_axis:
 
 
 def global_index(rows: DataFrame, keys: list[str], out: str = "global_idx", partitions: int | None = None) -> DataFrame:
-    """Dense 0-based index in the order of ``keys``, without a single-task window.
+    """Dense 0-based index in the order of ``keys``, in one shuffle and without a window over rows.
 
-    Rows are range-partitioned and sorted; a partition's index is the number of
-    rows before it plus the place in it.  The table is written once, so that the
-    ranges of both passes are the same ones."""
+    Rows are range-partitioned, sorted within their range and written once with the id
+    that tells their range and their place in it; the index is the place plus the number
+    of rows in the ranges before.  Rows with equal keys are in one range, in the order in
+    which they were written."""
     parts = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(rows.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
-    starts = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
-    place = F.row_number().over(W.partitionBy("_part").orderBy(*keys)) - 1
-    return ranged.join(F.broadcast(starts), "_part").withColumn(out, (F.col("_start") + place).cast("long")).drop("_part", "_start")
+    ranged = written(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per range
+    starts = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_start"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(out, F.col("_start") + place).drop("_range", "_start", "_at")
 
 
 def block_of(position: Column, n: Column, parts: int) -> Column:

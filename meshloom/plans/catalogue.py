@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions import curves, scalars
-from meshloom.operators import analysis, growth, iterate, linalg, metrics, ordering, partition, topology
-from meshloom.sources import generators
+from meshloom.operators import analysis, blocks, growth, iterate, linalg, metrics, ordering, labelling, topology
+from meshloom.sources import files, generators, msh
+from meshloom.sources.lines import numbered_lines
 from meshloom.sources.tables import load
 
 from . import fixtures as fx
@@ -271,7 +272,7 @@ def inside_edges(spark: SparkSession, sf: str) -> DataFrame:
 def _grown(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     v, e = fx.lattice(spark, sf)
     e = iterate.written(e, "edges")
-    return e, partition.bfs_partition(e, fx.block_seeds(v))
+    return e, labelling.bfs_partition(e, fx.block_seeds(v))
 
 
 @query
@@ -284,20 +285,27 @@ def bfs_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _grown(spark, sf)[1].select("v", "label")
 
 
+@query
+def block_grown_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Growth by blocks along the vertices' order; only their borders are exchanged."""
+    v, e = fx.lattice(spark, sf)
+    return blocks.bfs(iterate.written(e, "edges"), fx.block_seeds(v))
+
+
 @query
 def bfs_refined_labels(spark: SparkSession, sf: str) -> DataFrame:
     e, grown = _grown(spark, sf)
-    return partition.refined(e, grown, fx.PARTS).select("v", "label", F.col("dist").cast("long").alias("dist"))
+    return labelling.refined(e, grown, fx.PARTS).select("v", "label", F.col("dist").cast("long").alias("dist"))
 
 
 @query
 def bfs_layer_cumulative(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.layer_sizes(_grown(spark, sf)[1]).select("label", F.col("dist").cast("long").alias("dist"), "n", "total")
+    return labelling.layer_sizes(_grown(spark, sf)[1]).select("label", F.col("dist").cast("long").alias("dist"), "n", "total")
 
 
 @query
 def seed_pair_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.seed_distances(*_grown(spark, sf))
+    return labelling.seed_distances(*_grown(spark, sf))
 
 
 @query
@@ -311,56 +319,56 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pagerank_15(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.copurchase(spark, sf)
-    return partition.pagerank(v, e).select("v", F.round("rank", 4).alias("rank"))
+    return labelling.pagerank(v, e).select("v", F.round("rank", 4).alias("rank"))
 
 
 @query
 def pagerank_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.pagerank_labels(v, e, fx.block_seeds(v)).select("v", "label")
+    return labelling.pagerank_labels(v, e, fx.block_seeds(v)).select("v", "label")
 
 
 @query
 def pagerank_covered_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Five rounds after every vertex has a label."""
     v, e = fx.lattice(spark, sf)
-    return partition.pagerank_labels(v, e, fx.block_seeds(v), 1e8, 1.2, 5).select("v", "label")
+    return labelling.pagerank_labels(v, e, fx.block_seeds(v), 1e8, 1.2, 5).select("v", "label")
 
 
 @query
 def two_pass_weighted_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.two_pass(iterate.written(e), fx.block_seeds(v), fx.PARTS).select("v", "label")
+    return labelling.two_pass(iterate.written(e), fx.block_seeds(v), fx.PARTS).select("v", "label")
 
 
 @query
 def oversample_merge_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.merge_pairs(v, iterate.written(e), ["v"], fx.PARTS)
+    return labelling.merge_pairs(v, iterate.written(e), ["v"], fx.PARTS)
 
 
 @query
 def oversample_drop_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.drop_worst(v, iterate.written(e), ["v"], fx.PARTS).select("v", "label")
+    return labelling.drop_worst(v, iterate.written(e), ["v"], fx.PARTS).select("v", "label")
 
 
 @query
 def oversample_nearest_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.oversample_nearest(v, iterate.written(e), ["v"], fx.PARTS)
+    return labelling.oversample_nearest(v, iterate.written(e), ["v"], fx.PARTS)
 
 
 @query
 def oversample_drop_smallest_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.oversample_drop_smallest(v, iterate.written(e), ["v"], fx.PARTS)
+    return labelling.oversample_drop_smallest(v, iterate.written(e), ["v"], fx.PARTS)
 
 
 @query
 def oversample_drop_high_cut_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.oversample_drop_high_cut(v, iterate.written(e), ["v"], fx.PARTS)
+    return labelling.oversample_drop_high_cut(v, iterate.written(e), ["v"], fx.PARTS)
 
 
 @query
@@ -400,13 +408,13 @@ def capped_fill_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def downsampled_seeds(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.downsample_seeds(v, iterate.written(e), ["v"], fx.PARTS)
+    return labelling.downsample_seeds(v, iterate.written(e), ["v"], fx.PARTS)
 
 
 @query
 def rebalanced_labels(spark: SparkSession, sf: str) -> DataFrame:
     e, grown = _grown(spark, sf)
-    return partition.rebalance(e, grown, fx.PARTS)
+    return labelling.rebalance(e, grown, fx.PARTS)
 
 
 @query
@@ -444,7 +452,7 @@ def bidding_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def label_propagation_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return partition.label_propagation(v, iterate.written(e), fx.PARTS, ["v"])
+    return labelling.label_propagation(v, iterate.written(e), fx.PARTS, ["v"])
 
 
 @query
@@ -610,7 +618,67 @@ def expression_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def square_grid_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    """Degrees of an 8-neighbour grid of region-count size."""
-    n = 4 * load(spark, sf, "region").count()
+    """Degrees of an 8-neighbour grid with about as many cells as there are orders."""
+    n = int(load(spark, sf, "orders").count() ** 0.5)
     e = generators.square_grid(spark, n, True)
     return topology.degrees(spark.range(n * n).select(F.col("id").alias("v")), e).groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- mesh and matrix files ------------------------------------------------------------
+
+
+def _mesh_document(spark: SparkSession, sf: str, version: str) -> str:
+    """The orders lattice as a mesh of hexahedra, written in parts."""
+    cells, path = fx.cells(spark, sf), iterate.new_path(spark, "mesh")
+    q = fx.width(spark, sf) + 1
+    tags = cells.select(F.explode("node_tags").alias("node_tag")).distinct()
+    place = [F.expr(f"node_tag div {q * q}"), F.expr(f"(node_tag div {q}) % {q}"), F.expr(f"node_tag % {q}")]
+    nodes = tags.select("node_tag", *[x.cast("double").alias(c) for x, c in zip(place, "xyz", strict=True)])
+    msh.write_mesh(nodes, cells.select(F.col("e").alias("element_tag"), F.lit(5).alias("etype"), "node_tags"), path, version)
+    return path
+
+
+@query
+def mesh_scan_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements of a mesh of blocks (MSH 4.1), a row per corner."""
+    found = msh.Mesh(spark, _mesh_document(spark, sf, "4.1")).elements()
+    return found.select("element_tag", F.col("etype").cast("long").alias("etype"), F.posexplode("node_tags").alias("at", "node_tag")).withColumn("at", F.col("at").cast("long"))
+
+
+@query
+def mesh_scan_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of a flat mesh (MSH 2.2)."""
+    return msh.Mesh(spark, _mesh_document(spark, sf, "2.2")).nodes().drop("path")
+
+
+@query
+def mesh_read_order_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """A mesh file read, ordered along the curve and cut in equal blocks: the driver of mesh runs up to its labels."""
+    elements = runs.ordered_mesh(spark, _mesh_document(spark, sf, "4.1"))
+    return ordering.block_labels(elements.select(F.col("e").alias("v"), "global_idx"), ["global_idx"], fx.PARTS).select("v", "label")
+
+
+@query
+def vtk_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the VTK document of the orders lattice with the cells' labels as scalars."""
+    cells, path = fx.cells(spark, sf), iterate.new_path(spark, "vtk")
+    q = fx.width(spark, sf) + 1
+    tags = cells.select(F.explode("node_tags").alias("node_tag")).distinct()
+    place = [F.expr(f"node_tag div {q * q}"), F.expr(f"(node_tag div {q}) % {q}"), F.expr(f"node_tag % {q}")]
+    points = tags.select("node_tag", *[x.cast("double").alias(c) for x, c in zip(place, "xyz", strict=True)])
+    labels = fx.key_labels(cells.select(F.col("e").alias("v")))
+    labelled = cells.join(labels, cells.e == labels.v).select(F.col("e").alias("cell"), F.lit(5).alias("etype"), "node_tags", "label")
+    files.write_vtk(points, path, order=("node_tag",), colour=None, cells=labelled, cell_scalars=("label",))
+    return numbered_lines(spark, path).select("at", "value")
+
+
+@query
+def matrix_market_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Part adjacency written as a symmetric coordinate file and read back by its header."""
+    _, e = fx.copurchase(spark, sf)
+    e, path = iterate.written(e, "edges"), iterate.new_path(spark, "matrix")
+    n = e.agg(F.max("v")).first()[0]
+    head = spark.createDataFrame([(0, 0, 0, f"%%MatrixMarket matrix coordinate pattern symmetric\n% parts\n{n} {n} {e.count()}")], "section int, u long, v long, line string")
+    body = e.select(F.lit(1).alias("section"), "u", "v", F.concat_ws(" ", F.col("v").cast("string"), F.col("u").cast("string")).alias("line"))
+    files.write_document(head.union(body), ["section", "u", "v"], path)
+    return files.read_matrix_market(spark, path).drop("path")

@@ -67,7 +67,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_seeds(vertices: DataFrame, parts: int = PARTS) -> DataFrame:
-    from meshloom.operators.partition import seeds_along
+    from meshloom.operators.labelling import seeds_along
 
     return seeds_along(vertices, ["v"], parts)
 

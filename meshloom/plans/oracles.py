@@ -270,5 +270,19 @@ ORACLES: dict[str, str] = {
     "stretch_increment": "select p_partkey, round(log2(p_size) + 1, 9) step from part",
     "remaining_labels": "with k as (select n_nationkey::bigint as label from nation except all select (r_regionkey * 3)::bigint from region) select label, (dense_rank() over (order by label) - 1)::bigint as new from k",
     "expression_ratios": f"with {GRAPH}, {ARCL} select r.k::bigint as label, count(distinct src) || '/1000' as expr from range(8) r(k) left join (select * from arcl where ls <> ld) a on a.ls = r.k group by 1",
-    "square_grid_degrees": "with g as (select i.k i, j.k j, 4 * (select count(*) from region) n from range(1000) i(k), range(1000) j(k) where i.k < 4 * (select count(*) from region) and j.k < 4 * (select count(*) from region)), d as (select (case when i in (0, n - 1) then 2 else 3 end) * (case when j in (0, n - 1) then 2 else 3 end) - 1 degree from g) select degree::bigint degree, count(*) n from d group by 1",
+    "square_grid_degrees": "with n as (select floor(sqrt((select count(*) from orders)))::bigint n), g as (select i, j, n from n, lateral (select unnest(range(n)) i) a, lateral (select unnest(range(n)) j) b), d as (select (case when i in (0, n - 1) then 2 else 3 end) * (case when j in (0, n - 1) then 2 else 3 end) - 1 degree from g) select degree::bigint degree, count(*) n from d group by 1",
+    "block_grown_labels": f"{GROWN} select v, label::bigint as label, dist::bigint dist from bfs",
+    "mesh_scan_elements": f"with {LATTICE} " + " union all ".join(f"select e element_tag, 5::bigint etype, {c}::bigint as at, {_node(c)}::bigint node_tag from cell" for c in range(8)),
+    "mesh_scan_nodes": f"with {LATTICE}, {NODES}, t as (select distinct node, w + 1 q from nodes, wide) select node::bigint node_tag, (node // (q * q))::double x, ((node // q) % q)::double y, (node % q)::double z from t",
+    "mesh_read_order_labels": f"with {LATTICE}, pts as (select e v, i + 0.5::double x, j + 0.5::double y, k + 0.5::double z from cell), {CELLS} select v, (ntile(8) over (order by morton, v) - 1)::bigint as label from keyed",
+    "vtk_elements": (
+        f"with {LATTICE}, {NODES}, {LABELS}, t as (select distinct node, w + 1 q from nodes, wide), p as (select node, q, row_number() over (order by node) - 1 idx from t), n as (select count(*) n, (select count(*) from cell) m from p), "
+        f"corner as ({' union all '.join(f'select e, {c} c, {_node(c)} node from cell' for c in range(8))}), ends as (select e, string_agg(idx::varchar, ' ' order by c) l from corner join p using (node) group by e), "
+        "o as (select e, row_number() over (order by e) - 1 k from cell), "
+        "line as (select 0 s, unnest([0, 1, 2, 3]) k, unnest(['# vtk DataFile Version 3.0', 'parts', 'ASCII', 'DATASET UNSTRUCTURED_GRID']) value union all select 1, 0, 'POINTS ' || n || ' double' from n "
+        "union all select 2, idx, (node // (q * q))::double || ' ' || ((node // q) % q)::double || ' ' || (node % q)::double from p union all select 3, 0, 'CELLS ' || m || ' ' || 9 * m from n union all select 4, k, '8 ' || l from ends join o using (e) "
+        "union all select 5, 0, 'CELL_TYPES ' || m from n union all select 6, k, '12' from o union all select 7, 0, 'CELL_DATA ' || m from n union all select 8, unnest([0, 1]), unnest(['SCALARS label long 1', 'LOOKUP_TABLE default']) "
+        "union all select 9, k, label::varchar from o join labels on v = e) select row_number() over (order by s, k) - 1 as at, value from line"
+    ),
+    "matrix_market_entries": f"with {CO} select v i, u j, 1.0::double a from co union all select u, v, 1.0::double from co",
 }

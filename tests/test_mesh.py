@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom.functions import curves, scalars
-from meshloom.operators import analysis, growth, iterate, linalg, metrics, ordering, partition, skew, topology
+from meshloom.operators import analysis, blocks, growth, iterate, labelling, linalg, metrics, ordering, skew, topology
 from meshloom.plans import catalogue, runs
 from meshloom.sources import files, generators, msh, octree
+from meshloom.sources.lines import numbered_lines, write_document
 from meshloom.streaming import run_log
 
 N = 5
@@ -77,7 +78,7 @@ def test_bfs_is_manhattan_distance_and_lexicographic(spark, grid):
     cells, edges = grid
     place = {r.e: (r.i, r.j, r.k) for r in cells.collect()}
     seeds = {0: 0, N**3 - 1: 1, N * N: 2}
-    state = partition.bfs_partition(edges, spark.createDataFrame(list(seeds.items()), "v long, label long")).collect()
+    state = labelling.bfs_partition(edges, spark.createDataFrame(list(seeds.items()), "v long, label long")).collect()
     assert len(state) == N**3
     for r in state:
         best = min((sum(abs(a - b) for a, b in zip(place[r.v], place[s], strict=True)), label) for s, label in seeds.items())
@@ -87,26 +88,26 @@ def test_bfs_is_manhattan_distance_and_lexicographic(spark, grid):
 def test_relaxation_and_refinement(spark, grid):
     cells, edges = grid
     v = cells.select(F.col("e").alias("v"))
-    seeds = partition.seeds_along(v, ["v"], 4)
-    grown = partition.bfs_partition(edges, seeds)
+    seeds = labelling.seeds_along(v, ["v"], 4)
+    grown = labelling.bfs_partition(edges, seeds)
     again = iterate.relax(edges, grown)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in grown.collect()}
-    fine = partition.refined(edges, grown, 4)
+    fine = labelling.refined(edges, grown, 4)
     assert fine.count() == N**3 and {r.label for r in fine.select("label").distinct().collect()} <= set(range(4))
 
 
 def test_unreached_vertices_stay_out(spark):
     e = spark.createDataFrame([(0, 1), (5, 6)], "u long, v long")
     s = spark.createDataFrame([(0, 0)], "v long, label long")
-    assert {r.v for r in partition.bfs_partition(e, s).collect()} == {0, 1}
+    assert {r.v for r in labelling.bfs_partition(e, s).collect()} == {0, 1}
     assert not iterate.is_connected(spark.createDataFrame([(0,), (1,), (5,), (6,)], "v long"), e)
 
 
-@pytest.mark.parametrize("name", sorted(partition.REGISTRY))
+@pytest.mark.parametrize("name", sorted(labelling.REGISTRY))
 def test_partitioners_cover_everything(grid, name):
     cells, edges = grid
     v = cells.select(F.col("e").alias("v"))
-    labels = partition.REGISTRY[name](v, edges, ["v"], 3).persist()
+    labels = labelling.REGISTRY[name](v, edges, ["v"], 3).persist()
     assert labels.count() == N**3 and labels.where("label is null").isEmpty()
     assert {r.label for r in labels.select("label").distinct().collect()} <= {0, 1, 2}
     q = metrics.quality(edges, labels, 3).first()
@@ -119,14 +120,14 @@ def test_partitioners_cover_everything(grid, name):
 def test_pagerank_keeps_weight(grid):
     cells, edges = grid
     v = cells.select(F.col("e").alias("v"))
-    total = partition.pagerank(v, edges, rounds=4).agg(F.sum("rank")).first()[0]
+    total = labelling.pagerank(v, edges, rounds=4).agg(F.sum("rank")).first()[0]
     assert total == pytest.approx(1000 * N**3)
 
 
 def test_seed_choices(grid):
     cells, edges = grid
     v = cells.select(F.col("e").alias("v"))
-    assert partition.downsample_seeds(v, edges, ["v"], 3).count() == 3
+    assert labelling.downsample_seeds(v, edges, ["v"], 3).count() == 3
     assert [r.position for r in ordering.stride_samples(v, ["v"], 4).orderBy("position").collect()] == [0, 31, 62, 93]
 
 
@@ -214,8 +215,10 @@ def test_octree(spark, tmp_path):
     path.write_bytes(rec.tobytes())
     rows = octree.read_octree(spark, str(path))
     assert [tuple(r) for r in topology.neighbor_edges(rows, rows).collect()] == [(7, 9)]
-    with pytest.raises(ValueError):
-        octree.decode(b"x" * 81)
+    for name, content in (("cut.bin", b"x" * 81), ("tree_3.bin", rec.tobytes())):
+        (tmp_path / name).write_bytes(content)
+        with pytest.raises(ValueError, match="number of records"):
+            octree.read_octree(spark, str(tmp_path / name))
 
 
 def test_files_and_sinks(spark, tmp_path):
@@ -223,7 +226,10 @@ def test_files_and_sinks(spark, tmp_path):
     edges = files.matrix_edges(files.read_matrix_market(spark, str(tmp_path / "a.mtx")))
     assert {tuple(r) for r in edges.collect()} == {(1, 2), (1, 3)}
     pts = spark.createDataFrame([(0.0, 1.0, 2.0, 0), (1.0, 1.0, 2.0, 1)], "x double, y double, z double, label int")
-    assert files.write_vtk(pts, str(tmp_path / "p.vtk")) == 2 and (tmp_path / "p.vtk").read_text().splitlines()[4] == "POINTS 2 double"
+    assert files.write_vtk(pts, str(tmp_path / "p.vtk"), scalars=("label",)) == 2
+    lines = [r.value for r in numbered_lines(spark, str(tmp_path / "p.vtk")).orderBy("at").collect()]
+    assert lines[3:9] == ["DATASET POLYDATA", "POINTS 2 double", "0.0 1.0 2.0", "1.0 1.0 2.0", "POINT_DATA 2", "COLOR_SCALARS colour 3"]
+    assert len(lines) == 15 and all(len(x.split()) == 3 for x in lines[9:11]) and lines[11:] == ["SCALARS label long 1", "LOOKUP_TABLE default", "0", "1"]
     files.write_slices(pts, str(tmp_path / "slices"))
     assert spark.read.parquet(str(tmp_path / "slices")).count() == 2
     (tmp_path / "list.txt").write_text("a.msh\n\n b.msh\n")
@@ -389,13 +395,13 @@ def test_oversampling_equals_a_serial_run(oversampled):
     for _, a, b in sorted((dist[b][seeds[a]], a, b) for a in seeds for b in seeds if a < b):
         if len(alive) > parts and a in alive and b in alive:
             alive.discard(a)
-    assert collect(partition.oversample_nearest(v, edges, ["v"], parts)) == renamed(assigned(dist, alive), alive)
+    assert collect(labelling.oversample_nearest(v, edges, ["v"], parts)) == renamed(assigned(dist, alive), alive)
     seeds, dist = seeded(12)
     alive = set(seeds)
     while len(alive) > parts:
         now = list(assigned(dist, alive).values())
         alive.discard(min(alive, key=lambda k: (now.count(k), k)))
-    assert collect(partition.oversample_drop_smallest(v, edges, ["v"], parts, 3)) == renamed(assigned(dist, alive), alive)
+    assert collect(labelling.oversample_drop_smallest(v, edges, ["v"], parts, 3)) == renamed(assigned(dist, alive), alive)
     seeds, dist = seeded(8)
     alive = set(seeds)
     while len(alive) > parts:
@@ -404,12 +410,12 @@ def test_oversampling_equals_a_serial_run(oversampled):
         cut = np.array([sum(label[x] == k and label[y] != k for x in near for y in near[x]) for k in seeds], float)
         z = abs((load - load.mean()) / load.std(ddof=1)) + (cut - cut.mean()) / cut.std(ddof=1)
         alive.discard(max(alive, key=lambda k: (round(z[k], 9), -k)))
-    assert collect(partition.oversample_drop_high_cut(v, edges, ["v"], parts)) == renamed(assigned(dist, alive), alive)
+    assert collect(labelling.oversample_drop_high_cut(v, edges, ["v"], parts)) == renamed(assigned(dist, alive), alive)
     seeds, dist = seeded(20)
     label = assigned(dist, seeds)
     ratio = {k: sum(label[x] == k and label[y] != k for x in near for y in near[x]) / max(list(label.values()).count(k), 1) for k in seeds}
     kept = sorted(sorted(seeds, key=lambda k: (ratio[k], k))[:parts])
-    assert collect(partition.drop_worst(v, edges, ["v"], parts)) == renamed(assigned(dist, kept), kept)
+    assert collect(labelling.drop_worst(v, edges, ["v"], parts)) == renamed(assigned(dist, kept), kept)
 
 
 def test_downsampling_equals_a_serial_run(oversampled):
@@ -427,7 +433,7 @@ def test_downsampling_equals_a_serial_run(oversampled):
     for (a, b), _ in sorted(pair.items(), key=lambda r: (r[1], r[0])):
         if len(alive) > 4 and a in alive and b in alive:
             alive.discard(a)
-    got = {r.v: r.label for r in partition.downsample_seeds(v, edges, ["v"], 4).collect()}
+    got = {r.v: r.label for r in labelling.downsample_seeds(v, edges, ["v"], 4).collect()}
     assert got == {seeds[k]: i for i, k in enumerate(sorted(alive)[:4])}
 
 
@@ -443,3 +449,139 @@ def test_hot_keys_are_dealt_by_row(spark):
     joined = skew.looked_up(rows, table, "a", 2000)
     assert {tuple(r) for r in joined.collect()} == {(900, i, 0, 801) if i < 800 or i == 900 else (i, i, i, 1) for i in range(2000)}
     assert "_deal" in joined._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].split("\n")[0]  # a key of the join, so that the hot rows spread
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    want = [f"line {i} {'x' * (i % 50)}" for i in range(3000)]
+    (tmp_path / "one.txt").write_text("\n".join(want))
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(want)], "k long, line string")
+    write_document(rows.repartition(5), ["k"], str(tmp_path / "parts"), 7)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        for name in ("one.txt", "parts"):
+            assert spark.read.text(str(tmp_path / name)).rdd.getNumPartitions() > 5
+            got = numbered_lines(spark, str(tmp_path / name)).orderBy("at").collect()
+            assert [r.at for r in got] == list(range(3000)) and [r.value for r in got] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+TRIANGLES = """$MeshFormat
+4.1 0 8
+$EndMeshFormat
+$PhysicalNames
+2
+1 7 "outer edge"
+2 9 "plate"
+$EndPhysicalNames
+$Entities
+2 1 1 0
+1 0 0 0 0
+2 1 0 0 1 5
+4 0 0 0 1 0 0 2 7 -8 2 1 -2
+6 0 0 0 1 1 0 1 9 1 -4
+$EndEntities
+$Nodes
+2 4 1 4
+0 1 0 1
+1
+0 0 0
+2 6 0 3
+2
+3
+4
+1 0 0
+0 1 0
+1 1 0
+$EndNodes
+$Elements
+3 4 1 4
+0 1 15 1
+1 1
+2 6 2 2
+2 1 2 3
+3 2 4 3
+1 4 1 1
+4 1 2
+$EndElements
+"""
+
+
+def test_blocks_of_triangles_and_entities(spark, tmp_path):
+    """Lines of four whole numbers are both headers and triangles; two files at once, one of them flat."""
+    (tmp_path / "a.msh").write_text(TRIANGLES)
+    (tmp_path / "b.msh").write_text(TET)
+    mesh = msh.Mesh(spark, str(tmp_path))
+    mine = lambda df: [tuple(r)[1:] for r in df.where("path like '%a.msh'").orderBy(df.columns[1]).collect()]
+    assert mine(mesh.elements()) == [(1, 15, [1]), (2, 2, [1, 2, 3]), (3, 2, [2, 4, 3]), (4, 1, [1, 2])]
+    assert mine(mesh.nodes()) == [(1, 0, 0, 0), (2, 1, 0, 0), (3, 0, 1, 0), (4, 1, 1, 0)]
+    assert mine(mesh.entities().orderBy("dim")) == sorted([(0, 1, [], []), (0, 2, [5], []), (1, 4, [7, -8], [1, -2]), (2, 6, [9], [-4])])
+    assert mine(mesh.physical_names()) == [(1, 7, "outer edge"), (2, 9, "plate")]
+    assert mesh.elements().where("path like '%b.msh'").count() == 3
+    (tmp_path / "c.msh").write_text("$MeshFormat\n4.1 1 8\n$EndMeshFormat\n")
+    with pytest.raises(ValueError, match="binary"):
+        msh.Mesh(spark, str(tmp_path / "c.msh"))
+
+
+def test_octree_is_read_in_record_splits(spark, tmp_path):
+    rec = np.zeros(5000, octree.RECORD)
+    rec["eid"], rec["e2e"] = np.arange(5000), octree.BORDER
+    rec["e2e"][:, 3] = np.arange(5000) + 1
+    (tmp_path / "tree_5000.bin").write_bytes(rec.tobytes())
+    assert spark.sparkContext.binaryRecords(str(tmp_path), octree.RECORD.itemsize).getNumPartitions() > 1
+    got = octree.read_octree(spark, str(tmp_path)).orderBy("e").collect()
+    assert [r.e for r in got] == list(range(5000)) and all(r.neigh == [None] * 3 + [r.e + 1] + [None] * 2 for r in got)
+
+
+def test_matrix_market_goes_by_each_files_header(spark, tmp_path):
+    (tmp_path / "a.mtx").write_text("%%MatrixMarket matrix coordinate real skew-symmetric\n%\n3 3 2\n2 1 5\n3 1 -2.5\n")
+    (tmp_path / "b.mtx").write_text("%%MatrixMarket matrix array real symmetric\n3 3\n1\n2\n3\n4\n5\n6\n")
+    (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix array integer general\n2 3\n1\n2\n3\n4\n5\n6\n")
+    (tmp_path / "d.mtx").write_text("%%MatrixMarket matrix array real skew-symmetric\n4 4\n1\n2\n3\n4\n5\n6\n")
+    (tmp_path / "e.mtx").write_text("%%MatrixMarket matrix coordinate complex Hermitian\n2 2 2\n1 1 4 0\n2 1 3 9\n")
+    got = {}
+    for r in files.read_matrix_market(spark, str(tmp_path)).collect():
+        assert got.setdefault(r.path[-5], {}).setdefault((r.i, r.j), r.a) == r.a
+    lower = {(1, 1): 1, (2, 1): 2, (3, 1): 3, (2, 2): 4, (3, 2): 5, (3, 3): 6}
+    skew = {(2, 1): 1, (3, 1): 2, (4, 1): 3, (3, 2): 4, (4, 2): 5, (4, 3): 6}
+    assert got["a"] == {(2, 1): 5, (1, 2): -5, (3, 1): -2.5, (1, 3): 2.5}
+    assert got["b"] == lower | {(j, i): x for (i, j), x in lower.items()}
+    assert got["c"] == {(1, 1): 1, (2, 1): 2, (1, 2): 3, (2, 2): 4, (1, 3): 5, (2, 3): 6}
+    assert got["d"] == skew | {(j, i): -x for (i, j), x in skew.items()}
+    assert got["e"] == {(1, 1): 4, (2, 1): 3, (1, 2): 3}
+
+
+@pytest.mark.parametrize("count", [1, 4, 40])
+def test_block_growth_equals_hops(spark, grid, count):
+    """Blocks of any number; seeds outside the graph stay, unreached vertices don't show, ties go to the least label."""
+    _, edges = grid
+    more = edges.union(spark.createDataFrame([(900, 901), (901, 901), (900, 901)], "u long, v long"))
+    seeds = spark.createDataFrame([(0, 3), (N**3 - 1, 1), (N * N, 2), (N * N, 9), (777, 4)], "v long, label long")
+    got = blocks.bfs(more, seeds, blocks.vertex_blocks(more, blocks=count))
+    assert {tuple(r) for r in got.collect()} == {(r.v, r.label, r.dist) for r in iterate.bfs(more, seeds).select("v", "label", F.col("dist").cast("long").alias("dist")).collect()}
+    assert blocks.bfs(more, seeds.limit(0)).count() == 0
+
+
+def test_a_scratch_scope_deletes_its_tables(spark):
+    rows = spark.range(10)
+    with iterate.scratch(spark) as root:
+        table = iterate.written(rows, "x")
+        assert table.count() == 10 and root in table.inputFiles()[0]
+    kept = iterate.written(rows, "x")
+    assert kept.count() == 10 and root not in kept.inputFiles()[0]
+    assert not os.path.exists(root.removeprefix("file:"))
+
+
+def test_random_points_are_seeded(spark):
+    one, two = (generators.random_points(spark, 50, s).collect() for s in (1, 2))
+    assert one == generators.random_points(spark, 50, 1).collect() != two and all(0 <= r[c] < 1 for r in one for c in "xyz")
+
+
+def test_connected_list_and_csv_results(spark, tmp_path):
+    found = spark.createDataFrame([("b", True), ("a", True), ("c", False)], "path string, connected boolean")
+    files.write_connected_list(spark, found, str(tmp_path / "list"))
+    assert [r.path for r in files.read_file_list(spark, str(tmp_path / "list")).collect()] == ["a", "b"]
+    for k in range(2):
+        files.append_results(spark.createDataFrame([(k, [1, 2])], "np int, sizes array<int>"), str(tmp_path / "csv"))
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()) == [("0", "[1,2]"), ("1", "[1,2]")]
