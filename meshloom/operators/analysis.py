@@ -73,12 +73,25 @@ def at_positions(rows: DataFrame, value: str, positions: list[float]) -> DataFra
     placed = global_index(rows.select(value).where(F.col(value).isNotNull()), [value], "_pos")
     n = placed.agg(F.count(F.lit(1)).alias("n"))
     wanted = n.select("n", F.posexplode(F.array(*[F.lit(x) for x in positions])).alias("k", "share")).withColumn("at", (F.col("n") - 1) * F.col("share"))
-    wanted = F.broadcast(wanted.select("k", "at", F.floor("at").alias("low")))  # a row per position
-    near = placed.join(wanted, (F.col("_pos") == F.col("low")) | (F.col("_pos") == F.col("low") + 1))
+    wanted = wanted.select("k", "at", F.floor("at").alias("low"), F.explode(F.array(F.floor("at"), F.floor("at") + 1)).alias("_pos"))  # two rows per position
+    near = placed.join(F.broadcast(wanted), "_pos")
     both = near.groupBy("k", "at", "low").agg(F.max(F.when(F.col("_pos") == F.col("low"), F.col(value))).alias("a"), F.max(F.when(F.col("_pos") > F.col("low"), F.col(value))).alias("b"))
     return both.select("k", (F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("at") - F.col("low"))).alias(value))
 
 
+def sketched_positions(rows: DataFrame, value: str, positions: list[float], accuracy: int = 1000) -> DataFrame:
+    """(k, value, rank, n): a value for each of ``positions`` in one pass, without an order of all rows.
+
+    Summaries are merged from partial ones; a value's rank is off by at most n / ``accuracy``
+    (stated by the summary's method, and checked against the rows: ``rank`` counts the
+    rows up to the value)."""
+    known = rows.select(value).where(F.col(value).isNotNull())
+    found = known.agg(F.percentile_approx(value, F.array(*[F.lit(x) for x in positions]), F.lit(accuracy)).alias("q"))
+    held = known.crossJoin(F.broadcast(found))  # one row
+    counted = held.agg(F.count(F.lit(1)).alias("n"), F.first("q").alias("q"), F.array(*[F.count_if(F.col(value) <= F.get("q", F.lit(k))) for k in range(len(positions))]).alias("r"))
+    return counted.select("n", F.posexplode(F.arrays_zip("q", "r")).alias("k", "z")).select("k", F.col("z.q").alias(value), F.col("z.r").alias("rank"), "n")
+
+
 def summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """Least, quartiles (interpolated) and greatest of every group.
 

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import growth, metrics
-from .iterate import bfs, fixpoint, held, relax, symmetric, written
+from . import growth, metrics, multilevel
+from .iterate import bfs, fixpoint, held, new_path, relax, symmetric, written
 from .ordering import block_labels, mid_seeds, stride_samples
 from .topology import labelled_arcs
 
@@ -220,8 +220,7 @@ def rebalance(edges: DataFrame, labels: DataFrame, parts: int, rounds: int = 5)
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, parts: int, keys: list[str], rounds: int = 4) -> DataFrame:
-    """Our own multilevel stand-in: curve blocks, smoothed by majority moves and balanced.
-    It claims no parity with any external partitioner."""
+    """Curve blocks, smoothed by majority moves and balanced, without levels."""
     labels = written(block_labels(vertices, keys, parts).select("v", "label"))
     for _ in range(rounds):
         votes = labelled_arcs(edges, labels).groupBy("src", "ls", "ld").agg(F.count(F.lit(1)).alias("k"))
@@ -255,20 +254,64 @@ def oversample_nearest(vertices: DataFrame, edges: DataFrame, keys: list[str], p
     return _dense(nearest(reach, alive), alive)
 
 
+class Owned:
+    """Vertices in folders by owner, each with its ordered candidates; an owner's vertices can be handed on without reading the others'."""
+
+    def __init__(self, reach: DataFrame) -> None:
+        """``reach``: (v, label, dist) of every seed that reaches a vertex; the nearest one owns it, the lower label on ties."""
+        self.spark, self.rounds, self.dead = reach.sparkSession, 0, []
+        self.root = new_path(self.spark, "owned")
+        self.folders: dict[int, list[str]] = {}
+        self.sizes: dict[int, int] = {}
+        near = F.transform(F.array_sort(F.collect_list(F.struct("dist", "label"))), lambda x: x["label"])  # the seeds that reach a vertex
+        self._file(reach.groupBy("v").agg(near.alias("candidates")).withColumn("owner", F.get("candidates", F.lit(0))))
+
+    def _file(self, rows: DataFrame) -> None:
+        path = f"{self.root}/{self.rounds}"
+        self.rounds += 1
+        rows.write.partitionBy("owner").parquet(path)
+        placed = self.spark.read.schema("v long, candidates array<long>, owner long").parquet(path)
+        for r in placed.groupBy("owner").count().collect():  # a row per part
+            self.sizes[r["owner"]] = self.sizes.get(r["owner"], 0) + r["count"]
+            self.folders.setdefault(r["owner"], []).append(f"{path}/owner={r['owner']}")
+
+    def of(self, owner: int) -> DataFrame:
+        return self.spark.read.schema("v long, candidates array<long>").parquet(*self.folders[owner])
+
+    def drop(self, owner: int) -> None:
+        """Hands an owner's vertices to their next candidates that are still there; those without one are left out (owner -1)."""
+        self.dead.append(owner)
+        if self.sizes.pop(owner, 0):
+            gone = F.array(*[F.lit(x).cast("long") for x in self.dead])
+            rest = F.filter("candidates", lambda x: ~F.array_contains(gone, x))
+            self._file(self.of(owner).withColumn("candidates", rest).withColumn("owner", F.coalesce(F.get("candidates", F.lit(0)), F.lit(-1).cast("long"))))
+            self.folders.pop(owner)
+            self.sizes.pop(-1, None)
+
+    def labels(self, alive: set[int]) -> DataFrame:
+        """(v, label) of the vertices that have an owner."""
+        out = None
+        for k in sorted(alive & set(self.folders)):
+            mine = self.of(k).select("v", F.lit(k).cast("long").alias("label"))
+            out = mine if out is None else out.union(mine)
+        return out
+
+
 def oversample_drop_smallest(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int, factor: int = 10) -> DataFrame:
     """From ``factor`` * p seeds the smallest part is deleted again and again; its vertices go to the next nearest seed.
 
-    Seeds grow until each has 3 * (n div p) vertices, further if one of the vertices wasn't reached."""
+    Seeds grow until each has 3 * (n div p) vertices, further if one of the vertices wasn't
+    reached.  A deletion reads and writes the deleted part's vertices alone, and the smallest
+    part has at most its share of them."""
     n = vertices.count()
     seeds = written(seeds_along(vertices, keys, parts * factor))
-    reach = written(growth.seed_reach(edges, seeds, 3 * (n // parts)))
+    owned = Owned(growth.seed_reach(edges, seeds, 3 * (n // parts)).withColumn("label", F.col("label").cast("long")))
     alive = set(range(parts * factor))
-    with held(reach, "v") as reach:
-        while len(alive) > parts:
-            sizes = dict.fromkeys(alive, 0) | {r["label"]: r["count"] for r in nearest(reach, alive).groupBy("label").count().collect()}  # a row per part
-            alive.discard(min(alive, key=lambda k: (sizes[k], k)))
-        labels = written(_dense(nearest(reach, alive), alive))
-    return growth.fill(vertices, edges, labels)
+    while len(alive) > parts:
+        smallest = min(alive, key=lambda k: (owned.sizes.get(k, 0), k))
+        alive.discard(smallest)
+        owned.drop(smallest)
+    return growth.fill(vertices, edges, written(_dense(owned.labels(alive), alive)))
 
 
 def oversample_drop_high_cut(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int, factor: int = 2) -> DataFrame:
@@ -311,5 +354,6 @@ REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[str], int], DataFrame]]
     "oversample_nearest": oversample_nearest,
     "oversample_drop_smallest": oversample_drop_smallest,
     "oversample_drop_high_cut": oversample_drop_high_cut,
+    "multilevel": lambda v, e, k, p: multilevel.multilevel(v, e, k, p),
     "label_propagation": lambda v, e, k, p: label_propagation(v, e, p, k),
 }

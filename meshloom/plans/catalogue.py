@@ -130,6 +130,13 @@ def approximate_splitters(spark: SparkSession, sf: str) -> DataFrame:
     return q.select(F.col("k").cast("long").alias("k"), F.round("o_totalprice", 4).alias("value"))
 
 
+@query
+def sketched_splitters(spark: SparkSession, sf: str) -> DataFrame:
+    """The same splitters from merged summaries, each with whether its rank is within n / 1000 of the place asked for."""
+    q = analysis.sketched_positions(load(spark, sf, "orders"), "o_totalprice", [k / 8 for k in range(1, 8)])
+    return q.select(F.col("k").cast("long").alias("k"), "n", (F.abs(F.col("rank") - F.col("n") * (F.col("k") + 1) / 8) <= F.col("n") / 1000 + 1).alias("within"))
+
+
 # --- topology -----------------------------------------------------------------
 
 
@@ -292,6 +299,12 @@ def block_grown_labels(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.bfs(iterate.written(e, "edges"), fx.block_seeds(v))
 
 
+@query
+def multilevel_labels(spark: SparkSession, sf: str) -> DataFrame:
+    v, e = fx.lattice(spark, sf)
+    return multilevel.multilevel(v, iterate.written(e, "edges"), ["v"], fx.PARTS)
+
+
 @query
 def bfs_refined_labels(spark: SparkSession, sf: str) -> DataFrame:
     e, grown = _grown(spark, sf)

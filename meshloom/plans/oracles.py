@@ -271,6 +271,7 @@ ORACLES: dict[str, str] = {
     "remaining_labels": "with k as (select n_nationkey::bigint as label from nation except all select (r_regionkey * 3)::bigint from region) select label, (dense_rank() over (order by label) - 1)::bigint as new from k",
     "expression_ratios": f"with {GRAPH}, {ARCL} select r.k::bigint as label, count(distinct src) || '/1000' as expr from range(8) r(k) left join (select * from arcl where ls <> ld) a on a.ls = r.k group by 1",
     "square_grid_degrees": "with n as (select floor(sqrt((select count(*) from orders)))::bigint n), g as (select i, j, n from n, lateral (select unnest(range(n)) i) a, lateral (select unnest(range(n)) j) b), d as (select (case when i in (0, n - 1) then 2 else 3 end) * (case when j in (0, n - 1) then 2 else 3 end) - 1 degree from g) select degree::bigint degree, count(*) n from d group by 1",
+    "sketched_splitters": "select k::bigint k, (select count(*) from orders) n, true as within from range(7) r(k)",
     "block_grown_labels": f"{GROWN} select v, label::bigint as label, dist::bigint dist from bfs",
     "mesh_scan_elements": f"with {LATTICE} " + " union all ".join(f"select e element_tag, 5::bigint etype, {c}::bigint as at, {_node(c)}::bigint node_tag from cell" for c in range(8)),
     "mesh_scan_nodes": f"with {LATTICE}, {NODES}, t as (select distinct node, w + 1 q from nodes, wide) select node::bigint node_tag, (node // (q * q))::double x, ((node // q) % q)::double y, (node % q)::double z from t",
