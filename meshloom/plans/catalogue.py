@@ -491,6 +491,15 @@ def spmv_once(spark: SparkSession, sf: str) -> DataFrame:
     return linalg.spmv(linalg.assemble(nodes), linalg.assemble_vector(nodes)).select("i", F.round("y", 5).alias("y"))
 
 
+@query
+def spmv_tiled(spark: SparkSession, sf: str) -> DataFrame:
+    """The same product over row tiles, between which only ghost entries move."""
+    nodes = _nodes(spark, sf)
+    with tiles.tiled(linalg.assemble(nodes), linalg.assemble_vector(nodes), fx.PARTS) as held:
+        y = iterate.written(held.product(), "product")
+    return y.select("i", F.round("y", 5).alias("y"))
+
+
 # --- run-log analysis -------------------------------------------------------------
 
 

@@ -251,6 +251,7 @@ ORACLES: dict[str, str] = {
     "runs_before_cutoff": f"with {RUNS} select * from runs where mesh_idx < 4",
     "coo_assembly": f"with {LATTICE}, {NODES} select a.node i, b.node j, round(count(*) * sin((a.node + b.node + 1)::double), 6) a from nodes a join nodes b on a.e = b.e group by 1, 2",
     "spmv_once": f"with {LATTICE}, {NODES}, m as (select a.node i, b.node j, count(*) * sin((a.node + b.node + 1)::double) a from nodes a join nodes b on a.e = b.e group by 1, 2), x as (select node j, count(*) * cos(node::double) x from nodes group by 1) select i, round(sum(a * x), 5) y from m join x using (j) group by i",
+    "spmv_tiled": f"with {LATTICE}, {NODES}, m as (select a.node i, b.node j, count(*) * sin((a.node + b.node + 1)::double) a from nodes a join nodes b on a.e = b.e group by 1, 2), x as (select node j, count(*) * cos(node::double) x from nodes group by 1) select i, round(sum(a * x), 5) y from m join x using (j) group by i",
     "best_of_runs": f"with {RUNS} select * from runs qualify time = min(time) over (partition by mesh_idx, np)",
     "best_per_mesh_first": f"with {RUNS} select * from runs qualify row_number() over (partition by mesh_idx order by time, np, run_idx) = 1",
     "ideal_scaling": f"with {BEST} select mesh_idx, np, time, round(first_value(time) over w * first_value(np) over w / np, 6) ideal from best window w as (partition by mesh_idx order by np)",

@@ -20,3 +20,13 @@ def best_times(stream: DataFrame, method: str = "BFS") -> DataFrame:
 def windowed_values(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Tumbling counts and sums of an event stream with ts, event_type and value, under a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def cache_runs(spark: SparkSession, logs: str, cache: str, progress: str) -> None:
+    """Brings the runs of new files below ``logs`` into the table ``cache``, each file once, and returns when none is left.
+
+    Which files were taken is kept below ``progress``, and the table's own log tells which
+    of its files count, so a restart after a failure neither repeats nor loses a run."""
+    rows = spark.readStream.schema(run_log_schema()).json(logs)
+    query = rows.writeStream.format("parquet").option("checkpointLocation", progress).option("path", cache).trigger(availableNow=True).start()
+    query.awaitTermination()

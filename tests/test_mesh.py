@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom.functions import curves, scalars
-from meshloom.operators import analysis, blocks, growth, iterate, labelling, linalg, metrics, ordering, skew, topology
+from meshloom.operators import analysis, blocks, growth, iterate, labelling, linalg, metrics, multilevel, ordering, skew, tiles, topology
 from meshloom.plans import catalogue, runs
 from meshloom.sources import files, generators, msh, octree
 from meshloom.sources.lines import numbered_lines, write_document
@@ -585,3 +585,52 @@ def test_connected_list_and_csv_results(spark, tmp_path):
     for k in range(2):
         files.append_results(spark.createDataFrame([(k, [1, 2])], "np int, sizes array<int>"), str(tmp_path / "csv"))
     assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()) == [("0", "[1,2]"), ("1", "[1,2]")]
+
+
+def test_the_run_cache_takes_every_file_once(spark, tmp_path):
+    place = [str(tmp_path / x) for x in ("logs", "cache", "progress")]
+    row = lambda k: spark.createDataFrame([(k, 1, "m.msh", 4, 10)], "mesh_idx int, run_idx int, mesh_file string, np int, n bigint")
+    for k in range(2):
+        files.append_run_log(row(k), place[0])
+    run_log.cache_runs(spark, *place)
+    run_log.cache_runs(spark, *place)
+    files.append_run_log(row(2), place[0])
+    run_log.cache_runs(spark, *place)
+    got = spark.read.parquet(place[1])
+    assert sorted(r.mesh_idx for r in got.collect()) == [0, 1, 2] and len(got.columns) == 41
+
+
+def test_tiles_give_the_product_and_move_ghosts_only(spark):
+    rng = np.random.default_rng(3)
+    cells = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (160, 2))} - {(7, 7)})
+    entries = [(i, j, float(rng.normal())) for i, j in cells if i != 5] + [(3, 4, 1.5), (3, 4, 2.0)]
+    x = {i: float(rng.normal()) for i in range(38)}
+    a, v = spark.createDataFrame(entries, "i long, j long, a double"), spark.createDataFrame(list(x.items()), "i long, x double")
+    want = {}
+    for i, j, value in entries:
+        want[i] = want.get(i, 0.0) + value * x.get(j, 0.0)
+    for count in (1, 3, 8):
+        with tiles.tiled(a, v, count) as held:
+            ghosts = held.ghosts().count()
+            got = {r.i: r.y for r in held.product().collect()}
+        assert got == pytest.approx(want) and (ghosts == 0) == (count == 1)
+    y, took = tiles.products(a, v, 4, 3)
+    assert len(took) == 3 and {r.i: r.y for r in y.collect()} == pytest.approx(want)
+
+
+def test_summaries_keep_their_rank(spark):
+    rows = spark.range(20_000).select((F.pmod(F.xxhash64("id"), F.lit(1000)) * 1.0).alias("x")).union(spark.sql("select cast(null as double)"))
+    for r in analysis.sketched_positions(rows, "x", [0.0, 0.1, 0.5, 0.99, 1.0], 500).collect():
+        share = [0.0, 0.1, 0.5, 0.99, 1.0][r.k]
+        assert r.n == 20_000 and r["rank"] >= r.n * share - r.n / 500 and rows.where(F.col("x") < r.x).count() <= r.n * share + r.n / 500
+
+
+def test_multilevel_cuts_less_than_growth_and_balances(spark):
+    ids = spark.range(1000).select(F.col("id").alias("e"))
+    edges = iterate.written(generators.lattice_edges(ids, 10), "edges")
+    v = ids.select(F.col("e").alias("v"))
+    fine = multilevel.multilevel(v, edges, ["v"], 5)
+    cut, grown = (metrics.edge_cut(edges, x).first()["lambda"] for x in (fine, labelling.REGISTRY["bfs"](v, edges, ["v"], 5)))
+    q = metrics.quality(edges, fine, 5).first()
+    assert cut < grown and q.n == 1000 and q.rho_max <= 1.15 and q.rho_min > 0.7
+    assert sorted(map(tuple, fine.collect())) == sorted(map(tuple, multilevel.multilevel(v.repartition(7), edges.repartition(5), ["v"], 5).collect()))
