@@ -131,8 +131,10 @@ def gathered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows)[first], seq, np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
-def train(texts: pa.Array, toxic: np.ndarray, calibration: np.ndarray) -> Model:
-    """Fits the network; texts marked ``calibration`` only set thresholds."""
+def train(texts: pa.Array, toxic: np.ndarray, calibration: np.ndarray, informed: bool = True) -> Model:
+    """Fits the network; texts marked ``calibration`` only set thresholds.
+
+    ``informed``: whether the first dimension starts from the buckets' evidence, or at random like the others."""
     rng = np.random.default_rng(SEED)
     rows, seq, offsets = gathered(texts)
     lang = np.concatenate([languages(*run) for run in runs(texts)])
@@ -147,9 +149,10 @@ def train(texts: pa.Array, toxic: np.ndarray, calibration: np.ndarray) -> Model:
     known = seen.sum(0) >= 3
     embedding = np.zeros((BUCKETS, DIM), np.float32)
     embedding[known] = rng.normal(0, 0.02, (int(known.sum()), DIM))
-    embedding[known, 0] = np.clip(evidence[known] - 1, 0, 4) / 4
+    if informed:
+        embedding[known, 0] = np.clip(evidence[known] - 1, 0, 4) / 4
     filters = [rng.normal(0, 0.2, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
-    for f in filters:
+    for f in filters if informed else ():
         f[:, 0, : FILTERS // 2] = np.abs(f[:, 0, : FILTERS // 2]) + 0.5
         f[:, 1:, : FILTERS // 2] *= 0.1
     model = Model(embedding, filters, np.full(len(WIDTHS) * FILTERS, -0.4, np.float32), np.full(len(WIDTHS) * FILTERS, 0.3, np.float32), -1.0, np.zeros(len(LANGUAGES)))
