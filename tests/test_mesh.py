@@ -634,3 +634,23 @@ def test_multilevel_cuts_less_than_growth_and_balances(spark):
     q = metrics.quality(edges, fine, 5).first()
     assert cut < grown and q.n == 1000 and q.rho_max <= 1.15 and q.rho_min > 0.7
     assert sorted(map(tuple, fine.collect())) == sorted(map(tuple, multilevel.multilevel(v.repartition(7), edges.repartition(5), ["v"], 5).collect()))
+
+
+def test_walks_are_those_of_a_loop(spark, grid):
+    import struct
+
+    xxhash = pytest.importorskip("xxhash")
+    _, edges = grid
+    near = serial([tuple(r) for r in edges.collect()])
+
+    def hashed(step, walker, v):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", step), 42)
+        for x in (walker, v):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    want = {w: 17 * w for w in range(6)} | {6: 10_000}
+    start = spark.createDataFrame(list(want.items()), "walker long, v long")
+    for k in range(5):
+        want = {w: min(((hashed(7 + k, w, x), x) for x in near.get(v, ())), default=(0, v))[1] for w, v in want.items()}
+    assert {r.walker: r.v for r in growth.walk_seeds(edges, start, 5).collect()} == want
