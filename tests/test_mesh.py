@@ -529,8 +529,13 @@ def test_octree_is_read_in_record_splits(spark, tmp_path):
     rec["eid"], rec["e2e"] = np.arange(5000), octree.BORDER
     rec["e2e"][:, 3] = np.arange(5000) + 1
     (tmp_path / "tree_5000.bin").write_bytes(rec.tobytes())
-    assert spark.sparkContext.binaryRecords(str(tmp_path), octree.RECORD.itemsize).getNumPartitions() > 1
-    got = octree.read_octree(spark, str(tmp_path)).orderBy("e").collect()
+    conf, limit = spark._jsc.hadoopConfiguration(), "mapreduce.input.fileinputformat.split.maxsize"
+    conf.set(limit, "10000")
+    try:
+        assert spark.sparkContext.binaryRecords(str(tmp_path), octree.RECORD.itemsize).getNumPartitions() > 10
+        got = octree.read_octree(spark, str(tmp_path)).orderBy("e").collect()
+    finally:
+        conf.unset(limit)
     assert [r.e for r in got] == list(range(5000)) and all(r.neigh == [None] * 3 + [r.e + 1] + [None] * 2 for r in got)
 
 
