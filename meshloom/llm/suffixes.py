@@ -306,10 +306,9 @@ def _names(text: Column) -> list[Column]:
 RANKED = "at1 long, at2 long, run long, r0 long, r1 long, g long, place long"
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The runs of the rows whose keys are repeated.  Copies of a key are counted where they are and joined by an inner key, so a hot one is split."""
-    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*keys)
-    return rows.select("at1", "at2", "run", *keys).join(twice, keys, "left_semi").select("at1", "at2", "run")
+def _among(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The runs of the rows whose keys are in ``wanted``, a table on its own, so that Spark can split a hot key of the rows in the join."""
+    return rows.select("at1", "at2", "run", *keys).join(wanted.select(*keys), keys, "left_semi").select("at1", "at2", "run")
 
 
 def _marked(places: DataFrame) -> tuple[int, object]:
@@ -329,7 +328,7 @@ def repeated_starts(docs: DataFrame, length: int, kinds_of_core: int = KINDS) ->
     again = materialize(ranked.groupBy("r0").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("r0"), "suffix-again")
     found = bloom.possible(ranked, again, "r0")
     kinds = materialize(found.groupBy("r0", "r1", "g").agg(F.count(F.lit(1)).alias("k"), F.min("place").alias("place")), "suffix-kinds")
-    settled = [materialize(_repeated(found, ["r0", "g"]), "suffix-whole")]
+    settled = [materialize(_among(found, kinds.where("k > 1"), ["r0", "r1", "g"]), "suffix-whole")]
     remove(spark, ranked)
     edges = kinds.groupBy("r0", "r1").agg(F.count(F.lit(1)).alias("kinds"), F.min("k").alias("least")).where("kinds > 1 and least = 1")
     places = materialize(kinds.join(edges.select("r0", "r1", (F.col("kinds") > kinds_of_core).alias("crowded")), ["r0", "r1"]).select("place", "crowded"), "suffix-open")
@@ -340,7 +339,8 @@ def repeated_starts(docs: DataFrame, length: int, kinds_of_core: int = KINDS) ->
     settled.append(spans.repartition(parts, "r0", "r1").sortWithinPartitions("r0", "r1").mapInArrow(_same_core(length), "at1 long, at2 long, run long"))
     if not many.isEmpty():
         strings = materialize(texts.mapInArrow(_strings(length, *_marked(many)), "at1 long, at2 long, run long, r0 long, r1 long"), "suffix-strings")
-        settled.append(_repeated(strings, ["r0", "r1"]))
+        twice = materialize(strings.groupBy("r0", "r1").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("r0", "r1"), "suffix-twice")
+        settled.append(_among(strings, twice, ["r0", "r1"]))
     out = settled[0]
     for more in settled[1:]:
         out = out.union(more)
