@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions import curves, scalars
-from meshloom.operators import analysis, blocks, growth, iterate, linalg, metrics, ordering, labelling, topology
+from meshloom.operators import analysis, blocks, growth, iterate, labelling, linalg, metrics, multilevel, ordering, tiles, topology
 from meshloom.sources import files, generators, msh
 from meshloom.sources.lines import numbered_lines
 from meshloom.sources.tables import load
