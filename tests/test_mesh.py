@@ -659,3 +659,36 @@ def test_walks_are_those_of_a_loop(spark, grid):
     for k in range(5):
         want = {w: min(((hashed(7 + k, w, x), x) for x in near.get(v, ())), default=(0, v))[1] for w, v in want.items()}
     assert {r.walker: r.v for r in growth.walk_seeds(edges, start, 5).collect()} == want
+
+
+def test_growth_by_seed_in_blocks_equals_hops(spark, grid, monkeypatch):
+    """Apart, with enough vertices a seed, without a limit, and from a state: blocks give what hops give, also for seeds outside the graph."""
+    monkeypatch.setattr(blocks, "LEAST_ARCS", 64)
+    _, edges = grid
+    assert blocks.block_count(edges) > 1
+    more = edges.union(spark.createDataFrame([(900, 901), (901, 901), (900, 901)], "u long, v long"))
+    inside = spark.createDataFrame([(0, 3), (N**3 - 1, 1), (N * N, 2)], "v long, label int")
+    outside = inside.union(spark.createDataFrame([(777, 4), (900, 5)], "v long, label int"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for seeds, enough in ((inside, 40), (inside, 1), (outside, 40), (outside, 1 << 60)):
+        got, hops = blocks.seed_reach(more, seeds, enough), growth.seed_reach(more, seeds, enough)
+        assert rows(got) == rows(hops) and got.dtypes == hops.dtypes
+    state = iterate.bfs(more, outside).select("v", "label", F.when(F.col("label") == 3, F.col("dist") + 3).otherwise(F.col("dist")).alias("dist"))
+    got, hops = blocks.relax(more, state), iterate.relax(more, iterate.written(state))
+    assert rows(got) == rows(hops) and got.dtypes == hops.dtypes
+    with blocks.dealt(more) as graph:
+        near = graph.grow(outside.where("label <> 2").withColumn("dist", F.lit(0)), apart=True, limit={1: 0, 3: 4, 4: 1, 5: 1})
+    hops = [(v, k, d) for v, k, d in rows(growth.seed_reach(more, outside, 1 << 60)) if d <= {1: 0, 3: 4, 4: 1, 5: 1}.get(k, -1)]
+    assert rows(near) == hops
+
+
+def test_rounds_of_growth_do_not_follow_hops(spark, monkeypatch):
+    """On a path, growth of every kind that counts hops takes a few rounds."""
+    made, add = [], iterate.Layers.add
+    monkeypatch.setattr(iterate.Layers, "add", lambda self, df: made.append(1) or add(self, df))
+    v = spark.range(60).select(F.col("id").alias("v"))
+    e = v.where("v < 59").select(F.col("v").alias("u"), (F.col("v") + 1).alias("v"))
+    seeds = spark.createDataFrame([(0, 0), (20, 1)], "v long, label long")
+    assert {r.v: r.dist for r in labelling.bfs_partition(e, seeds).collect()} == {k: min(k, abs(k - 20)) for k in range(60)} and len(made) < 8
+    made.clear()
+    assert labelling.oversample_nearest(v, e, ["v"], 2).count() == 60 and len(made) < 8
