@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import bfs, written
+from .blocks import distances as bfs
+from .iterate import written
 from .ordering import mid_seeds, weighted_blocks
 
 COARSEST = 60  # vertices a part, about
