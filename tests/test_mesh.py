@@ -692,3 +692,13 @@ def test_rounds_of_growth_do_not_follow_hops(spark, monkeypatch):
     assert {r.v: r.dist for r in labelling.bfs_partition(e, seeds).collect()} == {k: min(k, abs(k - 20)) for k in range(60)} and len(made) < 8
     made.clear()
     assert labelling.oversample_nearest(v, e, ["v"], 2).count() == 60 and len(made) < 8
+
+
+def test_assembly_from_elements_joins_and_sorts_nothing(spark):
+    """A node that an element lists twice counts twice, as in assembly from incidences; neither it nor the product sorts a matrix."""
+    cells = spark.createDataFrame([(0, [0, 1, 2]), (1, [1, 2, 3]), (2, [4, 4, 0])], "e long, node_tags array<long>")
+    nodes = topology.incidence(cells, "node_tags", "node")
+    made = linalg.assemble_elements(cells)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, linalg.assemble(nodes).collect()))
+    plan = linalg.spmv(made, linalg.assemble_vector(nodes))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
