@@ -83,12 +83,13 @@ def _columns(table: pa.Table, width: int) -> np.ndarray:
 
 
 def _packer(deal: Callable[[np.ndarray], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of long columns as bodies, packed many rows at a time."""
+    """Batches of long columns (of doubles, their bits) as bodies, packed many rows at a time."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held.append(np.stack([x.view(np.int64) if pa.types.is_floating(c.type) else x.astype(np.int64) for x, c in zip(columns, batch.columns, strict=True)]))
             rows += batch.num_rows
             if rows >= _HELD:
                 yield deal(np.concatenate(held, axis=1))

@@ -21,6 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import _bodies, _columns, _packer
 from .iterate import written
 from .ordering import block_labels
 
@@ -36,13 +37,14 @@ def _of(table: pa.Table, column: str, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(table.column(column)[0].as_buffer(), kind)
 
 
-def _tile(entries: pa.Table, own: pa.Table) -> pa.Table:
-    """A block's tile from its entries (i, j, owner, a) and its part of the vector (i, x); ghosts come last, in the order of (owner, name)."""
+def _tile(firsts: np.ndarray, entries: pa.Table, own: pa.Table) -> pa.Table:
+    """A block's tile from its packed entries (i, j, a), the first names of all blocks, and its part of the vector (i, x); ghosts come last, in the order of (owner, name)."""
     block = (entries if entries.num_rows else own).column("block").slice(0, 1)
     names, x = own.column("i").to_numpy(), own.column("x").to_numpy()
     order = np.argsort(names, kind="stable")
     names, x = names[order], x[order]
-    i, j, owner, a = (entries.column(c).to_numpy() for c in ("i", "j", "owner", "a"))
+    i, j, a = _columns(entries, 3)
+    owner, a = np.searchsorted(firsts, j, "right") - 1, a.view(np.float64)
     outside = owner != block[0].as_py()
     ghosts = np.unique(np.stack([owner[outside], j[outside]]), axis=1) if outside.any() else np.zeros((2, 0), np.int64)
     column = np.searchsorted(names, j)
@@ -113,9 +115,10 @@ def tiled(matrix: DataFrame, vector: DataFrame, blocks: int) -> Iterator[Tiles]:
     parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = matrix.select("i").union(matrix.select(F.col("j").alias("i"))).union(vector.select("i")).distinct()
     own = written(block_labels(every, ["i"], blocks, "block").join(vector.select("i", "x"), "i", "left").select("i", "block", F.coalesce("x", F.lit(0.0)).alias("x")), "tile-rows")
-    entries = matrix.groupBy("i", "j").agg(F.sum("a").alias("a")).join(own.select("i", "block"), "i").join(own.select(F.col("i").alias("j"), F.col("block").alias("owner")), "j")
-    entries = written(entries.select("block", "i", "j", "owner", "a"), "tile-entries")
-    tiles = written(entries.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_tile, TILE), "tiles")
+    low = {r["block"]: r["low"] for r in own.groupBy("block").agg(F.min("i").alias("low")).collect()}  # a row per block
+    firsts = np.array([low[k] for k in sorted(low)], np.int64)  # blocks are numbered from 0 along the names
+    entries = matrix.select("i", "j", F.col("a").cast("double").alias("a")).mapInArrow(_packer(lambda x: _bodies(np.searchsorted(firsts, x[0], "right") - 1, x)), "block long, body binary")
+    tiles = written(entries.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda e, o: _tile(firsts, e, o), TILE), "tiles")
     wants = tiles.select("block", "names", "send_to", "send_from").mapInArrow(_wants, "block long, to long, name long, place long")
     supplied = tiles.groupBy("block").cogroup(wants.groupBy("block")).applyInArrow(_supplied, TILE)
     held = supplied.repartition(parts, "block").persist(StorageLevel.MEMORY_AND_DISK)
