@@ -350,7 +350,7 @@ REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[str], int], DataFrame]]
     "stretch": lambda v, e, k, p: growth.stretch_growth(e, seeds_along(v, k, p)).select("v", "label"),
     "stretch_cut": lambda v, e, k, p: growth.stretch_growth(e, seeds_along(v, k, p), "cut").select("v", "label"),
     "capped_fill": lambda v, e, k, p: growth.fill(v, e, growth.size_proxy(e, seeds_along(v, k, p), v.count(), p, 5, v.count() // p)),
-    "ordered": lambda v, e, k, p: growth.stealing_growth(e, seeds_along(v, k, p), "ordered").select("v", "label"),
+    "ordered": lambda v, e, k, p: rounds.stealing_growth(e, seeds_along(v, k, p), "ordered").select("v", "label"),
     "noised": lambda v, e, k, p: rounds.stealing_growth(e, seeds_along(v, k, p), "noised").select("v", "label"),
     "oversample_nearest": oversample_nearest,
     "oversample_drop_smallest": oversample_drop_smallest,

@@ -401,7 +401,7 @@ def stretch_cut_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ordered_growth_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return growth.stealing_growth(iterate.written(e), fx.block_seeds(v), "ordered").select("v", "label")
+    return rounds.stealing_growth(iterate.written(e), fx.block_seeds(v), "ordered").select("v", "label")
 
 
 @query
