@@ -395,7 +395,7 @@ def stretch_labels(spark: SparkSession, sf: str) -> DataFrame:
 def stretch_cut_labels(spark: SparkSession, sf: str) -> DataFrame:
     """A hop of a part costs its cut edges and its frontier."""
     v, e = fx.lattice(spark, sf)
-    return growth.stretch_growth(iterate.written(e), fx.block_seeds(v), "cut").select("v", "label")
+    return rounds.cut_growth(iterate.written(e), fx.block_seeds(v)).select("v", "label")
 
 
 @query
