@@ -23,7 +23,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = read.groupBy("doc", "_file", "_start").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n"))  # a row per split
     order = W.partitionBy("doc").orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, 0)
     starts = splits.withColumn("_first", F.sum("_n").over(order) - F.col("_n")).drop("_n")
-    return read.join(starts, ["doc", "_file", "_start"]).select("doc", (F.col("_first") + F.col("_id") - F.col("_low")).alias("at"), "value")
+    return read.join(F.broadcast(starts), ["doc", "_file", "_start"]).select("doc", (F.col("_first") + F.col("_id") - F.col("_low")).alias("at"), "value")
 
 
 def write_document(lines: DataFrame, order: list[str], path: str, parts: int | None = None) -> None:
