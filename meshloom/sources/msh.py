@@ -39,13 +39,15 @@ class Mesh:
         self.versions = head.drop("kind")
 
     def _body(self, section: str) -> DataFrame:
-        """(doc, place, w): the lines of a section, counted from 0 within it."""
+        """(doc, place, w): the lines of a section, counted from 0 within it.
+
+        Sections, a row for each of a file, are sent to the lines: by name all lines of a file would meet in one task."""
         s = self.sections.where(F.col("section") == section).drop("section")
-        return self.lines.join(s, "doc").where("at > begin and (end is null or at < end)").select("doc", (F.col("at") - F.col("begin") - 1).alias("place"), "w")
+        return self.lines.join(F.broadcast(s), "doc").where("at > begin and (end is null or at < end)").select("doc", (F.col("at") - F.col("begin") - 1).alias("place"), "w")
 
     def _split(self, section: str) -> tuple[DataFrame, DataFrame]:
         """The section's lines after its first one, of MSH 2 and of MSH 4."""
-        body = self._body(section).where("place > 0").join(self.versions, "doc")
+        body = self._body(section).where("place > 0").join(F.broadcast(self.versions), "doc")
         return body.where("version < 4 and size(w) > 0").drop("version"), body.where("version >= 4").drop("version")
 
     def nodes(self) -> DataFrame:
@@ -69,7 +71,7 @@ class Mesh:
         """(path, dim, tag, physical, boundary): the entities of MSH 4.1, with the physical groups they belong to and the entities that bound them, with signs."""
         body = self._body("Entities")
         counts = body.where("place = 0").select("doc", F.transform("w", lambda x: x.try_cast("long")).alias("c"))
-        rows = body.where("place > 0 and size(w) > 0").join(counts, "doc")
+        rows = body.where("place > 0 and size(w) > 0").join(F.broadcast(counts), "doc")
         upto = [F.expr("+".join(f"get(c, {i})" for i in range(d + 1))) for d in range(4)]
         dim = F.when(F.col("place") <= upto[0], 0).when(F.col("place") <= upto[1], 1).when(F.col("place") <= upto[2], 2).otherwise(3)
         rows = rows.withColumn("dim", dim).withColumn("at", F.when(F.col("dim") == 0, 4).otherwise(7))  # after a point's three coordinates, or a box's six
@@ -98,6 +100,7 @@ def _in_blocks(body: DataFrame, lines_each: int) -> DataFrame:
 
     A line of four whole numbers may be a header; it is one if the chain of blocks from
     the section's first one comes by.  Each round doubles the reach."""
+    body = written(body, "mesh-body")  # read by each step below; joined anew it would be found among all lines every time
     whole = r"^-?\d+$"
     maybe = F.forall("w", lambda x: x.rlike(whole)) & (F.size("w") == 4)
     jump = written(body.where(maybe).select("doc", "place", (F.col("place") + 1 + lines_each * _long("w", 3)).alias("next")), "mesh-jumps")
