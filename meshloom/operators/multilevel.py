@@ -7,22 +7,30 @@ level, from the coarsest one on, boundary vertices move to the neighbouring part
 holds most of their edge weight, if that part has room; moves go up in label in one round
 and down in the next, so that no pair of vertices swaps for ever.
 
+On large levels a turn of refinement is one shuffle of votes: what a vertex wants is written beside its
+label, and moves follow from it and from sums by part.  A coarse graph of at most ``SMALL`` rows is
+handled by one task, with the same rules; the graph that was given never is.
+
 Defined results: every vertex gets one label below ``parts``; vertices without edges stay
 where the curve puts them; edges to themselves are ignored; the result is the same on
 every run.  It claims no parity with an external partitioner."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import distances as bfs
-from .iterate import written
+from .blocks import relaxed
+from .iterate import held, written
 from .ordering import mid_seeds, weighted_blocks
 
 COARSEST = 60  # vertices a part, about
 ROOM = 1.1  # of the ideal size
 TURNS = 4  # of refinement a level
+SMALL = 1 << 20  # vertices and edges of a coarse graph that one task handles, no more than a block of growth holds
 
 
 def _arcs(edges: DataFrame) -> DataFrame:
@@ -53,29 +61,148 @@ def contracted(vertices: DataFrame, edges: DataFrame, into: DataFrame) -> tuple[
 
 
 def refined(vertices: DataFrame, edges: DataFrame, labels: DataFrame, parts: int, turns: int = TURNS) -> DataFrame:
-    """``labels`` after boundary moves that lower the cut or relieve a part that is too large, none of which overfills a part."""
-    total = vertices.agg(F.sum("weight")).first()[0] or 0
-    most = ROOM * total / parts
-    now = written(labels, "level-labels")
-    for turn in range(turns):
-        placed = vertices.join(now, "v")
-        sizes = placed.groupBy("label").agg(F.sum("weight").alias("size"))  # a row per part
-        of = lambda c, l: now.select(F.col("v").alias(c), F.col("label").alias(l))
-        held = _arcs(edges).join(of("u", "own"), "u").join(of("v", "other"), "v").groupBy("u", "own", "other").agg(F.sum("weight").alias("w"))
-        inside = held.where("own = other").select("u", F.col("w").alias("stays"))
-        upward = F.col("other") > F.col("own") if turn % 2 == 0 else F.col("other") < F.col("own")
-        out = held.where((F.col("own") != F.col("other")) & upward).join(inside, "u", "left").withColumn("gain", F.col("w") - F.coalesce("stays", F.lit(0)))
-        out = out.join(vertices.select(F.col("v").alias("u"), F.col("weight").alias("mass")), "u")
-        size = lambda l, s: sizes.select(F.col("label").alias(l), F.col("size").alias(s))
-        out = out.join(F.broadcast(size("own", "here")), "own").join(F.broadcast(size("other", "there")), "other")
-        worth = (F.col("gain") > 0) | (F.col("gain") == 0) & (F.col("here") > F.col("there") + F.col("mass")) | (F.col("here") > most) & (F.col("there") < F.col("here") - 2 * F.col("mass"))
-        best = out.where(worth & (F.col("there") + F.col("mass") <= most)).groupBy("u", "mass", "here").agg(F.max(F.struct("gain", (-F.col("there")).alias("room"), (-F.col("other")).alias("low"))).alias("m"))
-        best = written(best.select("u", "mass", (-F.col("m.low")).alias("label"), (F.lit(most) + F.col("m.room")).alias("free")), "moves")
-        wanted = best.groupBy("label").agg(F.sum("mass").alias("wanted"))
-        share = F.least(F.lit(1.0), F.col("free") / F.col("wanted"))  # if more want to come than fit, a hash decides
-        moves = best.join(F.broadcast(wanted), "label").where(F.pmod(F.xxhash64(F.lit(turn), "u"), F.lit(1000)) < 900 * share).select(F.col("u").alias("v"), F.col("label").alias("new"))
-        now = written(now.join(moves, "v", "left").select("v", F.coalesce("new", "label").alias("label")), "level-labels")
-    return now
+    """``labels`` after boundary moves that lower the cut or relieve a part that is too large, none of which overfills a part.
+
+    A vertex's row meets the votes of its neighbours, summed by label: a list of them is at most as long as there are parts."""
+    shuffled = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    now = written(vertices.join(labels, "v").select("v", F.col("weight").alias("mass"), "label"), "level-labels")
+    with held(_arcs(edges), "u") as arcs:
+        for turn in range(turns):
+            sizes = {r["label"]: r["size"] for r in now.groupBy("label").agg(F.sum("mass").alias("size")).collect()}  # a row per part
+            most = ROOM * sum(sizes.values()) / parts
+            size = lambda label: F.get(F.lit([sizes.get(k, 0) for k in range(parts)]), label.cast("int"))
+            sent = now.join(arcs, now.v == arcs.u).select(arcs.v.alias("v"), "label", F.col("weight").alias("w"), F.lit(None).cast("long").alias("mass"))
+            votes = sent.union(now.select("v", "label", F.lit(0).cast("long"), "mass")).repartition(shuffled, "v").groupBy("v", "label").agg(F.sum("w").alias("w"), F.max("mass").alias("mass"))
+            own = F.col("mass").isNotNull()
+            each = votes.groupBy("v").agg(
+                F.max("mass").alias("mass"), F.max(F.when(own, F.col("label"))).alias("label"), F.max(F.when(own, F.col("w"))).alias("stays"),
+                F.collect_list(F.when(~own, F.struct("label", "w"))).alias("others"),
+            )
+            here = size(F.col("label"))
+
+            def fits(x):
+                there, gain = size(x["label"]), x["w"] - F.col("stays")
+                worth = (gain > 0) | (gain == 0) & (here > there + F.col("mass")) | (here > most) & (there < here - 2 * F.col("mass"))
+                upward = x["label"] > F.col("label") if turn % 2 == 0 else x["label"] < F.col("label")
+                return upward & worth & (there + F.col("mass") <= most)
+
+            best = F.array_max(F.transform(F.filter("others", fits), lambda x: F.struct((x["w"] - F.col("stays")).alias("gain"), (-size(x["label"])).alias("room"), (-x["label"]).alias("low"))))
+            wishes = written(each.select("v", "mass", "label", (-best["low"]).alias("wish")), "wishes")
+            wanted = {r["wish"]: r["mass"] for r in wishes.where("wish is not null").groupBy("wish").agg(F.sum("mass").alias("mass")).collect()}  # a row per part
+            share = [min(1.0, (most - sizes.get(k, 0)) / wanted[k]) if k in wanted else 0.0 for k in range(parts)]  # if more want to come than fit, a hash decides
+            moves = F.col("wish").isNotNull() & (F.pmod(F.xxhash64(F.lit(turn), "v"), F.lit(1000)) < 900 * F.get(F.lit(share), F.col("wish").cast("int")))
+            now = wishes.select("v", "mass", F.when(moves, F.col("wish")).otherwise(F.col("label")).alias("label"))
+    return now.select("v", "label")
+
+
+class _Level:
+    """A coarse graph within one task: vertices are numbers, edges a < b with weights."""
+
+    def __init__(self, weight: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+        self.weight, self.rank, self.a, self.b, self.w, self.n = weight, rank, a, b, w, len(weight)
+        self.src, self.dst, self.by = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+
+    def matched(self, heaviest: int, turn: int) -> np.ndarray:
+        """What every vertex becomes, see ``matched``."""
+        ok = self.weight[self.src] + self.weight[self.dst] <= heaviest
+        src, dst, by = self.src[ok], self.dst[ok], self.by[ok]
+        mixed = _mixed(turn, np.minimum(src, dst), np.maximum(src, dst))
+        order = np.lexsort((dst, mixed, -self.weight[dst], by, src))
+        last = order[np.append(src[order][1:] != src[order][:-1], True)[: len(order)]]
+        best = np.full(self.n, -1)
+        best[src[last]] = dst[last]
+        every = np.arange(self.n)
+        mutual = (best >= 0) & (best[best] == every)
+        return np.where(mutual, np.minimum(every, best), every)
+
+    def contracted(self, into: np.ndarray) -> tuple[_Level, np.ndarray]:
+        """The next level, and the place of every vertex in it."""
+        kept, place = np.unique(into, return_inverse=True)
+        weight, rank = np.zeros(len(kept), np.int64), np.full(len(kept), self.n * 2)
+        np.add.at(weight, place, self.weight)
+        np.minimum.at(rank, place, self.rank)
+        a, b = np.minimum(place[self.a], place[self.b]), np.maximum(place[self.a], place[self.b])
+        apart = a < b
+        pairs, at = np.unique(a[apart] * len(kept) + b[apart], return_inverse=True)
+        w = np.zeros(len(pairs), np.int64)
+        np.add.at(w, at, self.w[apart])
+        return _Level(weight, np.argsort(np.argsort(rank)), pairs // max(len(kept), 1), pairs % max(len(kept), 1), w), place
+
+    def grown(self, parts: int) -> np.ndarray:
+        """Labels by growth from the middles of blocks along the curve; a vertex that no seed reaches keeps its block's."""
+        order = np.argsort(self.rank)
+        before = np.cumsum(self.weight[order]) - self.weight[order]
+        block = np.zeros(self.n, np.int64)
+        block[order] = np.minimum(before * parts // max(int(self.weight.sum()), 1), parts - 1)
+        keys = np.full(self.n, 1 << 62)
+        for k in range(parts):
+            mine = order[block[order] == k]
+            if len(mine):
+                keys[mine[len(mine) // 2]] = k
+        by_tail = np.argsort(self.src, kind="stable")
+        offsets = np.append(0, np.cumsum(np.bincount(self.src, minlength=self.n)))
+        relaxed(offsets, self.dst[by_tail], keys, parts, np.flatnonzero(keys < 1 << 62), (1 << 62) - 1)
+        return np.where(keys < 1 << 62, keys % parts, block)
+
+    def refined(self, label: np.ndarray, parts: int, turns: int) -> np.ndarray:
+        """See ``refined``."""
+        for turn in range(turns):
+            sizes = np.bincount(label, self.weight, parts).astype(np.int64)
+            most = ROOM * int(sizes.sum()) / parts
+            pair, at = np.unique(self.src * parts + label[self.dst], return_inverse=True)
+            w = np.bincount(at, self.by, len(pair)).astype(np.int64)
+            u, other = pair // parts, pair % parts
+            stays = np.zeros(self.n, np.int64)
+            same = other == label[u]
+            stays[u[same]] = w[same]
+            gain, mass, here, there = w - stays[u], self.weight[u], sizes[label[u]], sizes[other]
+            worth = (gain > 0) | (gain == 0) & (here > there + mass) | (here > most) & (there < here - 2 * mass)
+            upward = other > label[u] if turn % 2 == 0 else other < label[u]
+            ok = np.flatnonzero(upward & worth & (there + mass <= most))
+            order = ok[np.lexsort((-other[ok], -there[ok], gain[ok], u[ok]))]
+            best = order[np.append(u[order][1:] != u[order][:-1], True)[: len(order)]]
+            wanted = np.bincount(other[best], mass[best], parts)
+            share = np.minimum(1.0, (most - sizes) / np.maximum(wanted, 1))
+            moves = best[_mixed(turn, u[best], u[best]) % 1000 < 900 * share[other[best]]]
+            label = label.copy()
+            label[u[moves]] = other[moves]
+        return label
+
+
+def _mixed(turn: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of a pair, not negative."""
+    x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) + np.uint64(turn + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def _small(vertices: DataFrame, edges: DataFrame, parts: int, heaviest: int, turns: int) -> DataFrame:
+    """(v, label) of a coarse graph of at most ``SMALL`` rows: the levels below it, growth and refinement, in one task."""
+
+    def solve(held: pa.Table, told: pa.Table) -> pa.Table:
+        held = held.sort_by("v")
+        names = held.column("v").to_numpy()
+        rank = np.empty(len(names), np.int64)
+        rank[held.append_column("_at", pa.array(np.arange(len(names)))).sort_by([("key", "ascending"), ("v", "ascending")]).column("_at").to_numpy()] = np.arange(len(names))
+        ends = [np.searchsorted(names, told.column(c).to_numpy()) for c in "uv"] if told.num_rows else [np.zeros(0, np.int64)] * 2
+        w = told.column("weight").to_numpy() if told.num_rows else ends[0]
+        level, above = _Level(held.column("weight").to_numpy(), rank, np.minimum(*ends), np.maximum(*ends), w), []
+        while level.n > COARSEST * parts:
+            coarser, place = level.contracted(level.matched(heaviest, len(above)))
+            if coarser.n > 0.95 * level.n:
+                break
+            above.append((level, place))
+            level = coarser
+        label = level.refined(level.grown(parts), parts, 4 * turns)
+        for level, place in reversed(above):
+            label = level.refined(label[place], parts, turns)
+        return pa.table({"v": pa.array(names, pa.int64()), "label": pa.array(label, pa.int64())})
+
+    one = lambda t: t.withColumn("_all", F.lit(0)).groupBy("_all")
+    rows = vertices.select(F.col("v").cast("long").alias("v"), "weight", "key"), edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "weight")
+    found = one(rows[0]).cogroup(one(rows[1])).applyInArrow(solve, "v long, label long")
+    return written(found.select(F.col("v").cast(vertices.schema["v"].dataType).alias("v"), "label"), "level-labels")
 
 
 def multilevel(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: int, turns: int = TURNS) -> DataFrame:
@@ -83,21 +210,24 @@ def multilevel(vertices: DataFrame, edges: DataFrame, keys: list[str], parts: in
     v = written(vertices.select("v", F.lit(1).cast("long").alias("weight"), F.col(keys[0]).alias("key")), "level-vertices")
     e = written(edges.where("u <> v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight")), "level-edges")
     n = count = v.count()
-    levels = []
-    while count > COARSEST * parts:
-        into = written(matched(v, e, max(2, n // (COARSEST * parts) * 2), len(levels)), "level-map")
+    heaviest, levels, rows = max(2, n // (COARSEST * parts) * 2), [], None
+    while count > COARSEST * parts and (rows is None or rows > SMALL):
+        into = written(matched(v, e, heaviest, len(levels)), "level-map")
         coarser = contracted(v, e, into)
         fewer = coarser[0].count()
         if fewer > 0.95 * count:
             break
         levels.append((v, e, into))
         (v, e), count = coarser, fewer
-    blocks = written(weighted_blocks(v, ["key", "v"], F.col("weight"), parts).select("v", "label", "key"), "level-blocks")
-    grown = bfs(e, mid_seeds(blocks, ["key", "v"]).select("v", "label"))
-    lost = blocks.join(grown, "v", "left_anti").select("v", "label")  # no seed reaches them
-    labels = refined(v, e, grown.select("v", "label").union(lost), parts, 4 * turns)
+        rows = count + e.count()
+    if rows is not None and rows <= SMALL:
+        labels = _small(v, e, parts, heaviest, turns)
+    else:
+        blocks = written(weighted_blocks(v, ["key", "v"], F.col("weight"), parts).select("v", "label", "key"), "level-blocks")
+        grown = bfs(e, mid_seeds(blocks, ["key", "v"]).select("v", "label"))
+        lost = blocks.join(grown, "v", "left_anti").select("v", "label")  # no seed reaches them
+        labels = refined(v, e, grown.select("v", "label").union(lost), parts, 4 * turns)
     for v, e, into in reversed(levels):
         coarse = labels.select(F.col("v").alias("into"), "label")
         labels = refined(v, e, into.join(coarse, "into").select("v", "label"), parts, turns)
     return labels
-

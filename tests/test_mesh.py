@@ -702,3 +702,21 @@ def test_assembly_from_elements_joins_and_sorts_nothing(spark):
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, linalg.assemble(nodes).collect()))
     plan = linalg.spmv(made, linalg.assemble_vector(nodes))._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_multilevel_writes_few_tables_and_agrees_in_quality_by_either_way(spark, monkeypatch):
+    """Coarse levels in one task, or all of them as tables; parts that nothing joins and vertices without edges keep a label."""
+    import os
+
+    ids = spark.range(300).select(F.col("id").alias("e"))
+    edges = iterate.written(generators.lattice_edges(ids.where("e < 290 and e % 97 <> 5"), 7), "edges")
+    v = ids.select(F.col("e").alias("v"))
+    root = spark.conf.get("spark.checkpoint.dir") + "/meshloom"
+    before = len(os.listdir(root))
+    fine = multilevel.multilevel(v, edges, ["v"], 2, 1)
+    assert fine.count() == 300 and len(os.listdir(root)) - before < 20
+    monkeypatch.setattr(multilevel, "SMALL", 0)
+    tables = multilevel.multilevel(v, edges, ["v"], 2, 1)
+    for found in (fine, tables):
+        q = metrics.quality(edges, found, 2).first()
+        assert q.n == 300 and q.rho_max <= 1.15 and metrics.edge_cut(edges, found).first()["lambda"] < 0.3
