@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .iterate import Layers, symmetric, written
+from .iterate import connected_components as hop_components
 from .ordering import weighted_blocks
+from .skew import looked_up
 
 PACKED = "block long, vertices binary, offsets binary, heads binary, out_place binary, out_head binary, out_block binary"
 BODY = pa.schema([("block", pa.int64()), ("body", pa.binary())])
@@ -360,3 +362,48 @@ def distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def _typed(grown: DataFrame, like: DataFrame, *more: str) -> DataFrame:
     kind = {c: like.schema[c].dataType for c in ("v", "label", *more)}
     return grown.select(*[F.col(c).cast(kind.get(c, "int")).alias(c) for c in ("v", "label", "dist")])
+
+
+def _least(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The least vertex of each vertex's component: roots are hung under lesser ones and paths halved, on arcs that still join two."""
+    root = np.arange(n)
+    while True:
+        a, b = root[src], root[dst]
+        apart = a != b
+        if not apart.any():
+            return root
+        src, dst, a, b = src[apart], dst[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, component): the least vertex of each component, as ``iterate.connected_components`` finds it hop by hop; vertices of ``vertices`` only.
+
+    A block finds its own components in one task.  Only they and the arcs between blocks are left
+    to joins: a graph of border vertices' components, which is as large as the border at most."""
+    kind = vertices.schema["v"].dataType
+    with dealt(edges.select(*[F.col(c).cast("long").alias(c) for c in "uv"])) as graph:
+
+        def local(held: pa.Table) -> pa.Table:
+            """(v, component, heads) of a block's vertices; heads: neighbours in other blocks."""
+            get = lambda c, kind: np.frombuffer(held.column(c)[0].as_buffer(), kind)
+            v, offsets, out_place = get("vertices", np.int64), get("offsets", np.int32), get("out_place", np.int32)
+            n = len(v)
+            keys = _least(n, np.repeat(np.arange(n), np.diff(offsets)), get("heads", np.int32))
+            order = np.argsort(out_place, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(out_place, minlength=n))).astype(np.int32)
+            heads = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(get("out_head", np.int64)[order], pa.int64()))
+            return pa.table({"v": pa.array(v, pa.int64()), "component": pa.array(v[keys], pa.int64()), "heads": heads})
+
+        own = written(graph.held.groupBy("block").applyInArrow(local, "v long, component long, heads array<long>"), "block-components")
+    border = own.where(F.size("heads") > 0)
+    arcs = border.select("component", F.explode("heads").alias("v")).distinct()
+    across = arcs.join(border.select("v", F.col("component").alias("other")), "v").where("component < other").select(F.col("component").alias("u"), F.col("other").alias("v")).distinct()
+    across = written(across, "component-edges")
+    ends = across.select(F.explode(F.array("u", "v")).alias("v")).distinct()
+    joined = hop_components(ends, across).select(F.col("v").alias("component"), F.col("component").alias("least"))
+    sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("k")).join(joined, "component", "left").select("component", "k", F.coalesce("least", "component").alias("least"))
+    whole = looked_up(own.select("v", "component"), sizes, "component", own.count()).select("v", "least")  # one component may hold all vertices
+    return vertices.select("v").join(whole, "v", "left").select("v", F.coalesce("least", "v").cast(kind).alias("component"))

@@ -326,7 +326,7 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components of customers linked to the next customer with the same nation and segment among keys 7 apart."""
     c = load(spark, sf, "customer").select(F.col("c_custkey").alias("v"), "c_nationkey")
     e = c.alias("a").join(c.alias("b"), (F.col("b.v") == F.col("a.v") + 7) & (F.col("a.c_nationkey") % 5 == F.col("b.c_nationkey") % 5)).select(F.col("a.v").alias("u"), F.col("b.v").alias("v"))
-    return iterate.connected_components(c, e)
+    return blocks.connected_components(c, iterate.written(e, "edges"))
 
 
 @query
@@ -572,7 +572,7 @@ def runs_before_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 def graph_connected(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the lattice is one component: number of components and of vertices."""
     v, e = fx.lattice(spark, sf)
-    return iterate.connected_components(v, iterate.written(e)).agg(F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("vertices"))
+    return blocks.connected_components(v, iterate.written(e)).agg(F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("vertices"))
 
 
 @query

@@ -720,3 +720,13 @@ def test_multilevel_writes_few_tables_and_agrees_in_quality_by_either_way(spark,
     for found in (fine, tables):
         q = metrics.quality(edges, found, 2).first()
         assert q.n == 300 and q.rho_max <= 1.15 and metrics.edge_cut(edges, found).first()["lambda"] < 0.3
+
+
+def test_components_of_blocks_equal_hops(spark, monkeypatch):
+    """Components that cross blocks, lie inside one, or are a vertex; all hops inside blocks take no round."""
+    monkeypatch.setattr(blocks, "block_count", lambda edges: 5)
+    v = spark.range(300).select(F.col("id").alias("v"))
+    edges = iterate.written(spark.sql("select id as u, id + step as v from range(260) cross join (select explode(array(7, 1)) step) where case when step = 7 then id % 7 in (2, 5) and id < 240 else id % 50 < 3 end"))
+    assert sorted(map(tuple, blocks.connected_components(v, edges).collect())) == sorted(map(tuple, iterate.connected_components(v, edges).collect()))
+    chain = spark.range(3000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r.component for r in blocks.connected_components(spark.range(3001).select(F.col("id").alias("v")), chain).collect()} == {0}
