@@ -16,11 +16,17 @@ def graph(spark):
     return cells.selectExpr("e as v"), edges, spark.createDataFrame([(1, 7), (62, 3), (123, 9)], "v long, label long")
 
 
+def uneven(v):
+    return v.selectExpr("v", "cast(pow(v / 125, 3) * 6 as long) as label")
+
+
 RULES = {
     "noised": (lambda v, e, s: rounds.stealing_growth(e, s, "noised"), lambda v, e, s: growth.stealing_growth(e, s, "noised")),
     "ordered": (lambda v, e, s: rounds.stealing_growth(e, s, "ordered"), lambda v, e, s: growth.stealing_growth(e, s, "ordered")),
     "cut": (lambda v, e, s: rounds.cut_growth(e, s), lambda v, e, s: growth.stretch_growth(e, s, "cut")),
     "ranked": (lambda v, e, s: rounds.pagerank_labels(v, e, s), lambda v, e, s: labelling.pagerank_labels(v, e, s)),
+    "majority": (lambda v, e, s: rounds.label_propagation(v, e, 5, ["v"]), lambda v, e, s: labelling.label_propagation(v, e, 5, ["v"])),
+    "rebalanced": (lambda v, e, s: rounds.rebalanced(e, uneven(v), 3), lambda v, e, s: labelling.rebalance(e, uneven(v), 6, 3)),
     "covered": (lambda v, e, s: rounds.pagerank_labels(v, e, s, 1e8, 1.2, 2), lambda v, e, s: labelling.pagerank_labels(v, e, s, 1e8, 1.2, 2)),
 }
 
