@@ -63,8 +63,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, weight: float = 1000.0, roun
     """(v, rank): rank' = d * sum(rank / degree) + (1 - d) / n, a fixed number of rounds.
 
     Arcs lie by source and vertices by key, as do the ranks, so a round shuffles the shares only."""
+    vertices = written(vertices.select("v"), "vertices")  # read by the count, the first ranks and what is kept
     n = vertices.count()
-    now = written(vertices.select("v", F.lit(float(weight)).alias("rank")), "ranks")
+    now = vertices.select("v", F.lit(float(weight)).alias("rank"))
     with held(_weighted_arcs(edges), "src") as arcs, held(vertices.select(F.col("v").alias("w")), "w") as own:
         for k in range(1, rounds + 1):
             sent = now.join(arcs, now.v == arcs.src).groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))

@@ -699,7 +699,7 @@ def vtk_elements(spark: SparkSession, sf: str) -> DataFrame:
 def matrix_market_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Part adjacency written as a symmetric coordinate file and read back by its header."""
     _, e = fx.copurchase(spark, sf)
-    e, path = iterate.written(e, "edges"), iterate.new_path(spark, "matrix")
+    path = iterate.new_path(spark, "matrix")
     n = e.agg(F.max("v")).first()[0]
     head = spark.createDataFrame([(0, 0, 0, f"%%MatrixMarket matrix coordinate pattern symmetric\n% parts\n{n} {n} {e.count()}")], "section int, u long, v long, line string")
     body = e.select(F.lit(1).alias("section"), "u", "v", F.concat_ws(" ", F.col("v").cast("string"), F.col("u").cast("string")).alias("line"))

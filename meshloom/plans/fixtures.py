@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshloom.operators.iterate import written
 from meshloom.sources.generators import cells_of, lattice_edges
 from meshloom.sources.tables import load
 
@@ -48,11 +49,11 @@ def octree_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def copurchase(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges): parts on consecutive lines of an order."""
+    """(vertices, edges): parts on consecutive lines of an order; edges are written once, as all that follows reads them several times."""
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     a = li.select("l_orderkey", F.col("l_partkey").alias("p"), (F.col("l_linenumber") + 1).alias("l_linenumber"))
     pairs = a.join(li, ["l_orderkey", "l_linenumber"]).where(F.col("p") != F.col("l_partkey"))
-    edges = pairs.select(F.least("p", "l_partkey").alias("u"), F.greatest("p", "l_partkey").alias("v")).distinct()
+    edges = written(pairs.select(F.least("p", "l_partkey").alias("u"), F.greatest("p", "l_partkey").alias("v")).distinct(), "copurchase")
     vertices = edges.select(F.col("u").alias("v")).union(edges.select("v")).distinct()
     return vertices, edges
 

@@ -730,3 +730,9 @@ def test_components_of_blocks_equal_hops(spark, monkeypatch):
     assert sorted(map(tuple, blocks.connected_components(v, edges).collect())) == sorted(map(tuple, iterate.connected_components(v, edges).collect()))
     chain = spark.range(3000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r.component for r in blocks.connected_components(spark.range(3001).select(F.col("id").alias("v")), chain).collect()} == {0}
+
+
+def test_copurchase_is_joined_once(spark):
+    """What reads the edges of parts several times reads a table."""
+    v, e = catalogue.fx.copurchase(spark, "/root/testdata/sf0.001")
+    assert all("/copurchase-" in f for x in (v, e) for f in x.inputFiles()) and e.count() > 0
