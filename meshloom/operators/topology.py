@@ -99,3 +99,10 @@ def node_owners(incident: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = incident.repartition(parts, "e").join(labels.select(F.col("v").alias("e"), "label").repartition(parts, "e"), "e")
     owned = labelled.groupBy("node").agg(F.min("label").alias("owner"))
     return global_index(owned, ["owner", "node"], "node_idx")
+
+
+def node_means(incident: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """(e, columns): the means of an element's nodes' values; ``nodes``: (node, columns)."""
+    parts = tasks_for(incident)
+    joined = incident.repartition(parts, "node").join(nodes.repartition(parts, "node"), "node")
+    return joined.groupBy("e").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])

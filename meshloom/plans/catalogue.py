@@ -175,8 +175,7 @@ def element_centroids(spark: SparkSession, sf: str) -> DataFrame:
     w = fx.width(spark, sf)
     q = w + 1
     nodes = spark.range(q**3).select(F.col("id").alias("node"), F.expr(f"id div {q * q}").alias("x"), F.expr(f"(id div {q}) % {q}").alias("y"), F.expr(f"id % {q}").alias("z"))
-    joined = _nodes(spark, sf).join(nodes, "node")
-    return joined.groupBy("e").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in "xyz"])
+    return topology.node_means(_nodes(spark, sf), nodes, list("xyz"))
 
 
 @query

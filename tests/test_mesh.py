@@ -736,3 +736,23 @@ def test_copurchase_is_joined_once(spark):
     """What reads the edges of parts several times reads a table."""
     v, e = catalogue.fx.copurchase(spark, "/root/testdata/sf0.001")
     assert all("/copurchase-" in f for x in (v, e) for f in x.inputFiles()) and e.count() > 0
+
+
+def test_tasks_follow_incidences(spark, grid, monkeypatch):
+    """A task holds a bounded number of incidences, and pairs of elements are those of a loop, for a node of many elements too."""
+    monkeypatch.setattr(topology, "PER_TASK", 50)
+    cells, _ = grid
+    incident = topology.incidence(cells, "node_tags", "node").union(spark.range(9).select((F.col("id") * 13).alias("e"), F.lit(-1).cast("long").alias("node")))
+    rows = [tuple(r) for r in incident.collect()]
+    assert topology.tasks_for(incident) == -(-len(rows) // 50)
+    at = {}
+    for e, node in rows:
+        at.setdefault(node, []).append(e)
+    assert sorted(map(tuple, topology.node_edges(incident).collect())) == sorted({(u, v) for l in at.values() for u in l for v in l if u < v})
+    labels = cells.select(F.col("e").alias("v"), (F.col("e") % 7).alias("label"))
+    assert {r.node: r.owner for r in topology.node_owners(incident, labels).collect()} == {n: min(e % 7 for e in l) for n, l in at.items()}
+    nodes = incident.select("node").distinct().select("node", (F.col("node") * 2).alias("x"))
+    sums = {}
+    for e, node in rows:
+        sums.setdefault(e, []).append(2.0 * node)
+    assert all(abs(r.x - sum(sums[r.e]) / len(sums[r.e])) < 1e-9 for r in topology.node_means(incident, nodes, ["x"]).collect())
