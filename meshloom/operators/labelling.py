@@ -348,7 +348,7 @@ REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[str], int], DataFrame]]
     "merge_pairs": merge_pairs,
     "drop_worst": lambda v, e, k, p: drop_worst(v, e, k, p).select("v", "label"),
     "pagerank_covered": lambda v, e, k, p: rounds.pagerank_labels(v, e, seeds_along(v, k, p), 1e8, 1.2, 5).select("v", "label"),
-    "stretch": lambda v, e, k, p: growth.stretch_growth(e, seeds_along(v, k, p)).select("v", "label"),
+    "stretch": lambda v, e, k, p: rounds.stretch_growth(e, seeds_along(v, k, p)).select("v", "label"),
     "stretch_cut": lambda v, e, k, p: rounds.cut_growth(e, seeds_along(v, k, p)).select("v", "label"),
     "capped_fill": lambda v, e, k, p: growth.fill(v, e, growth.size_proxy(e, seeds_along(v, k, p), v.count(), p, 5, v.count() // p)),
     "ordered": lambda v, e, k, p: rounds.stealing_growth(e, seeds_along(v, k, p), "ordered").select("v", "label"),

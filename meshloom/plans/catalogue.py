@@ -387,7 +387,7 @@ def oversample_drop_high_cut_labels(spark: SparkSession, sf: str) -> DataFrame:
 def stretch_labels(spark: SparkSession, sf: str) -> DataFrame:
     """A hop of a part costs log2(its size) + 1."""
     v, e = fx.lattice(spark, sf)
-    return growth.stretch_growth(iterate.written(e), fx.block_seeds(v)).select("v", "label")
+    return rounds.stretch_growth(iterate.written(e), fx.block_seeds(v)).select("v", "label")
 
 
 @query
