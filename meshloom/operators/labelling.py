@@ -343,7 +343,7 @@ REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[str], int], DataFrame]]
     "pagerank": lambda v, e, k, p: rounds.pagerank_labels(v, e, seeds_along(v, k, p)).select("v", "label"),
     "two_pass": lambda v, e, k, p: two_pass(e, seeds_along(v, k, p), p).select("v", "label"),
     "size_proxy": lambda v, e, k, p: growth.fill(v, e, growth.size_proxy(e, seeds_along(v, k, p), v.count(), p)),
-    "stop_when_ideal": lambda v, e, k, p: growth.stop_when_ideal(v, e, seeds_along(v, k, p), p),
+    "stop_when_ideal": lambda v, e, k, p: rounds.stop_when_ideal(v, e, seeds_along(v, k, p), p),
     "bidding": lambda v, e, k, p: growth.bidding(e, block_labels(v, k, p)),
     "merge_pairs": merge_pairs,
     "drop_worst": lambda v, e, k, p: drop_worst(v, e, k, p).select("v", "label"),

@@ -446,7 +446,7 @@ def size_proxy_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stop_when_ideal_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, e = fx.lattice(spark, sf)
-    return growth.stop_when_ideal(v, iterate.written(e), fx.block_seeds(v), fx.PARTS)
+    return rounds.stop_when_ideal(v, iterate.written(e), fx.block_seeds(v), fx.PARTS)
 
 
 @query
