@@ -123,7 +123,7 @@ def two_pass(edges: DataFrame, seeds: DataFrame, parts: int, by: str = "size") -
         top = cuts.agg(F.max("sends").alias("top"))
         steps = cuts.crossJoin(F.broadcast(top)).select("label", F.greatest(F.lit(0.05), F.sqrt(F.try_divide("sends", "top"))).alias("step"))
     steps = steps.select("label", F.round("step", 6).alias("step"))
-    return weighted_growth(edges, seeds, steps)
+    return rounds.weighted_growth(edges, seeds, steps)
 
 
 def relabelled(labels: DataFrame, keep: dict[int, int]) -> DataFrame:
