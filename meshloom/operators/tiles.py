@@ -27,6 +27,7 @@ from .ordering import block_labels
 
 TILE = "block long, names binary, offsets binary, columns binary, entries binary, x binary, send_to binary, send_from binary, send_place binary"
 GHOST = "block long, place long, x double"
+ENTRIES_PER_TILE = 1 << 21  # about; a task holds a tile and its packed entries
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -46,11 +47,10 @@ def _tile(firsts: np.ndarray, entries: pa.Table, own: pa.Table) -> pa.Table:
     i, j, a = _columns(entries, 3)
     owner, a = np.searchsorted(firsts, j, "right") - 1, a.view(np.float64)
     outside = owner != block[0].as_py()
-    ghosts = np.unique(np.stack([owner[outside], j[outside]]), axis=1) if outside.any() else np.zeros((2, 0), np.int64)
+    ghosts, place = np.unique(j[outside], return_inverse=True)  # owners hold ranges of names, so this is the order of owners too
+    ghosts = np.stack([np.searchsorted(firsts, ghosts, "right") - 1, ghosts])
     column = np.searchsorted(names, j)
-    if outside.any():
-        rank = {tuple(g): k for k, g in enumerate(ghosts.T.tolist())}
-        column[outside] = [len(names) + rank[g] for g in zip(owner[outside].tolist(), j[outside].tolist(), strict=True)]
+    column[outside] = len(names) + place
     row = np.searchsorted(names, i)
     by = np.lexsort((column, row))
     offsets = np.searchsorted(row[by], np.arange(len(names) + 1))
@@ -111,7 +111,8 @@ class Tiles:
 
 @contextmanager
 def tiled(matrix: DataFrame, vector: DataFrame, blocks: int) -> Iterator[Tiles]:
-    """Tiles of ``matrix`` (i, j, a) with ``vector`` (i, x), rows in ``blocks`` equal blocks along their names."""
+    """Tiles of ``matrix`` (i, j, a) with ``vector`` (i, x), rows in ``blocks`` equal blocks along their names, or more if tiles would hold more than ``ENTRIES_PER_TILE`` entries."""
+    blocks = max(blocks, -(-matrix.count() // ENTRIES_PER_TILE))
     parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = matrix.select("i").union(matrix.select(F.col("j").alias("i"))).union(vector.select("i")).distinct()
     own = written(block_labels(every, ["i"], blocks, "block").join(vector.select("i", "x"), "i", "left").select("i", "block", F.coalesce("x", F.lit(0.0)).alias("x")), "tile-rows")
